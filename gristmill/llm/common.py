@@ -54,3 +54,15 @@ def cells_for(rows: int, partitions: int, largest: int = 100_000) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """``make()``, kept in this worker until another operator asks for its own: a worker that is used again holds
+    the model and cache of one operator at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -17,12 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 #: Labelled characters learned from in each language, and documents they are taken from, at most.
-SAMPLE_CHARS, SAMPLE_DOCS = 60_000, 200
+SAMPLE_CHARS, SAMPLE_DOCS = 30_000, 200
 #: Words kept with their phrases in a worker.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 120_000
 _LETTERS = re.compile(r"[^\W\d_]+")
-_automata: dict[int, tuple] = {}
 
 
 class SuffixAutomaton:
@@ -143,11 +144,7 @@ class _Phrases(dict):
 
 
 def _model(samples: dict[str, str]):
-    key = hash(tuple(samples.items()))
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = (list(samples), _Phrases([SuffixAutomaton(t) for t in samples.values()]))
-    return _automata[key]
+    return held(("language", tuple(samples.items())), lambda: (list(samples), _Phrases([SuffixAutomaton(t) for t in samples.values()])))
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -158,13 +155,13 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, held_out, lang_pred, score) for every row: rows whose id's CRC-32 leaves 2 modulo 4 are held out
     of what is learned (a null id is not; its row teaches nothing). Repeated rows are judged alike;
     other columns are not looked at."""
-    held = F.coalesce(fold_of(F.col(id_col)) == 2, F.lit(False))
+    held_out = F.coalesce(fold_of(F.col(id_col)) == 2, F.lit(False))
     samples = learn(docs.filter(fold_of(F.col(id_col)) != 2), text_col=text_col, lang_col=lang_col)
-    slim = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col), held_out.alias("held_out"), F.col(text_col).alias("text"))
     return predict(slim, samples, text_col="text").select(id_col, "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_rate: float = 0.75) -> DataFrame:
+def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_rate: float = 0.95) -> DataFrame:
     """``docs`` without the rows that have no language: no letter, or nearly a phrase for each letter, as in noise.
 
     The label of a row that has none becomes the predicted language; given labels stay.

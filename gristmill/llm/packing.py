@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cells_for, cut, shuffle_partitions, sized
+from .common import cells_for, cut, held, shuffle_partitions, sized
 
 CAPACITY = 2048
 #: Words, and parts of words, kept with their ids in a worker; later ones are encoded each time they occur.
-KEPT_WORDS = 600_000
-_tokenizers: dict[str, tuple] = {}
+KEPT_WORDS = 200_000
 
 #: Control characters that Python takes for white space and the tokenizer does not; and characters that
 #: lower-case or compose by rules beyond one character.
@@ -59,19 +58,17 @@ class _Kept(dict):
         return ids
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def _load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        model = t.model
-        parts = _Kept(lambda x: array("I", [y.id for y in model.tokenize(x if x.isascii() and x.isalnum() else x.encode().decode("latin-1").translate(_LETTERS))]).tobytes())
-        plain = _Kept(lambda w: parts[w] if w.isascii() and w.isalpha() else b"".join([parts[x] for x in _PARTS.findall(w)]))
-        whole = _Kept(lambda w: array("I", t.encode(w, add_special_tokens=False).ids).tobytes())
-        _tokenizers[path] = (t, plain, whole)
-    return _tokenizers[path]
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    model = t.model
+    parts = _Kept(lambda x: array("I", [y.id for y in model.tokenize(x if x.isascii() and x.isalnum() else x.encode().decode("latin-1").translate(_LETTERS))]).tobytes())
+    plain = _Kept(lambda w: parts[w] if w.isascii() and w.isalpha() else b"".join([parts[x] for x in _PARTS.findall(w)]))
+    whole = _Kept(lambda w: array("I", t.encode(w, add_special_tokens=False).ids).tobytes())
+    return t, plain, whole
 
 
 def encode(text: str, path: str, by_word: bool = True) -> bytes:
@@ -81,7 +78,7 @@ def encode(text: str, path: str, by_word: bool = True) -> bytes:
     finds, so a text's ids are those of its words in turn, and a frequent word is encoded once in a
     worker. Texts with rarer characters have their words left to the whole tokenizer.
     """
-    t, plain, whole = _tokenizer(path)
+    t, plain, whole = held(("tokenizer", path), lambda: _load(path))
     if not by_word:
         return array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
     if _RARE.search(text):
