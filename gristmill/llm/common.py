@@ -33,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Text that goes to a Python worker at once, at most (one row may be larger). Both sides hold a batch several times over.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on an Arrow batch to ``BATCH_BYTES``, for the plans that run from now on; a
+    lower bound stays. Whole texts are long, so the default bound would be held by every task."""
+    now = int(str(spark.conf.get(_BATCH, str(1 << 62))).lower().removesuffix("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are within the bound, else as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, small_batches
 
 #: Labelled characters learned from in each language, and documents they are taken from, at most.
 SAMPLE_CHARS, SAMPLE_DOCS = 30_000, 200
@@ -107,6 +107,7 @@ def predict(docs: DataFrame, samples: dict[str, str], *, text_col: str = "text")
     spark = docs.sparkSession
     if not samples:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("lang_score", F.lit(0.0)).withColumn("lang_rate", F.lit(None).cast("double"))
+    small_batches(spark)
     told = spark.sparkContext.broadcast(samples)
 
     @F.pandas_udf("pred string, score double, rate double")

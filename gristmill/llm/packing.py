@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cells_for, cut, held, shuffle_partitions, sized
+from .common import cells_for, cut, held, shuffle_partitions, sized, small_batches
 
 CAPACITY = 2048
 #: Words, and parts of words, kept with their ids in a worker; later ones are encoded each time they occur.
@@ -102,6 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id:
             rows["id"] = rows["id"].astype("Int64")
             yield rows
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     return slim.mapInPandas(cut_up, "id long, row_key long, piece int, start long, length long, ids_crc32 long")
 

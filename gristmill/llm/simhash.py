@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -155,6 +155,7 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     both have fingerprint 0 and link like any other. Rows with a null id take part; a component of
     null ids alone has a null component_id. Repeated rows are kept; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     own = cut(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("print")))
     nodes = cut(own.groupBy("print").agg(F.min("id").alias("least")))
     linked = components(near_pairs(nodes, nodes.count()).distinct())
