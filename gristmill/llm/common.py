@@ -41,8 +41,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bound on an Arrow batch to ``BATCH_BYTES``, for the plans that run from now on; a
     lower bound stays. Whole texts are long, so the default bound would be held by every task."""
-    now = int(str(spark.conf.get(_BATCH, str(1 << 62))).lower().removesuffix("b"))
-    if now <= 0 or now > BATCH_BYTES:
+    now = spark.conf.get(_BATCH).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # a larger unit (64m) is above the bound
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
