@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,12 @@ from .common import held, small_batches
 SAMPLE_CHARS, SAMPLE_DOCS = 30_000, 200
 #: Words kept with their phrases in a worker.
 KEPT_WORDS = 120_000
+#: Words longer than this are parsed one by one, others of one length together.
+LONG = 256
+#: Bits of a count where several are kept in one number.
+_BITS = 48
+#: Common characters that are no letters become spaces, so that most of what stands between spaces is a word.
+_MARKS = ".,;:!?()\"'-"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,37 +122,111 @@ def predict(docs: DataFrame, samples: dict[str, str], *, text_col: str = "text")
         names, phrases = _model(told.value)
         langs = range(len(names))
         out = []
-        for text in texts:
-            words = plain_words(text) if text else ()
-            if not words:
+        split = [spaced(text).split() if text else [] for text in texts]
+        phrases.meet(set().union(*split))
+        for said in split:
+            counts = sum(map(phrases.__getitem__, said))
+            letters = counts & ((1 << _BITS) - 1)
+            if not letters:
                 out.append(("und", 0.0, None))
                 continue
-            sums = [sum(column) for column in zip(*map(phrases.__getitem__, words), strict=True)]
+            sums = [counts >> (_BITS * (i + 1)) & ((1 << _BITS) - 1) for i in langs]
             order = sorted(langs, key=sums.__getitem__)
             best = sums[order[0]]
             second = sums[order[1]] if len(order) > 1 else 2 * best
-            out.append((names[order[0]], min(1.0, (second - best) / second), best / sum(map(len, words))))
+            out.append((names[order[0]], min(1.0, (second - best) / second), best / letters))
+        phrases.forget()
         return pd.DataFrame(out, columns=["pred", "score", "rate"])
 
     return docs.withColumn("lang_", judge(F.col(text_col))).select(*docs.columns, F.col("lang_.pred").alias("lang_pred"), F.col("lang_.score").alias("lang_score"), F.col("lang_.rate").alias("lang_rate"))
 
 
-class _Phrases(dict):
-    """Phrases of a word in each language, counted when first asked for."""
+def spaced(text: str) -> str:
+    text = text.lower()
+    for mark in _MARKS:
+        text = text.replace(mark, " ")
+    return text
+
+
+class _Steps:
+    """A suffix automaton as sorted arrays, by which many words of one length are parsed at a time."""
+
+    def __init__(self, machine: SuffixAutomaton):
+        self.alphabet = np.array(sorted(map(ord, machine.next[0])), dtype=np.int64)
+        self.width = len(self.alphabet) + 1  # code 0 is a character never seen
+        code = {chr(c): i for i, c in enumerate(self.alphabet.tolist(), 1)}
+        pairs = sorted((s * self.width + code[c], to) for s, step in enumerate(machine.next) for c, to in step.items())
+        self.keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], dtype=np.int64)
+        self.to = np.array([t for _, t in pairs] + [0], dtype=np.int64)
+        self.first = np.full(self.width, -1, dtype=np.int64)
+        self.first[self.keys[self.keys < self.width]] = self.to[: len(self.alphabet)]
+
+    def phrases(self, points: np.ndarray) -> np.ndarray:
+        """Phrases of each column of ``points``, a word's code points from top to bottom."""
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        codes = np.where(self.alphabet[at] == points, at + 1, 0)
+        state, n = np.zeros(points.shape[1], dtype=np.int64), np.zeros(points.shape[1], dtype=np.int64)
+        begun = np.zeros(points.shape[1], dtype=bool)
+        for c in codes:
+            key = state * self.width + c
+            i = np.searchsorted(self.keys, key)
+            hit = self.keys[i] == key
+            n += begun & ~hit
+            to = np.where(hit, self.to[i], self.first[c])
+            begun = to >= 0
+            n += ~begun
+            state = np.where(begun, to, 0)
+        return n + begun
 
-    def __init__(self, machines):
-        self.machines = machines
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        spaced = f" {word} "
-        n = tuple(m.phrases(spaced) for m in self.machines)
-        if len(self) < KEPT_WORDS:
-            self[word] = n
-        return n
+class _Phrases(dict):
+    """By what stands between white space: its letters and the phrases of its words in each language, in one
+    number of 48 bits each, the letters lowest."""
+
+    def __init__(self, samples: dict[str, str]):
+        self.samples = samples
+        self.steps = [_Steps(SuffixAutomaton(t)) for t in samples.values()]
+        self.brief: list[str] = []
+
+    def meet(self, said: set[str]) -> None:
+        """Counts what is not known yet."""
+        new = said - self.keys()
+        mixed = {x: _LETTERS.findall(x) for x in new if not x.isalpha()}
+        by_length: dict[int, list[str]] = {}
+        for word in (new - mixed.keys()) | (set().union(*mixed.values()) - self.keys()):
+            by_length.setdefault(len(word), []).append(word)
+        for length, words in by_length.items():
+            words.sort()
+            for at in range(0, len(words), 1 << 14):
+                some = words[at : at + (1 << 14)]
+                self.update(zip(some, self._count(some, length), strict=True))
+                self.brief += some
+        for x, words in mixed.items():
+            self[x] = sum(map(self.__getitem__, words))
+        self.brief += mixed
+
+    def forget(self) -> None:
+        """Lets what was met last go again, as far as there is more than is to be kept."""
+        for x in self.brief[: max(0, len(self) - KEPT_WORDS)]:
+            del self[x]
+        self.brief = []
+
+    def _count(self, words: list[str], length: int) -> list[int]:
+        if length > LONG:
+            machines = [SuffixAutomaton(t) for t in self.samples.values()]
+            columns = [[m.phrases(f" {w} ") for w in words] for m in machines]
+        else:
+            flat = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            points = np.ascontiguousarray(flat.reshape(len(words), length + 2).T.astype(np.int64))
+            columns = [s.phrases(points).tolist() for s in self.steps]
+        packed = [length] * len(words)
+        for i, column in enumerate(columns, 1):
+            packed = [x | n << _BITS * i for x, n in zip(packed, column, strict=True)]
+        return packed
 
 
 def _model(samples: dict[str, str]):
-    return held(("language", tuple(samples.items())), lambda: (list(samples), _Phrases([SuffixAutomaton(t) for t in samples.values()])))
+    return held(("language", tuple(samples.items())), lambda: (list(samples), _Phrases(samples)))
 
 
 def fold_of(doc_id: Column) -> Column:
