@@ -186,7 +186,7 @@ class _Phrases(dict):
     def __init__(self, samples: dict[str, str]):
         self.samples = samples
         self.steps = [_Steps(SuffixAutomaton(t)) for t in samples.values()]
-        self.brief: list[str] = []
+        self.brief: set[str] = set()
 
     def meet(self, said: set[str]) -> None:
         """Counts what is not known yet."""
@@ -200,16 +200,16 @@ class _Phrases(dict):
             for at in range(0, len(words), 1 << 14):
                 some = words[at : at + (1 << 14)]
                 self.update(zip(some, self._count(some, length), strict=True))
-                self.brief += some
+                self.brief.update(some)
         for x, words in mixed.items():
             self[x] = sum(map(self.__getitem__, words))
-        self.brief += mixed
+        self.brief.update(mixed)  # a word with a character like ² is counted and mixed
 
     def forget(self) -> None:
         """Lets what was met last go again, as far as there is more than is to be kept."""
-        for x in self.brief[: max(0, len(self) - KEPT_WORDS)]:
+        for x in list(self.brief)[: max(0, len(self) - KEPT_WORDS)]:
             del self[x]
-        self.brief = []
+        self.brief.clear()
 
     def _count(self, words: list[str], length: int) -> list[int]:
         if length > LONG:

@@ -498,3 +498,21 @@ def test_pipeline(spark):
     assert set(mixed.values()) <= {1, 2} and set(mixed) <= kept
     last = P.run(spark, SMALL)
     assert last.select("doc_id").distinct().count() == len(mixed)
+
+
+def test_words_parsed_together_count_like_one_by_one(monkeypatch):
+    monkeypatch.setattr(language_id, "KEPT_WORDS", 3)
+    samples = {"a": " the cat sat on the mat ", "b": " el gato está aquí "}
+    machines = [language_id.SuffixAutomaton(t) for t in samples.values()]
+    kept = language_id._Phrases(samples)
+    texts = ["The cat, the mat-hat!", "x1y2 gato está²", "", "123 ...", "\u4e2d\u6587 \ud800 mat", "ab" * 400 + " " + "c" * 256]
+    for _ in range(2):
+        for text in texts:
+            said = language_id.spaced(text).split()
+            kept.meet(set(said))
+            counts = sum(kept[x] for x in said)
+            words = language_id.plain_words(text)
+            want = [sum(map(len, words))] + [sum(m.phrases(f" {w} ") for w in words) for m in machines]
+            assert [counts >> 48 * i & (1 << 48) - 1 for i in range(3)] == want
+            kept.forget()
+            assert len(kept) <= 3
