@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, sized, small_batches
 from .components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -167,10 +167,11 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, that of the least id; rows without an id stay. Rows that repeat
-    one id are one document and share its fate. All columns pass through."""
+    one id are one document and share its fate. All columns pass through. The ids that go are counted: up to
+    ``BROADCAST_ROWS`` of them are sent to the texts, more meet them by a shuffle."""
     groups = simhash_groups(docs, id_col=id_col, text_col=text_col)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = cut(groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    return docs.join(sized(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
