@@ -138,6 +138,8 @@ def predict(docs: DataFrame, samples: dict[str, str], *, text_col: str = "text")
         phrases.forget()
         return pd.DataFrame(out, columns=["pred", "score", "rate"])
 
+    # Marked so that a filter on the outcome is not pushed below the projection, which would judge every text twice.
+    judge = judge.asNondeterministic()
     return docs.withColumn("lang_", judge(F.col(text_col))).select(*docs.columns, F.col("lang_.pred").alias("lang_pred"), F.col("lang_.score").alias("lang_score"), F.col("lang_.rate").alias("lang_rate"))
 
 
