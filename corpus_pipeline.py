@@ -15,7 +15,7 @@ from gristmill.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a language go: no letter, or nearly a phrase for each letter. A missing label is filled."""
+    """Rows without a language go, which are those without a letter. A missing label is filled."""
     return language_id.keep_identified(docs)
 
 

@@ -245,11 +245,20 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return predict(slim, samples, text_col="text").select(id_col, "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", most_rate: float = 0.95) -> DataFrame:
-    """``docs`` without the rows that have no language: no letter, or nearly a phrase for each letter, as in noise.
+def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that have no language, which are those without a letter, nulls included.
 
-    The label of a row that has none becomes the predicted language; given labels stay.
+    The label of a row that has none becomes the predicted language; given labels stay. If nothing was
+    learned, every row with a letter stays as it is.
     """
-    judged = predict(docs, learn(docs, text_col=text_col, lang_col=lang_col), text_col=text_col)
-    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("lang_rate") <= most_rate))
+    samples = learn(docs, text_col=text_col, lang_col=lang_col)
+    if not samples:
+        small_batches(docs.sparkSession)
+
+        @F.pandas_udf("boolean")
+        def lettered(texts: pd.Series) -> pd.Series:
+            return pd.Series([bool(t and _LETTERS.search(t)) for t in texts], dtype=bool)
+
+        return docs.filter(lettered(F.col(text_col)))
+    kept = predict(docs, samples, text_col=text_col).filter(F.col("lang_rate").isNotNull())
     return kept.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("lang_pred"))).select(*docs.columns)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gristmill.llm import embedding_dedup, fingerprint, language_id, license_scan, mixing, packing, secret_scan, sharding, simhash, url_filter
 from gristmill.llm import queries as Q
@@ -516,3 +517,17 @@ def test_words_parsed_together_count_like_one_by_one(monkeypatch):
             assert [counts >> 48 * i & (1 << 48) - 1 for i in range(3)] == want
             kept.forget()
             assert len(kept) <= 3
+
+
+def test_only_rows_without_a_letter_have_no_language(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "A.", "en"), (-2, "a b c", None), (-3, "Re", None), (-4, "Am G C\nF G", "en"), (-5, "5 m 7 m", "de"), (-6, "\u4e2d\u6587", "zh"),
+           (-7, "\u0416\u0416", None), (-8, "123 ...", "en"), (-9, "", "en"), (-10, None, "en"), (-11, "_1_", None)]
+    mixed = docs.union(spark.createDataFrame(odd, docs.schema))
+    for some in (mixed, mixed.withColumn("lang", F.lit(None).cast("string"))):
+        lang = {r["doc_id"]: r["lang"] for r in some.collect()}
+        want = {r["doc_id"] for r in some.collect() if r["text"] and any(language_id.plain_words(r["text"]))}
+        got = {r["doc_id"]: r["lang"] for r in language_id.keep_identified(some).collect()}
+        assert set(got) == want and {-1, -2, -3, -4, -5, -6, -7} <= want and not {-8, -9, -10, -11} & want
+        assert all(x == lang[i] for i, x in got.items() if lang[i] is not None)
+        assert any(lang.values()) == all(x is not None for x in got.values())
