@@ -84,8 +84,8 @@ def plain_words(text: str) -> list[str]:
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS, sample: int = SAMPLE_DOCS) -> dict[str, str]:
-    """Up to ``chars`` labelled characters for each language, as words between spaces, from about ``sample``
-    distinct documents chosen by a hash of their text. Null labels and texts without letters teach nothing."""
+    """Up to ``chars`` labelled characters for each language, as words between spaces, from the heads of at most
+    ``sample`` distinct documents chosen by a hash of their text, each with an equal share. Null labels and texts without letters teach nothing."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     hashed = known.withColumn("h", F.xxhash64("text", F.lit(11)).bitwiseAND((1 << 40) - 1))
     # Twice the share that is wanted, so that copies of one text may be passed over.
@@ -95,13 +95,26 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ch
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * sample / max(1, n)) * (1 << 40))))])
     taken = hashed.filter(F.col("h") < F.element_at(limit, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    room = dict.fromkeys(counts, chars)
     for r in taken.select("lang", "h", F.substring("text", 1, chars).alias("text")).orderBy("lang", "h").collect():
-        said = " ".join(plain_words(r["text"]))[: room[r["lang"]]]
+        said = " ".join(plain_words(r["text"]))
         if said and len(texts.setdefault(r["lang"], [])) < sample:
             texts[r["lang"]].append(said)
-            room[r["lang"]] -= len(said) + 1
-    return {k: " " + " ".join(v) + " " for k, v in sorted(texts.items()) if v}
+    return {k: " " + " ".join(_heads(v, chars)) + " " for k, v in sorted(texts.items()) if v}
+
+
+def _heads(texts: list[str], chars: int) -> list[str]:
+    """The head of each text, of one length for all that are longer; at most ``chars`` characters with a space for
+    each. What short texts leave free goes to the longer ones; a word is cut only if it is a head's first."""
+    heads, room = {}, chars - 1
+    for left, (i, said) in zip(range(len(texts), 0, -1), sorted(enumerate(texts), key=lambda x: len(x[1]))):
+        share = max(0, room // left - 1)
+        head = said[:share]
+        if share < len(said) and said[share] != " ":
+            head = head.rpartition(" ")[0] or head
+        if head:
+            heads[i] = head
+            room -= len(head) + 1
+    return [heads[i] for i in sorted(heads)]
 
 
 def predict(docs: DataFrame, samples: dict[str, str], *, text_col: str = "text") -> DataFrame:

@@ -531,3 +531,14 @@ def test_only_rows_without_a_letter_have_no_language(spark):
         assert set(got) == want and {-1, -2, -3, -4, -5, -6, -7} <= want and not {-8, -9, -10, -11} & want
         assert all(x == lang[i] for i, x in got.items() if lang[i] is not None)
         assert any(lang.values()) == all(x is not None for x in got.values())
+
+
+def test_language_samples_keep_their_bound(spark):
+    texts = [(lang, " ".join([w * 4] * n)) for lang, w in (("a", "x"), ("b", "y")) for n in (1, 2, 3, 20, 21, 200)]
+    docs = spark.createDataFrame([(lang, t) for lang, t in texts] + [("c", "z" * 500), ("d", "z")], "lang string, text string")
+    for chars in (49, 50, 100, 101, 1000):
+        said = language_id.learn(docs, chars=chars)
+        assert all(len(t) <= chars for t in said.values()) and set(said) == {"a", "b", "c", "d"}
+        assert len(said["a"]) == len(said["b"]) > chars - 6 * 5 and set(said["a"].split()) <= {"x" * k for k in range(1, 5)}
+    assert language_id._heads(["aa bb cc", "d", "ee ff gg hh"], 18) == ["aa bb", "d", "ee ff gg"]
+    assert len(language_id._heads(["ab " * 99] * 7, 210)) == 7
