@@ -61,15 +61,39 @@ RULES = (
 
 #: Every known sentence has one of these; texts that have none are not split.
 TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|warranty"
-#: A sentence ends at a line end, or at full stops, question or exclamation marks that white space follows.
-BREAK = r"[.!?]+[\x20\x09-\x0D]+|[\x0A-\x0D]+"
+# Sentences that have a full stop or a blank line inside, by the words before it.
+STOPS_WITHIN = {"apache2-copy": "at", "mpl2-subject": "v"}
+#: Line ends, and marks of a comment or a list at the head of a line.
+_LINE = r"\x0D\x0A|[\x0A-\x0D]"
+_MARK = r"(?m)^[\x20\x09]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--+|(?:dnl|rem)(?=[\x20\x09]|$))[\x20\x09]*)+"
+#: A full stop, question or exclamation mark before white space, or a blank line, ends a sentence for good.
+_STOP = r"[.!?]+[\"')\]\x{201D}\x{2019}]*(?=[\x20\x0A\x09]|$)|\x0A[\x20\x09]*(?=\x0A)"
+#: A colon, semicolon or line end may end one or lie within one.
+_PAUSE = r"[:;](?=[\x20\x0A\x09]|$)|\x0A"
+
+
+def _pattern(sentences: dict[str, str]) -> str:
+    """Any of the sentences, from a word's start to a sentence's end; the longest that fits at a place."""
+
+    def form(name: str, said: str) -> str:
+        words = said.split()
+        gaps = ["(?:[LX] )*" if STOPS_WITHIN.get(name) == w else "(?:L )*" for w in words[:-1]]
+        return "".join(f"{w} {g}" for w, g in zip(words, gaps)) + words[-1]
+
+    longest = sorted(sentences.items(), key=lambda x: -len(x[1]))
+    return "(?<= )(?:" + "|".join(form(*x) for x in longest) + ")(?= [LX])"
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
+    """Identifiers of the known sentences of a text, in order, also where they are wrapped, stand in comments or
+    end a longer sentence. Of those that begin at one place the longest counts; they do not overlap."""
     known = F.create_map(*[F.lit(x) for name, said in sentences.items() for x in (said, name)])
-    plain = F.transform(F.split(ascii_lower(text), BREAK), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    lines = F.regexp_replace(F.regexp_replace(ascii_lower(text), _LINE, "\n"), _MARK, "")
+    # Nothing is upper-case any more, so X and L can stand for stops and pauses.
+    marked = F.regexp_replace(F.regexp_replace(lines, _STOP, " X "), _PAUSE, " L ")
+    plain = F.concat(F.lit(" "), F.regexp_replace(marked, "[^a-z0-9LX]+", " "), F.lit(" X "))
+    found = F.regexp_extract_all(plain, F.lit(_pattern(sentences)), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, "[LX] ", "")))
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:

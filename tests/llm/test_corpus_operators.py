@@ -542,3 +542,71 @@ def test_language_samples_keep_their_bound(spark):
         assert len(said["a"]) == len(said["b"]) > chars - 6 * 5 and set(said["a"].split()) <= {"x" * k for k in range(1, 5)}
     assert language_id._heads(["aa bb cc", "d", "ee ff gg hh"], 18) == ["aa bb", "d", "ee ff gg"]
     assert len(language_id._heads(["ab " * 99] * 7, 210)) == 7
+
+
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_licenses_wrapped_and_within_longer_sentences(spark):
+    texts = {
+        MIT: ("mit-grant,mit-notice", "MIT"), APACHE: ("apache2-licensed-the,apache2-use,apache2-copy", "Apache-2.0"), GPL: ("gpl-free,gpl-hope,gpl-details", "GPL-3.0-or-later"),
+        BSD: ("bsd-grant,bsd-source,bsd-binary,bsd-endorse", "BSD-3-Clause"), MPL: ("mpl2-subject", "MPL-2.0"),
+    }
+    rows = []
+    for text, want in texts.items():
+        marked = ["\n".join(f"{m}{line}".rstrip() for line in text.split("\n")) for m in (" * ", "# ", "// ", "dnl ", ";; ", "-- ")]
+        for form in (text, text.replace("\n", "\r\n"), " ".join(text.split()), "/*\n" + marked[0] + "\n */\nint x;", *marked[1:]):
+            flat = want if form.count("\n") or text != APACHE else ("apache2-licensed-the,apache2-use", "Apache-2.0")  # what follows the address is no sentence's end
+            rows.append((form, flat))
+    rows += [
+        ("This project is licensed under the MIT License.", ("mit-licensed", "MIT")), ("Licensed under the\nMIT License", ("mit-licensed", "MIT")),
+        ("It is licensed under the MIT Licenses.", ("", "")), ("Relicensed under the MIT License.", ("", "")), ("Licensed under the MIT License or not.", ("", "")),
+        ("All rights reserved.\nCopyright 2020", ("", "")), ("This work is\nlicensed under the GNU General Public License, version 3", ("gpl3-work", "GPL-3.0-only")),
+        ("Licensed under the. MIT License.", ("", "")), ("Licensed under the\n\nMIT License.", ("", "")),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_scan.scan_licenses(df).collect()}
+    assert [(rows[i][0], got[i]) for i in got if got[i] != rows[i][1]] == []
