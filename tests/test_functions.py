@@ -89,3 +89,15 @@ def test_stream(spark):
     got = registry.QUERIES["stream_latest"](spark, "/root/testdata/sf0.001").collect()
     want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("e")).collect()
     assert {r["user_id"]: r["event_id"] for r in got} == {r["user_id"]: r["e"] for r in want}
+
+
+def test_more_board_forms(spark):
+    from gristmill.functions import urls
+
+    want = {
+        "https://acme.teamtailor.com/jobs/1": "teamtailor", "https://acme.jobs.personio.de/job/1": "personio", "https://acme.taleo.net": "taleo", "https://careers-acme.icims.com/x": "icims",
+        "https://acme.njoyn.com/a": "njoyn", "https://acme.eightfold.ai/careers": "eightfold", "https://acme.csod.com/ux": "cornerstone", "https://join.com/companies/acme/1": "join",
+        "https://secure.collage.co/jobs/acme/9": "collage", "https://acme.taleo.net.evil.org/": None, "https://join.com/jobs/acme": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in want], "u string").select("u", urls.identify(F.col("u")).alias("p")).collect()
+    assert {r["u"]: r["p"] and (r["p"]["platform"], r["p"]["slug"]) for r in rows} == {u: p and (p, "acme") for u, p in want.items()}
