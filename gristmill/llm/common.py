@@ -12,8 +12,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows that a frame may have to be sent to every executor. A row of the frames in question has at most a few hundred bytes.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes that a frame may have to be sent to every executor. A row of the frames that are counted by rows
+#: alone is a few numbers.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,13 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests, a single
-    machine) a temporary one is used.
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set a temporary one serves a
+    local master, as in tests; on a cluster, whose executors could not see it, that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -46,9 +50,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are within the bound, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def sized(df: DataFrame, rows: int, texts: int = 0) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows, and the bytes of its texts, are within the bounds, else as it is."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and texts <= BROADCAST_BYTES else df
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and, as ``weight``, its number of rows.
+
+    Keys that hold more than a 50,000th of all ``total`` rows, so fewer than 50,000 of them, are sent to
+    the rows; only rows of other keys are shuffled. ``rows`` is read twice, so it should be cut.
+    """
+    hot = F.col(weight) > max(10_000, total // 50_000)
+    frequent = table.filter(hot).drop(weight)
+    rest = rows.join(F.broadcast(frequent.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(frequent), key).unionByName(rest.join(table.filter(~hot).drop(weight), key))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -60,6 +76,30 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, op, zero: Column) -> Column:
+    """For each of ``values`` what ``op`` makes of all before it, from ``zero``, and last what it makes of all.
+
+    Blocks of values are folded apart and then joined, so that the time grows with the number of values
+    and not, as with one array that is copied at each step, with its square.
+    """
+    kind = "array<bigint>"
+    start = lambda at: F.struct(at.cast("long").alias("at"), F.array().cast(kind).alias("out"))
+    step = lambda acc, x: F.struct(op(acc["at"], x).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).cast(kind).alias("out"))
+
+    def joined(parts):
+        totals = F.transform(parts, lambda p: F.aggregate(p, zero.cast("long"), lambda a, x: op(a, x).cast("long")))
+        begins = F.aggregate(totals, start(zero), step, lambda acc: F.struct(acc["at"].alias("at"), acc["out"].alias("out")))
+        inner = lambda b: F.flatten(F.zip_with(parts, b["out"], lambda p, at: F.aggregate(p, start(at), step, lambda acc: acc["out"])))
+        return let(begins, lambda b: F.concat(inner(b), F.array(b["at"])))
+
+    blocks = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(RUN)), lambda i: F.slice(v, i, RUN))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), joined)).otherwise(F.array(zero.cast("long"))))
+
+
+#: Values of a block of ``running``.
+RUN = 512
+
+
 def cells_for(rows: int, partitions: int, largest: int = 100_000) -> int:
     """Rows of a cell of work: a few cells for each shuffle partition, never more than ``largest`` rows."""
     return max(32, min(largest, rows // max(1, 4 * partitions)))

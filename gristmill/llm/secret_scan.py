@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import RUN, let, running
 
 #: Kinds in their listed order, and the method's own.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -43,61 +43,85 @@ SERIAL = 3.3
 BINS_A_UNIT, TOP = 20, 40
 
 
-def _positions(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Spans (start, k, end) of the matches of ``pattern``, in code points; keep: of a match's text and number."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+_SPAN = "array<struct<start:bigint,k:int,end:bigint,token:string>>"
 
-    def spans(both):
-        m, gap = both["m"], both["gap"]
-        ends = F.aggregate(
-            F.sequence(F.lit(1), F.size(m)),
-            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,k:int,end:long,i:int>>").alias("out")),
-            lambda acc, i: let(acc["at"] + F.length(F.element_at(gap, i)), lambda s: F.struct(
-                (s + F.length(F.element_at(m, i))).alias("at"),
-                F.concat(acc["out"], F.array(F.struct(s.alias("start"), F.lit(kind).alias("k"), (s + F.length(F.element_at(m, i))).alias("end"), i.alias("i")))).alias("out"),
-            )),
-            lambda acc: acc["out"],
-        )
-        return ends if keep is None else F.filter(ends, lambda x: keep(F.element_at(m, x["i"]), x["i"]))
 
-    spans_ = F.when(F.size(found) > 0, let(F.struct(found.alias("m"), between.alias("gap")), spans))
-    return F.transform(spans_, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
+def _none() -> Column:
+    return F.array().cast(_SPAN)
 
 
-_NONE = "array<struct<start:bigint,k:int,end:bigint>>"
+def _positions(text: Column, pattern: str, kind: int) -> Column:
+    """Spans (start, k, end, token) of the matches of ``pattern``, in code points."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
+    def spans(both):
+        m, gap = both["m"], both["gap"]
+        steps = F.transform(m, lambda x, i: (F.length(F.get(gap, i)) + F.length(x)).cast("long"))
+        placed = lambda ends: F.transform(m, lambda x, i: F.struct(
+            (F.get(ends, i) + F.length(F.get(gap, i))).alias("start"), F.lit(kind).alias("k"), F.get(ends, i + 1).alias("end"), x.alias("token"),
+        ))
+        return let(running(steps, lambda a, x: a + x, F.lit(0)), placed).cast(_SPAN)
 
-def _none() -> Column:
-    return F.array().cast(_NONE)
+    return let(F.struct(found.alias("m"), between.alias("gap")), spans)
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the three known forms in order of start, then kind."""
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = _positions(text, ASSIGN, 0, lambda m, i: F.length(F.element_at(values, i)) >= 8)
+    long_ = lambda x: F.length(F.regexp_extract(x["token"], ASSIGN, 2)) >= 8
     parts = (
-        F.when(text.rlike(ASSIGN), assign),
-        F.when(text.contains("AKIA"), _positions(text, ACCESS, 1, lambda m, i: F.length(m) >= 16)),
+        F.when(text.rlike(ASSIGN), F.filter(_positions(text, ASSIGN, 0), long_)),
+        F.when(text.contains("AKIA"), F.filter(_positions(text, ACCESS, 1), lambda x: F.length(x["token"]) >= 16)),
         F.when(text.rlike(HEX), _positions(text, HEX, 2)),
     )
     return F.array_sort(F.concat(*[F.coalesce(p, _none()) for p in parts]))
 
 
+def rebuilt(text: Column, spans: Column, put) -> Column:
+    """``text`` with ``put(start, end, done)`` in place of every span, in order of start; done: the greatest end before
+    it, before which nothing is put again.
+
+    A block of spans looks at its own part of the text alone, so the time does not grow with the square of the spans.
+    """
+
+    def of(x):
+        s, done = x["s"], x["done"]
+
+        def block(first):
+            last = F.least(first + RUN, F.size(s)) - 1
+            begin = F.get(done, first)
+            part = F.substring(text, (begin + 1).cast("int"), F.greatest(F.get(s, last)["start"] - begin, F.lit(0)).cast("int"))
+            piece = lambda body: lambda j: F.concat(
+                F.substring(body, (F.get(done, j) - begin + 1).cast("int"), F.greatest(F.get(s, j)["start"] - F.get(done, j), F.lit(0)).cast("int")),
+                put(F.get(s, j)["start"], F.get(s, j)["end"], F.get(done, j)),
+            )
+            return let(part, lambda body: F.array_join(F.transform(F.sequence(first, last), piece(body)), ""))
+
+        heads = F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(RUN)), block)
+        return F.concat(F.array_join(heads, ""), F.substring(text, (F.element_at(done, -1) + 1).cast("int"), F.length(text)))
+
+    ends = lambda s: running(F.transform(s, lambda x: x["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    return let(spans, lambda s: F.when(F.size(s) > 0, let(F.struct(s.alias("s"), ends(s).alias("done")), of)).otherwise(text))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    return rebuilt(text, spans, lambda start, end, done: F.repeat(F.lit(" "), F.greatest(end - F.greatest(start, done), F.lit(0)).cast("int")))
+
+
 def randomness(token: Column) -> Column:
     """Score of a candidate: standard deviations away from written text towards a uniform alphabet; null if it
     has no letter or no digit or case change, or if its neighbours are correlated."""
-    folded = lambda pattern: F.when(token.rlike("^(" + pattern + ")$"), 1)
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") | token.rlike("[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]")
-    out = F.lit(None).cast("double")
+    encoding = F.lit(None)
     for name, pattern, alphabet, change, excess in reversed(ENCODINGS):
         same_case = F.lower(token) if name in ("hex", "base32") else token
-        out = F.when(folded(pattern) == 1, let(F.split(same_case, ""), _battery(alphabet, change, excess))).otherwise(out)
-    return F.when(mixed, out)
+        facts = F.struct(F.split(same_case, "").alias("chars"), F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("a"), F.lit(change).alias("change"), F.lit(excess).alias("excess"))
+        encoding = F.when(token.rlike("^(" + pattern + ")$"), facts).otherwise(encoding)
+    return F.when(mixed, let(encoding, _battery))
 
 
-def _battery(alphabet: str, change: float, excess: float):
-    """The three tests of a token's characters against this alphabet, as one score."""
-    a = float(len(alphabet))
+def _battery(e: Column) -> Column:
+    """The three tests of a token's characters against the alphabet of its encoding, as one score."""
+    a, change, excess = e["a"], e["change"], e["excess"]
 
     def tests(s):
         v, k = s["v"], s["k"]
@@ -109,7 +133,7 @@ def _battery(alphabet: str, change: float, excess: float):
         z_chi = (off + (a - 1) - chi) / F.sqrt(2 * (a - 1) + 4 * off)
         pairs = F.sequence(F.lit(1), F.size(v) - 1)
         changes = total(pairs, lambda i: F.when(F.element_at(k, i) != F.element_at(k, i + 1), 1.0).otherwise(0.0))
-        z_runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * (change * (1 - change)))
+        z_runs = (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
 
         def correlated(mean):
             var = total(v, lambda x: (x - mean) * (x - mean))
@@ -119,21 +143,25 @@ def _battery(alphabet: str, change: float, excess: float):
         serial = let(total(v, lambda x: x) / n, correlated)
         return F.when(serial <= SERIAL, (z_chi + z_runs) / 1.4142135623730951)
 
-    def of(chars):
-        value = F.transform(chars, lambda x: F.instr(F.lit(alphabet), x).cast("double"))
-        classes = F.transform(chars, lambda x: F.when(x.between("0", "9"), 0).when(x.between("A", "Z"), 1).when(x.between("a", "z"), 2).otherwise(3))
-        return let(F.struct(value.alias("v"), classes.alias("k")), tests)
-
-    return of
+    value = F.transform(e["chars"], lambda x: F.instr(e["alphabet"], x).cast("double"))
+    classes = F.transform(e["chars"], lambda x: F.when(x.between("0", "9"), 0).when(x.between("A", "Z"), 1).when(x.between("a", "z"), 2).otherwise(3))
+    return let(F.struct(value.alias("v"), classes.alias("k")), tests)
 
 
 def candidates(text: Column) -> Column:
-    """(start, k, end, score) of every candidate of a text."""
+    """(start, k, end, score) of every candidate of a text, which are the runs that its known spans leave."""
     spans = F.when(text.rlike(CANDIDATE), _positions(text, CANDIDATE, 3))
-    scored = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), randomness(F.substring(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))).alias("score")))
+    scored = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), randomness(x["token"]).alias("score")))
     return F.coalesce(F.filter(scored, lambda x: x["score"].isNotNull()), F.array().cast("array<struct<start:bigint,k:int,end:bigint,score:double>>"))
 
 
+def _known(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with secret_known, the spans of known forms, and secret_rest, the text with blanks in their place. Each
+    is a column of its own, so that the plan stays shallow."""
+    known = F.when(text.rlike(ASSIGN) | text.contains("AKIA") | text.rlike(HEX), base_spans(text))
+    return docs.withColumn("secret_known", F.coalesce(known, _none())).withColumn("secret_rest", _blanked(text, F.col("secret_known")))
+
+
 def _stratum(n: Column) -> Column:
     return sum(((n >= s).cast("int") for s in STRATA[1:]), F.lit(0))
 
@@ -149,10 +177,12 @@ def tail(z: Column) -> Column:
 def cutoffs(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[int, float]:
     """For each length class the least score that is reported; none where nothing may be.
 
-    Benjamini-Hochberg over the scores' histogram: at most TOP x BINS_A_UNIT sums for each of the
+    Spans of known forms are no candidates, so they raise no rank. Benjamini-Hochberg over the scores' histogram: at most TOP x BINS_A_UNIT sums for each of the
     length classes, however many candidates there are. A bin counts by its lower edge, the larger p.
     """
-    seen = docs.select(F.explode(candidates(F.col(text_col))).alias("c"))
+    slim = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(CANDIDATE))
+    rest = _known(slim, F.col("text")).select("secret_rest").filter(F.col("secret_rest").rlike(CANDIDATE))
+    seen = rest.select(F.explode(candidates(F.col("secret_rest"))).alias("c"))
     bins = seen.groupBy(_stratum(F.col("c.end") - F.col("c.start")).alias("stratum"), F.floor(F.least(F.greatest("c.score", F.lit(0.0)), F.lit(float(TOP))) * BINS_A_UNIT).alias("bin")).agg(F.count("*").alias("n"))
     from_top = W.partitionBy("stratum").orderBy(F.col("bin").desc())
     edge = F.col("bin") / F.lit(float(BINS_A_UNIT))
@@ -161,19 +191,16 @@ def cutoffs(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict
     return {r["stratum"]: r["least"] for r in held.collect()}
 
 
-def all_spans(text: Column, least: dict[int, float]) -> Column:
-    """Spans of known forms, and of candidates at or above their class's cut-off that touch none of them."""
-    base = base_spans(text)
-    if not least:
-        return base
-
-    def more(known):
+def with_spans(docs: DataFrame, text: Column, least: dict[int, float]) -> DataFrame:
+    """``docs`` with secret_spans: (start, k, end) of known forms, and of candidates beside them at or above their
+    class's cut-off."""
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
+    found, known, rest = _known(docs, text), F.col("secret_known"), F.col("secret_rest")
+    spans = plain(known)
+    if least:
         ok = lambda x: F.coalesce(*[F.when(_stratum(x["end"] - x["start"]) == k, x["score"] >= v) for k, v in least.items()], F.lit(False))
-        free = lambda x: ~F.exists(known, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        found = F.filter(candidates(text), lambda x: ok(x) & free(x))
-        return F.array_sort(F.concat(known, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))))
-
-    return F.when(text.rlike(CANDIDATE), let(base, more)).otherwise(base)
+        spans = F.when(rest.rlike(CANDIDATE), F.array_sort(F.concat(spans, plain(F.filter(candidates(rest), ok))))).otherwise(spans)
+    return found.withColumn("secret_spans", spans).drop("secret_known", "secret_rest")
 
 
 def _said(spans: Column) -> Column:
@@ -189,8 +216,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spans. Repeated rows are judged alike; other columns are not looked at; an empty table gives none.
     """
     least = cutoffs(docs, text_col, rate)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), all_spans(text, least).alias("s"))
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = with_spans(slim, F.col("text"), least).select("id", F.col("secret_spans").alias("s"))
     n = lambda k: F.size(F.filter("s", lambda x: x["k"] == k)).cast("long")
     return found.select(
         F.col("id").alias(id_col), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), n(3).alias("n_random"),
@@ -201,20 +228,10 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", rate: float = RATE) -> DataFrame:
     """``docs`` with every span of ``scan_secrets`` replaced by ``mark``; spans that overlap become one.
 
-    Texts without spans, and null texts, stay as they are; all columns pass through.
+    Texts without spans, and null texts, stay as they are; all columns pass through. Column names that
+    begin with ``secret_`` are the operator's own.
     """
     least = cutoffs(docs, text_col, rate)
-    text = F.col(text_col)
-
-    def rewrite(spans):
-        done = F.aggregate(
-            spans,
-            F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-            lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(
-                x["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"),
-            )).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))),
-        )
-        return let(done, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.length(text))))
-
-    any_ = text.rlike(ASSIGN) | text.contains("AKIA") | text.rlike(HEX) | text.rlike(CANDIDATE)
-    return docs.withColumn(text_col, F.when(any_, let(all_spans(text, least), lambda s: F.when(F.size(s) > 0, rewrite(s)).otherwise(text))).otherwise(text))
+    text, spans = F.col(text_col), F.col("secret_spans")
+    marked = rebuilt(text, spans, lambda start, end, done: F.when(start >= done, F.lit(mark)).otherwise(""))
+    return with_spans(docs, text, least).withColumn(text_col, marked).select(*docs.columns)
