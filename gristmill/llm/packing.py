@@ -63,12 +63,12 @@ def _load(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     model = t.model
+    special = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or "(?!)")
     parts = _Kept(lambda x: array("I", [y.id for y in model.tokenize(x if x.isascii() and x.isalnum() else x.encode().decode("latin-1").translate(_LETTERS))]).tobytes())
     plain = _Kept(lambda w: parts[w] if w.isascii() and w.isalpha() else b"".join([parts[x] for x in _PARTS.findall(w)]))
     whole = _Kept(lambda w: array("I", t.encode(w, add_special_tokens=False).ids).tobytes())
-    return t, plain, whole
+    return t, special, plain, whole
 
 
 def encode(text: str, path: str, by_word: bool = True) -> bytes:
@@ -76,12 +76,13 @@ def encode(text: str, path: str, by_word: bool = True) -> bytes:
 
     by_word: the tokenizer merges nothing across white space nor across the parts that its pattern
     finds, so a text's ids are those of its words in turn, and a frequent word is encoded once in a
-    worker. Texts with rarer characters have their words left to the whole tokenizer.
+    worker. Texts with rarer characters, or with one of the vocabulary's own added tokens, have their
+    words left to the whole tokenizer.
     """
-    t, plain, whole = held(("tokenizer", path), lambda: _load(path))
+    t, special, plain, whole = held(("tokenizer", path), lambda: _load(path))
     if not by_word:
         return array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
-    if _RARE.search(text):
+    if _RARE.search(text) or special.search(text):
         return b"".join([whole[w] for w in _SPACES.split(text) if w])
     return b"".join(map(plain.__getitem__, text.lower().split()))
 
