@@ -10,11 +10,11 @@ Only the labelled text is sampled, to a documented bound; every whole text is pa
 
 from __future__ import annotations
 
-import re
 from array import array
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ from .common import held, small_batches
 
 #: Labelled characters learned from in each language, and documents they are taken from, at most.
 SAMPLE_CHARS, SAMPLE_DOCS = 30_000, 200
+#: Languages learned at most: those with the most labelled documents, so that stray labels cannot swell the model.
+MOST_LANGUAGES = 100
 #: Words kept with their phrases in a worker.
 KEPT_WORDS = 120_000
 #: Words longer than this are parsed one by one, others of one length together.
@@ -30,7 +32,7 @@ LONG = 256
 _BITS = 48
 #: Common characters that are no letters become spaces, so that most of what stands between spaces is a word.
 _MARKS = ".,;:!?()\"'-"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 class SuffixAutomaton:
@@ -83,13 +85,15 @@ def plain_words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS, sample: int = SAMPLE_DOCS) -> dict[str, str]:
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS, sample: int = SAMPLE_DOCS, most: int = MOST_LANGUAGES) -> dict[str, str]:
     """Up to ``chars`` labelled characters for each language, as words between spaces, from the heads of at most
-    ``sample`` distinct documents chosen by a hash of their text, each with an equal share. Null labels and texts without letters teach nothing."""
+    ``sample`` distinct documents chosen by a hash of their text, each with an equal share. Null labels and texts
+    without letters teach nothing; of more than ``most`` labels those with the most documents are learned, equal
+    ones by name."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     hashed = known.withColumn("h", F.xxhash64("text", F.lit(11)).bitwiseAND((1 << 40) - 1))
     # Twice the share that is wanted, so that copies of one text may be passed over.
-    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()}
     if not counts:
         return {}
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * sample / max(1, n)) * (1 << 40))))])
@@ -201,6 +205,7 @@ class _Phrases(dict):
     def __init__(self, samples: dict[str, str]):
         self.samples = samples
         self.steps = [_Steps(SuffixAutomaton(t)) for t in samples.values()]
+        self.machines: list[SuffixAutomaton] = []  # made when the first long word is met, then kept
         self.brief: set[str] = set()
 
     def meet(self, said: set[str]) -> None:
@@ -218,7 +223,7 @@ class _Phrases(dict):
                 self.brief.update(some)
         for x, words in mixed.items():
             self[x] = sum(map(self.__getitem__, words))
-        self.brief.update(mixed)  # a word with a character like ² is counted and mixed
+        self.brief.update(mixed)
 
     def forget(self) -> None:
         """Lets what was met last go again, as far as there is more than is to be kept."""
@@ -228,8 +233,8 @@ class _Phrases(dict):
 
     def _count(self, words: list[str], length: int) -> list[int]:
         if length > LONG:
-            machines = [SuffixAutomaton(t) for t in self.samples.values()]
-            columns = [[m.phrases(f" {w} ") for w in words] for m in machines]
+            self.machines = self.machines or [SuffixAutomaton(t) for t in self.samples.values()]
+            columns = [[m.phrases(f" {w} ") for w in words] for m in self.machines]
         else:
             flat = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
             points = np.ascontiguousarray(flat.reshape(len(words), length + 2).T.astype(np.int64))
