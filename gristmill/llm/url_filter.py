@@ -53,49 +53,45 @@ def _place(word: int) -> str:
     return f"(shiftright(xxhash64(key, 1), {6 * word}) & 63)"
 
 
-def candidate_keys(host: Column, path: Column, labels: Column, chars: Column) -> Column:
-    """The host + path keys that could cover this URL: host suffixes of at most ``labels`` labels, path
-    prefixes that end in ``/`` or are the whole path, of at most ``chars`` characters."""
+def candidate_keys(host: Column, path: Column, labels: Column, lengths: Column) -> Column:
+    """The host + path keys that could cover this URL: host suffixes of at most ``labels`` labels, path prefixes of
+    every one of the ``lengths``."""
     parts = F.split(host, r"\.")
     suffixes = F.transform(
         F.sequence(F.greatest(F.lit(1), F.size(parts) - labels + 1), F.size(parts)),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
     )
-    head = F.substring(path, F.lit(1), chars)
-    steps = F.split(head, "/")
-    prefixes = F.transform(
-        F.slice(F.sequence(F.lit(0), F.size(steps) - 1), 2, F.size(steps)),
-        lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")),
-    )
-    prefixes = F.array_distinct(F.concat(prefixes, F.when(F.length(path) <= chars, F.array(path)).otherwise(F.array().cast("array<string>"))))
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """(id_col, host, path, rule, verdict) for every row of ``pages``.
 
-    ``listed`` has host, path and verdict; an entry's path ends in ``/`` or stands for that very path
-    and what lies below it. The longest entry that covers a URL gives rule and verdict; an entry
-    listed with two verdicts takes the lesser, so ``allow``. URLs that no entry covers get a null
+    ``listed`` has host, path and verdict. An entry covers every path that begins with its own, so an
+    empty path covers all and ``/private`` also ``/private-x``; one whose path does not begin with
+    ``/`` covers nothing. The longest entry that covers a URL gives rule and verdict; an entry listed
+    with two verdicts takes the lesser, so ``allow``. Every length that a listed path has is tried, so
+    the keys of a URL are its host suffixes times these lengths. URLs that no entry covers get a null
     rule and ``default``. Null or relative URLs have empty host and path, which no entry covers.
     Repeated rows stay repeated; null ids are kept; other columns are not looked at. An empty list
     gives every page ``default``. The pages are shuffled once, by id and URL, pre-aggregated.
     """
     rules = (
         listed.select(ascii_lower(F.col("host")).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("rule_verdict"))
-        .filter("h <> '' and p is not null and rule_verdict is not null")
+        .filter("h <> '' and (p = '' or p like '/%') and rule_verdict is not null")
         .groupBy(F.concat("h", "p").alias("key"))
-        .agg(F.min("rule_verdict").alias("rule_verdict"), F.max(F.length("p")).alias("chars"), F.max(F.size(F.split("h", r"\."))).alias("labels"))
+        .agg(F.min("rule_verdict").alias("rule_verdict"), F.max(F.length("p")).alias("chars"), F.sum(F.octet_length("h") + F.octet_length("p")).alias("bytes"), F.max(F.size(F.split("h", r"\."))).alias("labels"))
     )
-    n, chars, labels = rules.agg(F.count("*"), F.coalesce(F.max("chars"), F.lit(0)), F.coalesce(F.max("labels"), F.lit(1))).first()
+    n, texts, lengths, labels = rules.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0)), F.array_sort(F.collect_set("chars")), F.coalesce(F.max("labels"), F.lit(1))).first()
     bloom, blocks = bloom_blocks(rules, n)
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), F.lit(labels), F.lit(chars))
+    keys = candidate_keys(F.col("host"), F.col("path"), F.lit(labels), F.lit(lengths) if lengths else F.array().cast("array<int>"))
     own = F.array(F.lit(None).cast("string"))  # one row of each page always passes
     tried = urls.withColumn("key", F.explode(F.concat(own, F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>"))))).withColumn("block", F.when(F.col("key").isNotNull(), _block(blocks)))
     seen = " and ".join(f"shiftright(w{w}, cast({_place(w)} as int)) & 1 = 1" for w in range(WORDS))
     passed = tried.join(F.broadcast(bloom), "block", "left").filter(F.expr(f"key is null or ({seen})")).drop("block", *(f"w{w}" for w in range(WORDS)))
-    exact = passed.join(sized(rules.select("key", "rule_verdict"), n), "key", "left").filter("key is null or rule_verdict is not null")
+    exact = passed.join(sized(rules.select("key", "rule_verdict"), n, texts), "key", "left").filter("key is null or rule_verdict is not null")
     best = exact.groupBy("id", "url", "host", "path").agg(
         F.count_if(F.col("key").isNull()).alias("times"),
         F.max_by(F.struct("key", "rule_verdict"), F.when(F.col("key").isNotNull(), F.struct(F.length("key"), "key"))).alias("best"),
