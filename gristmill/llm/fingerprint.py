@@ -1,24 +1,49 @@
 """Document fingerprints by winnowing.
 
 A text's tokens are its runs of letters and digits, lower-cased, in pieces of at most ``PIECE``
-characters. Every ``K`` tokens in a row are hashed; in every ``WINDOW`` hashes in a row the least is
-chosen, the rightmost of equals, and kept with its position. Two texts that share
-``WINDOW + K - 1`` tokens in a row share a chosen hash. Column expressions only.
+characters. The rolling hash of every ``K`` tokens in a row is the polynomial of their own hashes,
+modulo a prime; in every ``WINDOW`` hashes in a row the least is chosen, the rightmost of equals, and
+kept with its position. Two texts that share ``WINDOW + K - 1`` tokens in a row share a chosen hash.
+Column expressions only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, let, shuffle_partitions
+from .common import let, shuffle_partitions
 
 PIECE, K, WINDOW = 8, 4, 8
 TOKEN = r"[\p{L}\p{N}]{1,%d}" % PIECE
-#: A chosen gram is one number: its hash's 40 bits above 24 bits of reversed position, so that the least
-#: number is the least hash at its rightmost place.
-_PLACES = 1 << 24
+#: The rolling hash's prime modulus, the greatest below 2^36, and its base; (base^2) x modulus stays below 2^63.
+PRIME, BASE = (1 << 36) - 5, 8191
+#: Bits of a gram's position. A chosen gram is one number: its hash's 36 bits above its position counted down, so
+#: that the least number is the least hash at its rightmost place.
+PLACE_BITS = 28
+
+
+def rolling(h: Column) -> Column:
+    """The hash of every K in a row of at least K token hashes, h[i] b^3 + h[i+1] b^2 + h[i+2] b + h[i+3]: each is
+    made of the hashes of its two halves, and every half serves two grams."""
+    pair = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.pmod(F.get(h, i) * BASE + F.get(h, i + 1), F.lit(PRIME)))
+    return let(pair, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: F.pmod(F.get(p, i) * (BASE * BASE) + F.get(p, i + 2), F.lit(PRIME))))
+
+
+def chosen(grams: Column, bits: int = PLACE_BITS) -> Column:
+    """The grams that winnowing chooses, packed, in order of position. No row is long enough to hold 2^28 grams; one
+    that did would fail and not be read wrongly."""
+    packed = lambda g: F.transform(g, lambda x, i: F.shiftleft(x - (1 << (63 - bits)), bits) + (F.lit((1 << bits) - 1) - i))
+    fits = lambda g: F.when(F.size(g) < (1 << bits), packed(g)).otherwise(F.raise_error(F.lit("too many grams for one text")).cast("array<bigint>"))
+
+    def lows(p):
+        least = F.transform(F.sequence(F.lit(1), F.size(p) - WINDOW + 1), lambda i: F.array_min(F.slice(p, i, WINDOW)))
+        return F.when(F.size(p) >= WINDOW, F.array_distinct(least)).otherwise(F.array(F.array_min(p)))
+
+    return let(let(grams, fits), lows)
 
 
 def winnow(text: Column) -> Column:
@@ -28,26 +53,23 @@ def winnow(text: Column) -> Column:
     text has no grams. Fewer grams than a window make one window.
     """
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    hashes = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
+    short = lambda h: F.array(F.pmod(F.xxhash64(h), F.lit(PRIME)))
+    whole = F.array(F.pmod(F.xxhash64(text), F.lit(PRIME)))
+    grams = lambda h: F.when(F.size(h) >= K, rolling(h)).when(F.size(h) > 0, short(h)).otherwise(whole)
+    return F.when(F.length(text) > 0, chosen(let(hashes, grams))).otherwise(F.array().cast("array<bigint>"))
 
-    def grams(h):
-        n = F.size(h)
-        many = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[h[i + j] for j in range(K)]))
-        return F.when(n >= K, many).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array(F.xxhash64(text)))
 
-    def packed(g):
-        return F.transform(g, lambda x, i: F.shiftleft(F.shiftright(x, 24), 24).bitwiseOR(F.lit(_PLACES - 1) - F.pmod(i, F.lit(_PLACES))))
+def hash_of(gram: Column, bits: int = PLACE_BITS) -> Column:
+    return F.shiftright(gram, bits) + (1 << (63 - bits))
 
-    def chosen(p):
-        lows = F.transform(F.sequence(F.lit(1), F.size(p) - WINDOW + 1), lambda i: F.array_min(F.slice(p, i, WINDOW)))
-        return F.when(F.size(p) >= WINDOW, F.array_distinct(lows)).otherwise(F.array(F.array_min(p)))
 
-    none = F.array().cast("array<bigint>")
-    return F.when(F.length(text) > 0, let(let(let(hashes, grams), packed), chosen)).otherwise(none)
+def place_of(gram: Column, bits: int = PLACE_BITS) -> Column:
+    return F.lit((1 << bits) - 1) - gram.bitwiseAND((1 << bits) - 1)
 
 
 def kept_hashes(grams: Column) -> Column:
-    return F.array_distinct(F.transform(grams, lambda x: F.shiftright(x, 24)))
+    return F.array_distinct(F.transform(grams, lambda x: hash_of(x)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -58,7 +80,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def said(grams: Column) -> Column:
     """``position:hash`` of each chosen gram, comma-joined."""
-    return F.array_join(F.transform(grams, lambda x: F.concat((F.lit(_PLACES - 1) - x.bitwiseAND(_PLACES - 1)).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftright(x, 24).bitwiseAND((1 << 40) - 1))))), ",")
+    return F.array_join(F.transform(grams, lambda x: F.concat(place_of(x).cast("string"), F.lit(":"), F.lower(F.hex(hash_of(x))))), ",")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,32 +91,44 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 _LAST = -(1 << 63)
 
 
-def with_next(rows: DataFrame, order: str, carried: list[str], rows_a_bucket: int = 1000) -> DataFrame:
-    """``rows`` with ``next_<c>`` of each carried column: that of the next row in descending ``order`` (a long;
-    null last), the first row's for the last.
+def with_next(rows: DataFrame, order: str, ties: str, added: dict[str, Column], carried: list[str], rows_a_range: int = 1000, most_ranges: int = 20_000) -> DataFrame:
+    """``rows`` with the ``added`` columns and ``next_<c>`` of each carried column: that of the next row in
+    descending ``order`` (a long; null last), the first row's for the last.
 
-    Rows are exchanged once, by ranges of ``order``; each range also gets the one row that follows it.
-    Ranges come from quantiles, the rows that follow them from each range's greatest value, one number
-    for each range. Rows of equal order follow each other by the hash of the carried columns.
+    Rows are exchanged once, by ranges of ``order``, and the added columns computed then; each range also gets the one row that follows it.
+    Ranges come from quantiles, at most ``most_ranges`` of them, and what follows them from each range's
+    first row, two numbers for each. Rows of equal order follow each other by a hash of ``ties``; an order that fills several quantiles, such as null ids, is parted by that hash.
     """
     spark = rows.sparkSession
-    key = F.coalesce(F.col(order), F.lit(_LAST))
+    keyed = rows.withColumn("with_key", F.coalesce(F.col(order), F.lit(_LAST))).withColumn("with_hash", F.xxhash64(ties))
     n = rows.count()
     if n == 0:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    parts = min(20_000, max(n // rows_a_bucket, 3 * shuffle_partitions(spark)))
-    steps = [i / parts for i in range(1, parts)]
-    marks = sorted(set(rows.agg(F.percentile_approx(key, steps, 20 * parts)).first()[0] or []))
-    keyed = rows.withColumn("with_key", key)
-    keyed = keyed.withColumn("bucket", _bisect(F.lit(marks), F.col("with_key"), len(marks)) if marks else F.lit(0))
-    tops = {r["bucket"]: r["top"] for r in keyed.select("bucket", "with_key").groupBy("bucket").agg(F.max("with_key").alias("top")).collect()}
-    order_ = sorted(tops)
-    follows = [(tops[order_[i - 1]], b) for i, b in enumerate(order_)]
-    ghosts = spark.createDataFrame(follows, "with_key long, to int")
-    extra = keyed.join(F.broadcast(ghosts), "with_key").withColumn("bucket", F.col("to")).withColumn("ghost", F.lit(True)).drop("to")
-    both = keyed.withColumn("ghost", F.lit(False)).unionByName(extra)
-    w = W.partitionBy("bucket").orderBy("ghost", F.col("with_key").desc(), F.xxhash64(*carried))
-    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).filter("not ghost").drop("with_key", "bucket", "ghost")
+        return rows.withColumns(added).select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+    parts = min(most_ranges, max(n // rows_a_range, 3 * shuffle_partitions(spark)))
+    found = keyed.agg(F.percentile_approx("with_key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
+    times = Counter(found)
+    marks = sorted(times)
+    # A range holds the orders above one mark up to the next; ranges are numbered downwards, as the order goes.
+    place = F.lit(len(marks)) - _bisect(F.lit(marks), F.col("with_key"), len(marks)) if marks else F.lit(0)
+    heavy = {m: 1 << (k.bit_length() + 1) for m, k in times.items() if k > 1}
+    part = F.lit(_MOST_PARTS)
+    if heavy:
+        width = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in heavy.items() for x in pair]), F.col("with_key"))
+        part = F.coalesce(F.floor((F.col("with_hash").cast("double") + 2.0**63) / 2.0**64 * width), F.lit(_MOST_PARTS)).cast("int")
+    keyed = keyed.withColumn("bucket", place.cast("long") * (2 * _MOST_PARTS) + part)
+    first = F.max(F.struct("with_key", (-1 - F.col("with_hash")).alias("turned")))
+    heads = {r["bucket"]: (r["head"]["with_key"], -1 - r["head"]["turned"]) for r in keyed.select("bucket", "with_key", "with_hash").groupBy("bucket").agg(first.alias("head")).collect()}
+    turn = sorted(heads)
+    follows = [(*heads[turn[(i + 1) % len(turn)]], b) for i, b in enumerate(turn)]
+    ghosts = spark.createDataFrame(follows, "with_key long, with_hash long, to long")
+    extra = keyed.join(F.broadcast(ghosts), ["with_key", "with_hash"]).withColumn("bucket", F.col("to")).withColumn("ghost", F.lit(True)).drop("to")
+    both = keyed.withColumn("ghost", F.lit(False)).unionByName(extra).repartition("bucket").withColumns(added)
+    w = W.partitionBy("bucket").orderBy("ghost", F.col("with_key").desc(), "with_hash")
+    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).filter("not ghost").drop("with_key", "with_hash", "bucket", "ghost")
+
+
+#: Parts of one order at most, more than there are quantiles.
+_MOST_PARTS = 1 << 16
 
 
 def _bisect(table: Column, value: Column, n: int) -> Column:
@@ -117,8 +151,7 @@ def fingerprint_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hash of their text; a lone row is its own next. near_*: Jaccard likeness of chosen hashes.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.withColumn("g", winnow(F.col("text")))
-    linked = with_next(own, "id", ["text", "g"])
+    linked = with_next(own, "id", "text", {"g": winnow(F.col("text"))}, ["text", "g"])
     n = F.length("text")
     tail = F.floor(n / 3).cast("int")
     edited = linked.select("id", n.cast("long").alias("n_chars"), "g", "next_g", F.concat(F.substring("text", F.lit(1), n - tail), F.substring("next_text", F.lit(1), tail)).alias("edited"))
