@@ -9,6 +9,8 @@ superset of what a smaller one takes.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,13 @@ from .common import WORD, cut, sized
 LEVELS = (12, 12, 12, 28)
 
 
+class Count(NamedTuple):
+    """Sources, and the bytes of their names."""
+
+    rows: int
+    texts: int
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -47,7 +56,7 @@ def targets(sizes: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
     return leveled.select("source", "source_size", F.least("most", F.coalesce(common * F.col("w"), F.col("most"))).alias("target"))
 
 
-def thresholds(slim: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+def thresholds(slim: DataFrame, plan: DataFrame, n_sources: Count) -> DataFrame:
     """(source, source_size, target, copies, cut): rows of a source are taken ``copies`` times, and once more if
     their hash is below ``cut`` (unsigned; all bits flipped at the sign so that signed order serves)."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -58,7 +67,7 @@ def thresholds(slim: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
         known = state.select(F.col("source").alias("s"), "need", "prefix")
         inside = F.lit(True) if level == 0 else F.shiftrightunsigned("h", shift) == F.col("prefix")
         hist = (
-            slim.join(sized(known, n_sources), F.col("source").eqNullSafe(F.col("s")) & inside)
+            slim.join(sized(known, *n_sources), F.col("source").eqNullSafe(F.col("s")) & inside)
             .groupBy("s", "need", "prefix", _digit(level).alias("digit"))
             .agg(F.sum("size").alias("words"))
         )
@@ -68,7 +77,7 @@ def thresholds(slim: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
         # The last level holds one hash value: it goes in if that comes nearer to the budget.
         step = F.when((F.col("e.words") - F.col("e.left") < F.col("e.left")), 1).otherwise(0) if last else F.lit(0)
         ends = ends.select("s", F.shiftleft("e.prefix", bits).bitwiseOR(F.col("e.digit")).alias("p"), F.col("e.left").alias("l"), step.cast("long").alias("step"))
-        state = state.drop("step").join(sized(ends, n_sources), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", F.col("l").alias("need"), F.col("p").alias("prefix"), F.coalesce("step", F.lit(0)).alias("step"))
+        state = state.drop("step").join(sized(ends, *n_sources), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", F.col("l").alias("need"), F.col("p").alias("prefix"), F.coalesce("step", F.lit(0)).alias("step"))
     flipped = F.col("prefix").bitwiseXOR(F.lit(-(1 << 63)))
     top = F.col("prefix") == -1  # the greatest hash: adding one would wrap
     return state.select("source", "source_size", "target", "copies", (flipped + F.when(top, 0).otherwise(F.col("step"))).alias("cut"))
@@ -90,17 +99,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return _taken(own, cuts, n, source_col).drop("mix_h")
 
 
-def mix_plan(slim: DataFrame, weights, share: float, cap: float) -> tuple[DataFrame, int]:
+def mix_plan(slim: DataFrame, weights, share: float, cap: float) -> tuple[DataFrame, Count]:
     sizes = cut(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
-    n = sizes.count()
+    n = Count(*sizes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first())
     plan = cut(targets(sizes, weights=weights, share=share, cap=cap))
     return cut(thresholds(slim, plan, n)), n
 
 
-def _taken(rows: DataFrame, cuts: DataFrame, n_sources: int, source_col: str) -> DataFrame:
+def _taken(rows: DataFrame, cuts: DataFrame, n_sources: Count, source_col: str) -> DataFrame:
     side = cuts.select(F.col("source").alias("mix_s"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_whole"), F.col("cut").alias("mix_cut"))
     more = F.when(F.col("mix_h").bitwiseXOR(F.lit(-(1 << 63))) < F.col("mix_cut"), 1).otherwise(0)
-    return rows.join(sized(side, n_sources), F.col(source_col).eqNullSafe(F.col("mix_s")), "left").withColumn("mix_copies", F.col("mix_whole") + more).drop("mix_s", "mix_whole", "mix_cut")
+    return rows.join(sized(side, *n_sources), F.col(source_col).eqNullSafe(F.col("mix_s")), "left").withColumn("mix_copies", F.col("mix_whole") + more).drop("mix_s", "mix_whole", "mix_cut")
 
 
 def mix_report(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized, small_batches
+from .common import cut, join_counted, shuffle_partitions, sized, small_batches
 from .components import components
 
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -27,6 +27,8 @@ BITS = 3
 #: From so many distinct fingerprints on, keys of two fuzzy segments (24 bits) would meet too often by
 #: chance, and longer keys with one exact segment are used. Both find every link.
 NARROW_UP_TO = 20_000_000
+#: Distinct fingerprints whose keys one task makes.
+PRINTS_A_TASK = 50_000
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -131,16 +133,20 @@ def simhash(text: Column) -> Column:
     return prints(text)
 
 
-def near_pairs(prints: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of distinct ``print`` values, a < b, that differ by at most BITS bits; a pair may be there twice."""
-    narrow = n <= NARROW_UP_TO
+def near_pairs(prints: DataFrame, n: int, narrow_up_to: int = NARROW_UP_TO) -> DataFrame:
+    """Pairs (a, b) of distinct ``print`` values, a < b, that differ by at most BITS bits; a pair may be there twice.
+
+    Each value has about a hundred keys, so the few values of a partition are dealt out before.
+    """
+    narrow = n <= narrow_up_to
 
     def keyed(batches):
         for b in batches:
             mine, sought = fuzzy_keys(b["print"].to_numpy().astype(np.int64).view(np.uint64), narrow)
             yield pd.DataFrame({"print": b["print"], "mine": list(mine), "sought": sought})
 
-    keys = prints.select("print").mapInPandas(keyed, "print long, mine array<long>, sought array<long>")
+    dealt = prints.select("print").repartition(max(shuffle_partitions(prints.sparkSession), n // PRINTS_A_TASK), "print")
+    keys = dealt.mapInPandas(keyed, "print long, mine array<long>, sought array<long>")
     left = keys.select(F.explode("mine").alias("key"), F.col("print").alias("a"))
     right = keys.select(F.explode("sought").alias("key"), F.col("print").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
@@ -148,7 +154,7 @@ def near_pairs(prints: DataFrame, n: int) -> DataFrame:
     return met.select("a", "b")
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", narrow_up_to: int = NARROW_UP_TO) -> DataFrame:
     """(id_col, print, component_id) for every row of ``docs``; component_id is the least id that links reach.
 
     Rows of one fingerprint are one node, so copies are never paired. A null text is an empty one:
@@ -157,12 +163,13 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     small_batches(docs.sparkSession)
     own = cut(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("print")))
-    nodes = cut(own.groupBy("print").agg(F.min("id").alias("least")))
-    linked = components(near_pairs(nodes, nodes.count()).distinct())
-    placed = nodes.join(linked, nodes["print"] == linked["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    nodes = cut(own.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+    n, total = nodes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    linked = components(near_pairs(nodes, n, narrow_up_to).distinct())
+    placed = nodes.join(linked, nodes["print"] == linked["node"], "left").select("print", "least", "rows", F.coalesce("root", "print").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(least, "root").select("print", "component_id")
-    return own.join(by_print, "print").select(F.col("id").alias(id_col), "print", "component_id")
+    by_print = cut(placed.join(least, "root").select("print", "component_id", "rows"))
+    return join_counted(own, by_print, "print", "rows", total).select(F.col("id").alias(id_col), "print", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
