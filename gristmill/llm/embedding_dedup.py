@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 from .components import components
 
 #: Width of a cell, in the unit of the projections (distance between unit vectors).
@@ -25,8 +25,9 @@ WIDTH = 1.2
 #: Chance with which the tables must bring together two vectors at just the threshold.
 RECALL = 0.995
 LEAST_PROJECTIONS = 12
-#: Vectors of a block; a task holds two.
-BLOCK = 512
+#: Bytes of a block's vectors, of which a task holds two, and vectors of a block at most. A vector is sent once for
+#: each block of its bucket, so blocks are as large as memory allows and compared in strips.
+BLOCK_BYTES, MOST_VECTORS, STRIP = 8 << 20, 8192, 512
 SEED = 20_240_229
 
 
@@ -72,38 +73,54 @@ def usable(embedding: Column) -> Column:
 
 def _count_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one pair of blocks of one bucket: for each vector the weight of those linked first in this table,
-    and the least vector of its part of the block."""
+    and the least vector of its part of the block. A vector is named by its least id and a hash of itself."""
     t = int(pdf["table"].iat[0])
-    pdf = pdf.drop_duplicates(["rep", "side"])
+    pdf = pdf.drop_duplicates(["rep", "vec", "side"])
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     alone = right.empty
     if alone:
         right = left
+    every = pd.concat([left[["rep", "vec"]], right[["rep", "vec"]]], ignore_index=True)
+    names = every.drop_duplicates().sort_values(["rep", "vec"], ignore_index=True)
+    number = every.merge(names.assign(number=np.arange(len(names))), on=["rep", "vec"], how="left")["number"].to_numpy()
+    n = len(left)
     x, y = _matrix(left["embedding"]), _matrix(right["embedding"])
-    near = x @ y.T >= threshold
-    near &= left["rep"].to_numpy()[:, None] != right["rep"].to_numpy()[None, :]
     kx, ky = np.stack(left["keys"]), np.stack(right["keys"])
-    first = near.copy()
-    for s in range(t):  # a pair counts in the first table that has it
-        first &= kx[:, s][:, None] != ky[:, s][None, :]
     wl, wr = left["weight"].to_numpy(), right["weight"].to_numpy()
-    reps = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
-    links = np.concatenate([first @ wr, np.zeros(len(right), dtype=np.int64) if alone else first.T @ wl])
-    # Parts that hang together, by passing the least vector on along links until nothing changes.
-    low, n = reps.copy(), len(left)
+    out_left, out_right = np.zeros(n, dtype=np.int64), np.zeros(len(right), dtype=np.int64)
+    pairs = []  # of one vector each with the first it links with on either side: enough to hang a part together
+    low = np.arange(len(names))
+    for at in range(0, n, STRIP):
+        some = slice(at, at + STRIP)
+        near = x[some] @ y.T >= threshold
+        near &= number[:n][some][:, None] != number[n:][None, :]
+        i, j = np.nonzero(near)
+        pairs.append(np.stack([number[:n][some][i], number[n:][j]]))
+        first = np.ones(len(i), dtype=bool)
+        for s in range(t):  # a pair counts in the first table that has it
+            first &= kx[some][i, s] != ky[j, s]
+        i, j = i[first], j[first]
+        out_left[some] += np.bincount(i, weights=wr[j], minlength=len(near)).astype(np.int64)
+        if not alone:
+            out_right += np.bincount(j, weights=wl[some][i], minlength=len(right)).astype(np.int64)
+        low = _settled(low, pairs[-1])
+    links = np.bincount(number, weights=np.concatenate([out_left, out_right]), minlength=len(names)).astype(np.int64)
+    out = names.assign(links=links, low_rep=names["rep"].to_numpy()[low], low_vec=names["vec"].to_numpy()[low])
+    return out[(links > 0) | (low != np.arange(len(names)))]
+
+
+def _settled(low: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """``low``, the least number known to hang together with each, after the ``pairs`` too; pointers are followed to
+    their ends."""
     while True:
-        was = low.copy()
-        for i in np.flatnonzero(near.any(axis=1)):
-            j = np.flatnonzero(near[i]) + n
-            m = min(low[i], low[j].min())
-            low[i] = m
-            low[j] = np.minimum(low[j], m)
-        if alone:
-            low[:n] = low[n:] = np.minimum(low[:n], low[n:])
-        if (was == low).all():
-            break
-    out = pd.DataFrame({"rep": reps, "links": links.astype(np.int64), "low": low})
-    return out[(out["links"] > 0) | (out["low"] != out["rep"])]
+        a, b = low[pairs[0]], low[pairs[1]]
+        apart = a != b
+        if not apart.any():
+            return low
+        low = low.copy()
+        np.minimum.at(low, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (low[low] != low).any():
+            low = low[low]
 
 
 def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -112,42 +129,49 @@ def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     Rows with equal labels link if their cosine is at least ``threshold``. Vectors that are null,
     empty or zero, or hold a null or non-finite component, and rows with a null label or id link with
     nothing: 0 links, themselves as component, kept. Copies link with each other. Vectors of different
-    lengths never meet. Repeated ids are vectors of their own that count as one node of a component.
+    lengths never meet. Repeated ids are vectors of their own, whose links are counted apart; ids are whole numbers.
     """
-    base = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    good = base.filter(F.col("label").isNotNull() & F.col("id").isNotNull() & usable(F.col("embedding")))
-    classes = cut(good.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
-    n = classes.count()
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    whole = F.col("label").isNotNull() & F.col("id").isNotNull() & usable(F.col("embedding"))
+    # Zeros of either sign are one number, so that equal vectors have equal hashes.
+    base = base.withColumn("whole", whole).withColumn("embedding", F.when(whole, F.transform("embedding", lambda x: x + 0.0))).withColumn("vec", F.xxhash64("label", "embedding"))
+    base = base.withColumn("class", F.when(F.col("whole"), F.struct("vec", F.xxhash64("embedding", "label", F.lit(1)).alias("vec2"))))  # 128 bits
+    rows = cut(base.select("id", "class"))
+    good = base.filter(F.col("class").isNotNull())
+    classes = cut(good.groupBy("label", "class", "vec", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    n, total, dim = classes.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     k, tables = tables_for(n, threshold)
+    block = max(STRIP, min(MOST_VECTORS, BLOCK_BYTES // (8 * (dim + tables))))
 
     def hashed(batches):
         for b in batches:
             dims = b["embedding"].map(len)
             for d in dims.unique():
                 some = b[dims == d]
-                yield pd.DataFrame({"label": some["label"], "rep": some["rep"], "keys": list(bucket_keys(_matrix(some["embedding"]), k, tables))})
+                yield pd.DataFrame({"label": some["label"], "rep": some["rep"], "vec": some["vec"], "keys": list(bucket_keys(_matrix(some["embedding"]), k, tables))})
 
     label = f"label {classes.schema['label'].dataType.simpleString()}"
-    keys = cut(classes.select("label", "rep", "embedding").mapInPandas(hashed, f"{label}, rep long, keys array<long>"))
-    places = keys.select("label", "rep", F.posexplode("keys").alias("table", "key"))
+    keys = cut(classes.select("label", "rep", "vec", "embedding").mapInPandas(hashed, f"{label}, rep long, vec long, keys array<long>"))
+    places = keys.select("label", "rep", "vec", F.posexplode("keys").alias("table", "key"))
     buckets = cut(places.groupBy("label", "table", "key").agg(F.count("*").alias("n")).filter("n > 1"))
     # Only vectors that share a bucket are sent on, once for each block they are held against.
     shared = places.join(buckets, ["label", "table", "key"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("rep", "vec"), blocks).cast("int")
     dealt = shared.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "label", "rep", "table", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        "label", "rep", "vec", "table", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
         F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
-    whole = classes.select("label", "rep", "embedding", "weight").join(keys, ["label", "rep"])
-    sent = dealt.join(whole, ["label", "rep"]).groupBy("label", "table", "key", "i", "j")
-    counted = cut(sent.applyInPandas(lambda pdf: _count_block(pdf, threshold), "rep long, links long, low long"))
-    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(counted.filter("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct())
-    known = classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(
-        "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")
-    )
-    rows = base.withColumn("embedding", F.when(usable(F.col("embedding")) & F.col("id").isNotNull(), F.col("embedding")))
-    out = rows.join(known, ["label", "embedding"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    vectors_ = classes.select("label", "rep", "vec", "embedding", "weight").join(keys, ["label", "rep", "vec"])
+    sent = dealt.join(vectors_, ["label", "rep", "vec"]).groupBy("label", "table", "key", "i", "j")
+    counted = cut(sent.applyInPandas(lambda pdf: _count_block(pdf, threshold), "rep long, vec long, links long, low_rep long, low_vec long"))
+    links = counted.groupBy("rep", "vec").agg(F.sum("links").alias("links"))
+    ends = counted.select(F.struct("rep", "vec").alias("a"), F.struct(F.col("low_rep").alias("rep"), F.col("low_vec").alias("vec")).alias("b"))
+    roots = components(ends.filter("a <> b").distinct()).select("node.rep", "node.vec", F.col("root.rep").alias("root"))
+    known = classes.drop("embedding").join(links, ["rep", "vec"], "left").join(roots, ["rep", "vec"], "left")
+    known = cut(known.select("class", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
+    linked = join_counted(rows.filter(F.col("class").isNotNull()), known, "class", "weight", total).select("id", "n_links", "component_id")
+    alone = rows.filter(F.col("class").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
