@@ -14,6 +14,9 @@ SENTENCES = {
     "mit-licensed": "licensed under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-licensed": "licensed under the isc license",
     "apache2-licensed": "licensed under the apache license version 2 0",
     "apache2-licensed-the": "licensed under the apache license version 2 0 the license",
     "apache2-use": "you may not use this file except in compliance with the license",
@@ -22,47 +25,108 @@ SENTENCES = {
     "gpl3-licensed": "licensed under the gnu general public license version 3",
     "gpl2-licensed": "licensed under the gnu general public license version 2",
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-only-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3-licensed": "licensed under the gnu lesser general public license version 3",
+    "agpl3-licensed": "licensed under the gnu affero general public license version 3",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "agpl-details": "see the gnu affero general public license for more details",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-details": "see the gnu general public license for more details",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-licensed": "licensed under the bsd 3 clause license",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0",
     "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "cc-by-nc4-licensed": "licensed under cc by nc 4 0",
     "cc-by4-licensed": "licensed under cc by 4 0",
     "cc-by-sa4-licensed": "licensed under cc by sa 4 0",
     "cc0-dedicated": "licensed under cc0 1 0",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-apache2": "spdx license identifier apache 2 0",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-mpl2": "spdx license identifier mpl 2 0",
+    "spdx-gpl2": "spdx license identifier gpl 2 0 only",
+    "spdx-gpl2-later": "spdx license identifier gpl 2 0 or later",
+    "spdx-gpl3": "spdx license identifier gpl 3 0 only",
+    "spdx-gpl3-later": "spdx license identifier gpl 3 0 or later",
+    "spdx-lgpl21-later": "spdx license identifier lgpl 2 1 or later",
+    "spdx-lgpl3-later": "spdx license identifier lgpl 3 0 or later",
+    "spdx-agpl3-later": "spdx license identifier agpl 3 0 or later",
+    "spdx-cc0": "spdx license identifier cc0 1 0",
+    "spdx-unlicense": "spdx license identifier unlicense",
     "all-rights": "all rights reserved copyright",
 }
 
 # Fixed values: (licence, kind, identifiers in order). Earlier rules take their identifiers first.
 RULES = (
+    ("MIT", "permissive", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", "permissive", ("mit-grant", "mit-notice")),
     ("MIT", "permissive", ("mit-released",)),
     ("MIT", "permissive", ("mit-licensed",)),
+    ("MIT", "permissive", ("spdx-mit",)),
+    ("ISC", "permissive", ("isc-grant",)),
+    ("ISC", "permissive", ("isc-licensed",)),
+    ("ISC", "permissive", ("spdx-isc",)),
+    ("Apache-2.0", "permissive", ("apache2-licensed-the", "apache2-use", "apache2-copy")),
     ("Apache-2.0", "permissive", ("apache2-licensed-the", "apache2-use")),
     ("Apache-2.0", "permissive", ("apache2-licensed-the",)),
     ("Apache-2.0", "permissive", ("apache2-licensed",)),
+    ("Apache-2.0", "permissive", ("spdx-apache2",)),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3-free", "gpl-hope", "agpl-details")),
+    ("AGPL-3.0-or-later", "copyleft", ("agpl3-free",)),
+    ("AGPL-3.0-or-later", "copyleft", ("spdx-agpl3-later",)),
+    ("AGPL-3.0-only", "copyleft", ("agpl3-licensed",)),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", "copyleft", ("lgpl3-free",)),
+    ("LGPL-3.0-or-later", "copyleft", ("spdx-lgpl3-later",)),
+    ("LGPL-3.0-only", "copyleft", ("lgpl3-licensed",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl21-free",)),
+    ("LGPL-2.1-or-later", "copyleft", ("spdx-lgpl21-later",)),
     ("GPL-3.0-or-later", "copyleft", ("gpl-free", "gpl-hope", "gpl-details")),
     ("GPL-3.0-or-later", "copyleft", ("gpl-free",)),
+    ("GPL-3.0-or-later", "copyleft", ("spdx-gpl3-later",)),
     ("GPL-3.0-only", "copyleft", ("gpl3-work",)),
     ("GPL-3.0-only", "copyleft", ("gpl3-licensed",)),
+    ("GPL-3.0-only", "copyleft", ("spdx-gpl3",)),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2-free", "gpl-hope", "gpl-details")),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2-free",)),
+    ("GPL-2.0-or-later", "copyleft", ("spdx-gpl2-later",)),
+    ("GPL-2.0-only", "copyleft", ("gpl2-only-free",)),
+    ("GPL-2.0-only", "copyleft", ("spdx-gpl2",)),
     ("GPL-2.0-only", "copyleft", ("gpl2-licensed",)),
     ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSD-3-Clause", "permissive", ("bsd-licensed",)),
+    ("BSD-3-Clause", "permissive", ("spdx-bsd3",)),
+    ("BSD-2-Clause", "permissive", ("spdx-bsd2",)),
     ("MPL-2.0", "copyleft", ("mpl2-subject",)),
+    ("MPL-2.0", "copyleft", ("spdx-mpl2",)),
+    ("EPL-2.0", "copyleft", ("epl2-terms",)),
     ("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc4-licensed",)),
     ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa4-licensed",)),
     ("CC-BY-4.0", "permissive", ("cc-by4-licensed",)),
     ("CC0-1.0", "permissive", ("cc0-dedicated",)),
+    ("CC0-1.0", "permissive", ("spdx-cc0",)),
+    ("Unlicense", "permissive", ("unlicense-free",)),
+    ("Unlicense", "permissive", ("spdx-unlicense",)),
     ("proprietary", "restricted", ("all-rights",)),
 )
 
 #: Every known sentence has one of these; texts that have none are not split.
-TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|warranty"
+TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|warranty|unencumbered"
 # Sentences that have a full stop or a blank line inside, by the words before it.
-STOPS_WITHIN = {"apache2-copy": "at", "mpl2-subject": "v"}
+STOPS_WITHIN = {"apache2-copy": "at", "mpl2-subject": "v", "epl2-terms": "v"}
 #: Line ends, and marks of a comment or a list at the head of a line.
 _LINE = r"\x0D\x0A|[\x0A-\x0D]"
 _MARK = r"(?m)^[\x20\x09]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--+|(?:dnl|rem)(?=[\x20\x09]|$))[\x20\x09]*)+"
