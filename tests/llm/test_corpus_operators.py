@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
@@ -94,6 +95,42 @@ def test_secrets_random_but_not_written(spark):
     assert sum(got[i] for i in range(len(secret), len(rows))) == 0
 
 
+def test_planted_secrets_at_corpus_mix(spark):
+    """A tenth of a per cent of the documents for each class of lengths; known forms do not take part in the count."""
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    planted = {}
+    for low, high in ((20, 31), (32, 63), (64, 120)):
+        for i in range(10):
+            alphabet = letters + "+/" if i % 2 else letters
+            planted[-low * 100 - i] = (low, f"We met at noon and the note said {make(rng.randrange(low, high), alphabet)} in plain sight.")
+    known = [(-9000 - i, f"commit {make(40, '0123456789abcdef')} done") for i in range(300)]
+    more = spark.createDataFrame([(i, t) for i, (_, t) in planted.items()] + known, docs.schema)
+    got = {r["doc_id"]: r["n_random"] for r in secret_scan.scan_secrets(docs.union(more)).collect()}
+    for low in (20, 32, 64):
+        found = [got[i] for i, (k, _) in planted.items() if k == low]
+        assert sum(x > 0 for x in found) >= 0.9 * len(found), low
+    rest = [n for i, n in got.items() if i not in planted]
+    assert sum(n > 0 for n in rest) <= 0.001 * len(rest)
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(3)
+    parts = [rng.choice(["é", " ", "token=abcd1234x", "AKIA" + "Z9" * 8, "0123456789abcdef" * 2 + "api_key=zz", "password: sh", "secret == 'longenough'", "\U0001f600", "word"]) + rng.choice([" ", "\n", ";"]) for _ in range(12_000)]
+    texts = ["".join(parts), "".join(parts[:513]), "token=abcd1234x" * 3, "0123456789abcdef" * 2 + "api_key=0123456789abcdef0123456789abcdef"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(df).collect()}
+    for r in secret_scan.scan_secrets(df).collect():
+        text, want = texts[r["doc_id"]], spans_by_hand(texts[r["doc_id"]])
+        assert r["spans"] == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
+        out, at = "", 0
+        for a, _, b in want:
+            out, at = (out + text[at:a] + "[SECRET]", b) if a >= at else (out, max(at, b))
+        assert marked[r["doc_id"]] == out + text[at:]
+
+
 def test_redaction(odd):
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(odd).collect()}
     for i, t, *_ in odd_documents():
@@ -185,14 +222,6 @@ def test_sharding_splits_a_hot_group(spark):
     assert len(sums) == 16 and max(sums) < 1.03 * min(sums)
 
 
-def winnow_by_hand(text):
-    if not text:
-        return []
-    tokens = [t for run in re.findall(r"[^\W_]+", text.lower()) for t in re.findall(".{1,8}", run)]
-    h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
-    return h
-
-
 def test_fingerprints(odd, given, none):
     for df, rows in zip((odd, given), both(odd, given), strict=True):
         order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -220,26 +249,54 @@ def test_fingerprints(odd, given, none):
 
 
 def test_winnowing_takes_the_rightmost_least(spark):
-    from pyspark.sql import functions as F
-
-    texts = ["a b c d " * 10, "one two three four five six seven eight nine ten eleven twelve thirteen", "one two"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprint.winnow(F.col("t")).alias("g"), F.transform(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0)), lambda x: F.xxhash64(x)).alias("h")).collect()
-    grams = spark.createDataFrame([(r["h"],) for r in got], "h array<long>").select(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - 4, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(4)])).alias("x")).collect()
-    for r, x in list(zip(got, grams, strict=True))[:2]:
-        g, w, want = [v >> 24 for v in x["x"]], 8, []
-        for i in range(len(g) - w + 1):
-            j = min(range(i, i + w), key=lambda k: (g[k], -k))
+    texts = ["a b c d " * 10, "one two three four five six seven eight nine ten eleven twelve thirteen", "one two", "w x " * 300, "p q r s"]
+    words = F.transform(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0)), lambda x: F.xxhash64(x))
+    grams = fingerprint.winnow(F.col("t"))
+    places, hashes = F.transform(grams, lambda x: fingerprint.place_of(x)), F.transform(grams, lambda x: fingerprint.hash_of(x))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(places.alias("places"), hashes.alias("hashes"), words.alias("h"), F.pmod(F.xxhash64(F.transform(words, lambda x: F.pmod(x, F.lit(fingerprint.PRIME)))), F.lit(fingerprint.PRIME)).alias("all")).collect()
+    for r in got:
+        if len(r["h"]) < 4:
+            assert (r["places"], r["hashes"]) == ([0], [r["all"]])
+            continue
+        h = [x % fingerprint.PRIME for x in r["h"]]
+        roll = sum(x * fingerprint.BASE ** (3 - j) for j, x in enumerate(h[:4])) % fingerprint.PRIME
+        g = [roll]
+        for out, come in zip(h, h[4:], strict=False):  # one word leaves, one comes
+            roll = ((roll - out * fingerprint.BASE**3) * fingerprint.BASE + come) % fingerprint.PRIME
+            g.append(roll)
+        want = []
+        for i in range(max(1, len(g) - 7)):
+            j = min(range(i, min(i + 8, len(g))), key=lambda k: (g[k], -k))
             if j not in want:
                 want.append(j)
-        assert [(1 << 24) - 1 - (v & ((1 << 24) - 1)) for v in r["g"]] == want
+        assert (r["places"], r["hashes"]) == (want, [g[j] for j in want])
+
+
+def test_places_of_grams_do_not_wrap(spark):
+    grams = F.array(*[F.lit(x).cast("long") for x in [5, 4, 4, 9, 7, 3, 3, 8, 8, 1, 6, 6, 2, 2, 2]])
+    one = lambda bits: spark.range(1).select(F.transform(fingerprint.chosen(grams, bits), lambda x: F.struct(fingerprint.place_of(x, bits), fingerprint.hash_of(x, bits))).alias("g")).first()["g"]
+    assert [tuple(x) for x in one(28)] == [tuple(x) for x in one(4)] == [(6, 3), (9, 1)]
+    with pytest.raises(Exception, match="too many grams"):
+        one(3)
+
+
+def test_next_row_among_many_of_one_id(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, None, 7, 7, *range(40)]), f"text {n}") for n in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.with_next(df, "doc_id", "text", {"n": F.length("text")}, ["text", "n"], rows_a_range=100).select("doc_id", "text", "next_text", "next_n", F.xxhash64("text").alias("h"))
+    order = sorted(got.collect(), key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -1), r["h"]))
+    assert Counter((r["doc_id"], r["text"]) for r in order) == Counter(rows)
+    assert all(a["next_text"] == b["text"] and a["next_n"] == len(b["text"]) for a, b in zip(order, order[1:] + order[:1], strict=True))
 
 
 def test_packing(odd, given, none):
     path = Q.tokenizer_path()
+    plain = tokenizers.Tokenizer.from_file(path)
     for df, rows in zip((odd, given), both(odd, given), strict=True):
         want, total = Counter(), 0
         for i, t, *_ in rows:
-            ids = packing.encode(t or "", path, by_word=False) + b"\0\0\0\0"
+            ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
             total += len(ids) // 4
             for p in range(0, len(ids), 8192):
                 want[(i, p // 8192, p // 4, len(ids[p : p + 8192]) // 4, zlib.crc32(ids[p : p + 8192]))] += 1
@@ -260,10 +317,13 @@ def test_packing(odd, given, none):
 
 def test_words_have_the_ids_that_the_whole_text_has():
     rng, path = random.Random(1), Q.tokenizer_path()
-    pool = [chr(c) for c in [*range(0x250), *range(0x300, 0x370), *range(0x2000, 0x2070), 0x3000, 0x1680, 0x180E, 0xFEFF, 0x1100, 0x1161]]
-    for _ in range(3000):
-        text = "".join(rng.choice(pool) for _ in range(12))
-        assert packing.encode(text, path) == packing.encode(text, path, by_word=False)
+    plain = tokenizers.Tokenizer.from_file(path)
+    pool = [chr(c) for c in [*range(0x250), *range(0x300, 0x370), *range(0x2000, 0x2070), 0x3000, 0x1680, 0x180E, 0xFEFF, 0x1100, 0x1161, 0x1F600, 0x1D400]]
+    texts = ["".join(rng.choice(pool) for _ in range(12)) for _ in range(3000)]
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|", "|>", "a", "É", " ", "\n", "n't"]
+    texts += ["".join(rng.choice(marks) for _ in range(7)) for _ in range(500)]
+    for text in texts:
+        assert packing.encode(text, path) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
 
 
 def test_plan_uses_every_piece_once():
@@ -321,6 +381,20 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
 
 
+def test_listed_paths_of_any_form(spark):
+    listed = [("example.com", "/private", "block"), ("example.com", "/private/open", "allow"), ("sub.example.com", "", "block"), ("org", "/a?", "block"), ("net", "x", "block"), ("", "/", "block")]
+    urls = [f"http://{h}{p}" for h in ("example.com", "a.example.com", "sub.example.com", "x.sub.example.com", "example.org", "comx", "net") for p in ("", "/", "/private", "/private/x", "/private-x", "/priv", "/private/open/1", "/privateer/open", "/a")]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {}
+    for i, u in enumerate(urls):
+        host, _, rest = u[7:].partition("/")
+        path = u[7 + len(host) :]
+        fits = [(len(h + p), h + p, v) for h, p, v in listed if h and (not p or p[0] == "/") and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want[i] = (max(fits)[1], max(fits)[2]) if fits else (None, "allow")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(rows, spark.createDataFrame(listed, "host string, path string, verdict string")).collect()}
+    assert got == want and len(set(want.values())) >= 4
+
+
 def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
     from pyspark.sql import functions as F
 
@@ -393,6 +467,8 @@ def test_simhash(odd, given, none):
         want = Counter((i, f"{prints[n]:016x}", least.get(to[prints[n]])) for n, (i, *_) in enumerate(rows))
         assert Counter(map(tuple, simhash.simhash_report(df).collect())) == want
     assert simhash.simhash_report(none).count() == 0
+    wide, narrow = (Counter(map(tuple, simhash.simhash_groups(odd, narrow_up_to=n).collect())) for n in (0, 1000))
+    assert wide == narrow
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and {40 + 11, 28, 31} & {r["doc_id"] for r in kept.collect()} == {28}
 
@@ -467,6 +543,26 @@ def test_embeddings(spark):
     assert got == again
 
 
+def test_embeddings_of_repeated_ids_and_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    hot = rng.standard_normal(16)
+    rows = [(i, (hot + rng.standard_normal(16) * 0.05).tolist(), 0) for i in range(300)] + [(1000 + i, hot.tolist(), 1) for i in range(50)]
+    rows += [(5, rng.standard_normal(16).tolist(), 0), (5, rows[7][1], 1), (5, [-0.0] + rows[8][1][1:], 0), (6, [0.0] + rows[8][1][1:], 0)]
+    m = np.array([r[1] for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (m @ m.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = Counter((r[0], int(n)) for r, n in zip(rows, near.sum(axis=1), strict=True))
+    for strip, most in ((512, 8192), (16, 40)):
+        monkeypatch.setattr(embedding_dedup, "STRIP", strip)
+        monkeypatch.setattr(embedding_dedup, "MOST_VECTORS", most)
+        got = Counter((r["vec_id"], r["n_links"]) for r in embedding_dedup.link_vectors(df).collect())
+        assert sum((got & want).values()) >= 0.97 * len(rows)
+        assert sum(n * c for (_, n), c in got.items()) >= 0.99 * near.sum()
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 
@@ -485,8 +581,8 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     steps = [docs]
-    for _, stage in P.STAGES:
-        steps.append(stage(spark, steps[-1], SMALL))
+    for _, step in P.STAGES:
+        steps.append(step(spark, steps[-1], SMALL))
     assert all(s.columns == docs.columns for s in steps[:-1])
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     prints = {i: print_by_hand(t) for i, t in text.items()}
@@ -533,6 +629,29 @@ def test_only_rows_without_a_letter_have_no_language(spark):
         assert any(lang.values()) == all(x is not None for x in got.values())
 
 
+def test_number_signs_are_no_letters(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "²² ½ ①", None), (-2, "² é", None), (-3, "Ⅷ ⅷ", None), (-4, "_٣_", None), (-5, "ª", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs.union(spark.createDataFrame(odd, docs.schema))).collect()}
+    assert {i for i, x in got.items() if x == "und" and i < 0} == {-1, -3, -4}
+
+
+def test_many_long_words_take_one_machine(monkeypatch):
+    made = []
+    machine = language_id.SuffixAutomaton
+    monkeypatch.setattr(language_id, "SuffixAutomaton", lambda t: made.append(t) or machine(t))
+    kept = language_id._Phrases({"a": " the cat sat ", "b": " el gato "})
+    for n in range(300, 340):
+        kept.meet({"ca" * n})
+    assert len(made) == 4
+
+
+def test_stray_labels_are_not_learned(spark):
+    rows = [("en", f"the cat number {i}") for i in range(9)] + [("fr", f"le chat numéro {i}") for i in range(9)] + [(f"x{i:02d}", "stray words") for i in range(30)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert sorted(language_id.learn(docs, most=3)) == ["en", "fr", "x00"] and len(language_id.learn(docs)) == 32
+
+
 def test_language_samples_keep_their_bound(spark):
     texts = [(lang, " ".join([w * 4] * n)) for lang, w in (("a", "x"), ("b", "y")) for n in (1, 2, 3, 20, 21, 200)]
     docs = spark.createDataFrame([(lang, t) for lang, t in texts] + [("c", "z" * 500), ("d", "z")], "lang string, text string")
@@ -585,6 +704,19 @@ modification, are permitted provided that the following conditions are met:
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at http://mozilla.org/MPL/2.0/."""
@@ -594,6 +726,7 @@ def test_licenses_wrapped_and_within_longer_sentences(spark):
     texts = {
         MIT: ("mit-grant,mit-notice", "MIT"), APACHE: ("apache2-licensed-the,apache2-use,apache2-copy", "Apache-2.0"), GPL: ("gpl-free,gpl-hope,gpl-details", "GPL-3.0-or-later"),
         BSD: ("bsd-grant,bsd-source,bsd-binary,bsd-endorse", "BSD-3-Clause"), MPL: ("mpl2-subject", "MPL-2.0"),
+        LGPL: ("lgpl21-free,lgpl-hope,lgpl-details", "LGPL-2.1-or-later"), AGPL: ("agpl3-free,gpl-hope,agpl-details", "AGPL-3.0-or-later"), ISC: ("isc-grant", "ISC"),
     }
     rows = []
     for text, want in texts.items():
@@ -604,6 +737,8 @@ def test_licenses_wrapped_and_within_longer_sentences(spark):
     rows += [
         ("This project is licensed under the MIT License.", ("mit-licensed", "MIT")), ("Licensed under the\nMIT License", ("mit-licensed", "MIT")),
         ("It is licensed under the MIT Licenses.", ("", "")), ("Relicensed under the MIT License.", ("", "")), ("Licensed under the MIT License or not.", ("", "")),
+        ("// SPDX-License-Identifier: MIT\nint x;", ("spdx-mit", "MIT")), ("<!-- SPDX-License-Identifier: GPL-2.0-or-later -->\n", ("spdx-gpl2-later", "GPL-2.0-or-later")),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0\n", ("", "")), ("This file is licensed under the MIT License.", ("mit-licensed", "MIT")), ("Released under the MIT License.", ("mit-released", "MIT")),
         ("All rights reserved.\nCopyright 2020", ("", "")), ("This work is\nlicensed under the GNU General Public License, version 3", ("gpl3-work", "GPL-3.0-only")),
         ("Licensed under the. MIT License.", ("", "")), ("Licensed under the\n\nMIT License.", ("", "")),
     ]
