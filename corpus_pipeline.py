@@ -1,6 +1,6 @@
 """Corpus pipeline: language ID, near-duplicate removal, secret scan, mixing, packing.
 
-Each stage takes the documents that the one before kept, as a table, and returns documents; the last
+Each step takes the documents that the one before kept, as a table, and returns documents; the last
 returns packed pieces.
 """
 
@@ -48,15 +48,15 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: No stage but the last could be said in SQL, and that one by a tokenizer; each is tested against brute force.
+#: No step but the last could be said in SQL, and that one by a tokenizer; each is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to ``documents``; what a stage keeps is a table of its own, in the shared folder."""
+    """All steps applied to ``documents``; what a step keeps is a table of its own, in the shared folder."""
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = cut(docs)
     return docs
