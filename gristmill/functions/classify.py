@@ -2,43 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+from importlib.resources import files
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import first_phrase, fold, ngrams, phrase_hits, tokens
-
-# Words that tell a language, folded.
-FRENCH = "de du des la le les un une et en au aux pour avec dans sur par que qui est sont nous vous votre notre stage stagiaire developpement logiciel ingenieur donnees informatique etudiant equipe poste emploi recherche ete hiver automne".split()
-ENGLISH = "the of and to in is for with on at by from we you your our this that are be will as an or intern internship software engineer developer data student team role research summer winter fall".split()
-# Seasons, words that may stand between a season and its year, and word pairs that are no season.
-SEASONS = {"summer": ["summer", "ete", "estival", "estivale"], "fall": ["fall", "autumn", "automne"], "winter": ["winter", "hiver", "hivernale"], "spring": ["spring", "printemps"]}
-FILLERS = "of de du des d the la le term session start starting intake cohort programme program".split()
-NOT_SEASONS = ["spring boot", "spring framework", "spring security", "spring mvc", "spring data", "spring cloud"]
-# Places, folded.
-PLACES = {
-    "montreal": ["montreal", "longueuil", "brossard", "westmount", "dorval"],
-    "canada": ["canada", "toronto", "ottawa", "vancouver", "calgary", "quebec", "ontario", "british columbia", "alberta", "waterloo", "halifax"],
-    "usa": ["usa", "united states", "us", "new york", "san francisco", "seattle", "boston", "chicago", "california", "texas"],
-    "international": ["united kingdom", "london", "france", "paris", "germany", "berlin", "india", "china", "japan", "brazil", "australia", "mexico", "spain"],
-    "remote": ["remote", "teletravail", "a distance", "work from home"],
-}
-CANADIAN_CODES, US_CODES = "ON QC BC AB MB SK NS NB NL PE YT NT NU".split(), "AL AK AZ AR CA CO CT FL GA HI IA ID IL IN KS KY LA MA MD ME MI MN MO MS MT NC ND NE NH NJ NM NV NY OH OK OR PA RI SC SD TN TX UT VA VT WA WI WV WY DC".split()
-# Phrases of roles, folded.
-ROLES = {
-    "swe": ["software engineer", "software engineering", "software developer", "software", "developer", "programmer", "full stack", "backend", "frontend", "web developer", "logiciel", "developpeur", "developpement logiciel"],
-    "data": ["data", "data science", "data scientist", "data analyst", "data engineer", "donnees", "science des donnees"],
-    "ml-ai": ["machine learning", "artificial intelligence", "deep learning", "ai", "apprentissage automatique", "intelligence artificielle"],
-    "security": ["cybersecurity", "security analyst", "information security", "cybersecurite"],
-    "infra": ["devops", "site reliability", "cloud engineer", "infrastructure", "infonuagique"],
-    "qa": ["quality assurance", "qa", "test automation", "assurance qualite"],
-    "general-cs": ["computer science", "informatique", "it", "technology"],
-}
-MARKERS = ["intern", "interns", "internship", "internships", "co op", "coop", "work term", "stagiaire", "stagiaires", "student", "students", "etudiant", "alternance", "apprentice"]
-DISQUALIFIERS = ["senior", "staff engineer", "principal", "director", "head of", "internal medicine"]
-NOT_INTERNSHIP_BIGRAMS = ["internal audit", "student affairs", "student services"]
-DEGREES = {"phd": ["phd required", "phd is required", "doctorate required", "currently pursuing a phd", "doctorat requis"], "masters": ["masters required", "msc required", "graduate students only", "maitrise requise"], "bachelors": ["bachelor s degree required", "bachelors degree required", "undergraduate students only", "baccalaureat requis"]}
-WORK_AUTH = ["must be authorized to work", "must be legally authorized", "no sponsorship", "us citizenship required", "canadian citizenship required"]
-NON_CS = ["marketing", "accounting", "nursing", "civil engineering", "human resources", "sales", "mechanical engineering", "comptabilite"]
+from .text import first_phrase, fold, let, ngrams, phrase_hits, tokens
+from .urls import canonical_apply_url
+
+_SAID = json.loads(files("gristmill.data").joinpath("lexicon.json").read_text(encoding="utf-8"))
+FRENCH, ENGLISH = _SAID["languages"]["french"].split(), _SAID["languages"]["english"].split()
+SEASONS = {season: said.split() for season, said in _SAID["seasons"].items()}
+FILLERS, NOT_SEASONS = _SAID["season_fillers"].split(), _SAID["not_seasons"]
+PLACES, ROLES = _SAID["places"], _SAID["roles"]
+CANADIAN_CODES, US_CODES = _SAID["canada_codes"].split(), _SAID["usa_codes"].split()
+MARKERS, DEGREES = _SAID["markers"], _SAID["degree_required"]
+#: What the screens say where no phrase of a posting tells why.
+NO_MARKER, NO_ROLE = "no internship marker in title", "no matching CS role or source category"
 
 
 def _words(xs) -> Column:
@@ -50,20 +32,27 @@ def detect_language(title: Column, body: Column) -> Column:
 
     A title under three words takes the first 40 of the body; an accented title adds one to French.
     """
-    own = tokens(fold(title))
-    seen = F.when((F.size(own) < 3) & (body != ""), F.concat(own, F.slice(tokens(fold(body)), 1, 40))).otherwise(own)
-    french, english = F.size(F.array_intersect(seen, _words(FRENCH))), F.size(F.array_intersect(seen, _words(ENGLISH)))
-    fr = french + F.when((french > 0) & F.lower(title).rlike("[àâäçéèêëîïôöùûüÿœæ]"), 1).otherwise(0)
-    return (
-        F.when((fr >= 2) & (english >= 2), F.when(fr >= 2 * english, "FR").when(english >= 2 * fr, "EN").otherwise("bilingual"))
-        .when(fr >= 2, "FR").when(english >= 2, "EN").otherwise("unknown")
-    )
+    seen = let(tokens(fold(title)), lambda own: F.when((F.size(own) < 3) & (body != ""), F.concat(own, F.slice(tokens(fold(body)), 1, 40))).otherwise(own))
+    accented = F.lower(title).rlike("[àâäçéèêëîïôöùûüÿœæ]").cast("int")
+
+    def told(n):
+        fr, en = n["fr"] + F.when(n["fr"] > 0, accented).otherwise(0), n["en"]
+        return (
+            F.when((fr >= 2) & (en >= 2), F.when(fr >= 2 * en, "FR").when(en >= 2 * fr, "EN").otherwise("bilingual"))
+            .when(fr >= 2, "FR").when(en >= 2, "EN").otherwise("unknown")
+        )
+
+    hits = lambda s: F.struct(F.size(F.array_intersect(s, _words(FRENCH))).alias("fr"), F.size(F.array_intersect(s, _words(ENGLISH))).alias("en"))
+    return let(let(seen, hits), told)
 
 
 def seasons_in(text: Column) -> Column:
     """Array of struct(season, year): season words outside blocked pairs; the year is a 202x or 203x number up to
     three words ahead through fillers, else just behind."""
-    words = tokens(fold(text))
+    return let(tokens(fold(text)), _seasons)
+
+
+def _seasons(words: Column) -> Column:
     name = F.create_map(*[F.lit(x) for season, said in SEASONS.items() for w in said for x in (w, season)])
     year = lambda w: F.when(w.rlike(r"^20[23]\d$"), w.cast("int"))
     filler = lambda w: F.array_contains(_words(FILLERS), w)
@@ -88,68 +77,224 @@ def terms_in(text: Column) -> Column:
 def resolve_term(title: Column, signals: Column, body: Column) -> Column:
     """The one term that signals and title agree on; the body speaks only if neither does; else unknown."""
     spoken = F.array_union(terms_in(title), F.flatten(F.transform(F.coalesce(signals, F.array().cast("array<string>")), terms_in)))
-    said = F.when(F.size(spoken) > 0, spoken).otherwise(terms_in(body))
-    return F.when(F.size(said) == 1, said[0]).otherwise("unknown")
+    said = let(spoken, lambda s: F.when(F.size(s) > 0, s).otherwise(terms_in(body)))
+    return let(said, lambda s: F.when(F.size(s) == 1, s[0]).otherwise("unknown"))
 
 
 def resolve_location(raw: Column) -> Column:
     """struct(bucket, remote_scope): segments between ``/ ; | •`` and line ends; montreal before canada before usa
-    before international. State and province codes count in upper case only, Canadian first."""
+    before international; remote segments in Canada before those that name neither country before those in the USA.
+
+    A place abroad is none where a longer phrase at home holds it (``new london``). Ambiguous names need
+    Canada, a province or its code in the segment; codes count in upper case only, Canadian first; a
+    phrase like ``vancouver wa`` takes the segment out of Canada.
+    """
+    most = max(p.count(" ") + 1 for said in PLACES.values() for p in said)
+    home = [p for k in ("canada_cities", "canada_regions", "usa_cities", "usa_regions") for p in PLACES[k]]
+    abroad = [p for k in ("international", "international_cities") for p in PLACES[k]]
+    # For each place abroad, the longer phrases at home that hold it as whole words.
+    held = {p: [h for h in home if len(h) > len(p) and f" {p} " in f" {h} "] for p in abroad}
 
     def flags(seg):
-        runs = ngrams(tokens(fold(seg)), 3)
-        codes = F.regexp_extract_all(seg, F.lit(r"\b[A-Z]{2}\b"), F.lit(0))
-        has = {k: F.arrays_overlap(runs, _words(v)) for k, v in PLACES.items()}
-        ca = has["canada"] | F.arrays_overlap(codes, _words(CANADIAN_CODES))
-        us = has["usa"] | (F.arrays_overlap(codes, _words(US_CODES)) & ~ca)
-        return F.struct(has["montreal"].alias("m"), (ca | has["montreal"]).alias("ca"), us.alias("us"), has["international"].alias("i"), has["remote"].alias("r"))
+        def of(runs):
+            has = {k: F.arrays_overlap(runs, _words(v)) for k, v in PLACES.items()}
+            plain = F.arrays_overlap(runs, _words([p for p in abroad if not held[p]]))
+            shadowed = [F.array_contains(runs, p) & ~F.arrays_overlap(runs, _words(hs)) for p, hs in held.items() if hs]
+            outside = plain
+            for x in shadowed:
+                outside = outside | x
+            codes = F.array_intersect(F.regexp_extract_all(seg, F.lit(r"\b[A-Z]{2}\b"), F.lit(0)), F.transform(runs, lambda t: F.upper(t)))
+            code_ca = F.arrays_overlap(codes, _words(CANADIAN_CODES))
+            code_us = F.arrays_overlap(codes, _words([x for x in US_CODES if x not in CANADIAN_CODES]))
+            near = (has["canada_country"] | has["canada_regions"] | (code_ca & ~outside)) & ~has["canada_overrides"]
+            montreal = (has["montreal"] & ~has["canada_overrides"]) | (has["montreal_ambiguous"] & near)
+            canada = montreal | near | (has["canada_cities"] & ~has["canada_overrides"] & ~outside)
+            usa = has["usa_country"] | ((has["usa_regions"] | has["usa_cities"] | code_us) & ~outside)
+            return F.struct(montreal.alias("m"), canada.alias("ca"), usa.alias("us"), outside.alias("i"), has["remote"].alias("r"))
+
+        return F.transform(F.array(ngrams(tokens(fold(seg)), most)), of)[0]
+
+    segs = F.transform(F.filter(F.split(F.coalesce(raw, F.lit("")), r"[/;|•\n]+"), lambda s: F.trim(s) != ""), flags)
+
+    def folded(all_):
+        any_ = lambda k: F.exists(all_, lambda s: s[k])
+        bucket = F.when(any_("m"), "montreal").when(any_("ca"), "canada").when(any_("us"), "usa").when(any_("i"), "international").otherwise("unknown")
+        remote = F.filter(all_, lambda s: s["r"])
+        scope = F.when(F.exists(remote, lambda s: s["ca"]), "canada").when(F.exists(remote, lambda s: ~s["ca"] & ~s["us"]), "unspecified").when(F.exists(remote, lambda s: s["us"]), "us")
+        return F.struct(bucket.alias("bucket"), scope.alias("remote_scope"))
+
+    return F.transform(F.array(segs), folded)[0]
+
+
+def location_agrees(a: Column, b: Column) -> Column:
+    """Equal buckets, neither unknown nor abroad."""
+    silent = ("unknown", "international")
+    return ~a.isin(*silent) & ~b.isin(*silent) & (a == b)
+
 
-    segs = F.transform(F.filter(F.split(F.coalesce(raw, F.lit("")), r"[/;|•\n]"), lambda s: F.trim(s) != ""), flags)
-    any_ = lambda k: F.exists(segs, lambda s: s[k])
-    bucket = F.when(any_("m"), "montreal").when(any_("ca"), "canada").when(any_("us"), "usa").when(any_("i"), "international").otherwise("unknown")
-    remote = F.filter(segs, lambda s: s["r"])
-    scope = F.when(F.exists(remote, lambda s: s["ca"]), "canada").when(F.exists(remote, lambda s: ~s["ca"] & ~s["us"]), "unspecified").when(F.exists(remote, lambda s: s["us"]), "us")
-    return F.struct(bucket.alias("bucket"), scope.alias("remote_scope"))
+def term_agrees(a: Column, b: Column) -> Column:
+    return (a != "unknown") & (b != "unknown") & (a == b)
 
 
 def classify_role(title: Column, body: Column, declared: Column) -> Column:
-    """Role of the longest phrase in the title, else in the body, else the declared one, else unknown. General
+    """Role of the longest phrase in the title, else in the body, else of the declared category, else unknown. General
     phrases give way to any other; equal lengths to the earlier place, then the name."""
     kind = F.create_map(*[F.lit(x) for role, said in ROLES.items() for p in said for x in (p, role)])
     every = [p for said in ROLES.values() for p in said]
 
     def best(folded):
         hits = F.transform(phrase_hits(folded, every), lambda p: F.struct((-F.length(p)).alias("n"), F.instr(folded, p).alias("at"), F.try_element_at(kind, p).alias("role")))
-        special = F.filter(hits, lambda h: h["role"] != "general-cs")
-        return F.get(F.array_sort(F.when(F.size(special) > 0, special).otherwise(hits)), F.lit(0))["role"]
+        special = lambda hs: F.filter(hs, lambda h: h["role"] != "general-cs")
+        first = lambda hs: F.get(F.array_sort(let(special(hs), lambda s: F.when(F.size(s) > 0, s).otherwise(hs))), F.lit(0))["role"]
+        return let(hits, first)
 
-    return F.coalesce(best(fold(title)), best(fold(body)), F.nullif(declared, F.lit("")), F.lit("unknown"))
+    known = F.create_map(*[F.lit(x) for pair in _SAID["source_roles"].items() for x in pair])
+    return F.coalesce(let(fold(title), best), let(fold(body), best), F.try_element_at(known, fold(declared)), F.lit("unknown"))
 
 
 def title_canonical(title: Column) -> Column:
     """Role of the title's longest phrase; '' if none, or if the longest ones name several roles."""
     kind = F.create_map(*[F.lit(x) for role, said in ROLES.items() for p in said for x in (p, role)])
-    hits = phrase_hits(fold(title), [p for said in ROLES.values() for p in said])
-    longest = F.filter(hits, lambda p: F.length(p) == F.length(hits[0]))
-    roles = F.array_distinct(F.transform(longest, lambda p: F.try_element_at(kind, p)))
-    return F.when(F.size(roles) == 1, roles[0]).otherwise("")
+    longest = lambda hits: F.filter(hits, lambda p: F.length(p) == F.length(hits[0]))
+    roles = F.array_distinct(F.transform(let(phrase_hits(fold(title), [p for said in ROLES.values() for p in said]), longest), lambda p: F.try_element_at(kind, p)))
+    return let(roles, lambda r: F.when(F.size(r) == 1, r[0]).otherwise(""))
 
 
 def required_degree(title: Column, body: Column) -> Column:
-    text = F.concat_ws(" ", fold(title), fold(body))
-    return F.coalesce(*[F.when(first_phrase(text, said).isNotNull(), F.lit(level)) for level, said in DEGREES.items()], F.lit("none"))
-
-
-def screen(title: Column, body: Column, language: Column, role: Column, employment: Column) -> Column:
-    """struct(reason, phrase) of the first screen that rejects, or null: no internship, graduate scope, no role."""
-    t, b = fold(title), fold(body)
-    marker = first_phrase(t, MARKERS)
-    stage = first_phrase(t, ["stage", "stages"]).isNotNull() & language.isin("FR", "bilingual")
-    wrong = first_phrase(t, DISQUALIFIERS)
-    blocked = first_phrase(t, NOT_INTERNSHIP_BIGRAMS).isNotNull() & (F.size(phrase_hits(t, MARKERS)) < 2)
-    listed = first_phrase(fold(employment), MARKERS).isNotNull()
-    no_intern = F.when(wrong.isNotNull(), wrong).when(~((marker.isNotNull() & ~blocked) | stage | listed), F.lit(""))
-    scope = F.coalesce(first_phrase(F.concat_ws(" ", t, b), DEGREES["phd"]), F.when(F.array_contains(tokens(t), "phd") & (F.size(F.array_intersect(tokens(t), _words(["bachelors", "masters", "bs", "ms", "msc"]))) == 0), F.lit("phd")))
-    no_cs = F.when(role == "unknown", F.coalesce(first_phrase(t, NON_CS), F.lit("")))
-    as_ = lambda reason, phrase: F.when(phrase.isNotNull(), F.struct(F.lit(reason).alias("reason"), phrase.alias("phrase")))
-    return F.coalesce(as_("not-an-internship", no_intern), as_("graduate-scope", scope), as_("unknown-cs-role", no_cs))
+    return resolve_eligibility(title, body)["degree"]
+
+
+def resolve_eligibility(title: Column, body: Column) -> Column:
+    """struct(degree, work_auth, phrase): the highest degree that title or body asks for, whether they rule out who
+    has no leave to work, and the phrase that said so first."""
+    said = fold(F.concat_ws(" ", title, body))
+
+    def of(text):
+        hits = {level: first_phrase(text, phrases) for level, phrases in DEGREES.items()}
+        degree = F.coalesce(*[F.when(h.isNotNull(), F.lit(level)) for level, h in hits.items()], F.lit("unknown"))
+        barred = first_phrase(text, _SAID["work_auth_excluded"])
+        return F.struct(degree.alias("degree"), barred.isNotNull().alias("work_auth"), F.coalesce(*hits.values(), barred, F.lit("")).alias("phrase"))
+
+    return F.transform(F.array(said), of)[0]
+
+
+#: Characters on either side of a phrase in which another degree takes its force.
+CLAUSE = 60
+
+
+def restricted_phrase(folded: Column, phrases: list[str], alternatives: list[str]) -> Column:
+    """The longest of ``phrases``, ties by name, that stands somewhere without one of the ``alternatives`` within
+    CLAUSE characters; the stretch may begin or end inside a word."""
+    padded = F.concat(F.lit(" "), folded, F.lit(" "))
+    most = max(p.count(" ") + 1 for p in alternatives)
+
+    def free(phrase: str):
+        parts = F.split(padded, rf"(?<= ){re.escape(phrase)}(?= )", -1)
+
+        def one(p):
+            def alone(i):
+                # Every part has a character or more, so so many of them always fill the stretch.
+                first = F.greatest(F.lit(1), i - CLAUSE // 2)
+                before = F.array_join(F.slice(p, first, i - first + 1), phrase)
+                after = F.array_join(F.slice(p, i + 1, CLAUSE // 2 + 1), phrase)
+                near = F.concat(F.right(before, F.lit(CLAUSE + 1)), F.lit(phrase), F.left(after, F.lit(CLAUSE + 1)))
+                return ~F.arrays_overlap(ngrams(tokens(near), most), _words(alternatives))
+
+            return F.when(F.size(p) > 1, F.exists(F.sequence(F.lit(1), F.size(p) - 1), alone)).otherwise(False)
+
+        return F.transform(F.array(parts), one)[0]
+
+    ranked = sorted(phrases, key=lambda p: (-len(p), p))
+    return F.coalesce(*[F.when(padded.contains(f" {p} ") & free(p), F.lit(p)) for p in ranked], F.lit(None).cast("string"))
+
+
+def _by_name(folded: Column, phrases: list[str]) -> Column:
+    return F.array_min(phrase_hits(folded, phrases))
+
+
+def screen_internship(title: Column, employment: Column) -> Column:
+    """Why a posting is no internship, or null: a phrase that rules it out; a marker only within a pair of words that
+    means something else; no marker in the title nor among declared types. French-only markers need a French title."""
+    french = detect_language(title, F.lit("")).isin("FR", "bilingual")
+    listed = first_phrase(fold(employment), _SAID["structured_internship"]).isNotNull()
+
+    def of(t):
+        def why(x):
+            matched = F.when(french, x["hits"]).otherwise(F.array_except(x["hits"], _words(_SAID["french_only_markers"])))
+            blocked = x["blocked"]
+            beside = F.exists(matched, lambda p: ~F.concat(F.lit(" "), blocked, F.lit(" ")).contains(F.concat(F.lit(" "), p, F.lit(" "))))
+            return F.coalesce(_by_name(t, _SAID["disqualifiers"]), F.when(blocked.isNotNull() & ~beside, blocked), F.when((F.size(matched) == 0) & ~listed, F.lit(NO_MARKER)))
+
+        return let(F.struct(phrase_hits(t, MARKERS).alias("hits"), _by_name(t, _SAID["blocked_bigrams"]).alias("blocked")), why)
+
+    return let(fold(title), of)
+
+
+def screen_degree(title: Column, body: Column) -> Column:
+    """The phrase that asks for a doctorate or names a graduate posting, or null."""
+    required = let(fold(F.concat_ws(" ", title, body)), lambda said: restricted_phrase(said, _SAID["phd_required"], _SAID["degree_list_tokens"]))
+
+    def of(t):
+        token = first_phrase(t, _SAID["phd_title_tokens"])
+        graduate = F.coalesce(first_phrase(t, _SAID["graduate_title_tokens"]), token)
+        return F.coalesce(F.when(first_phrase(t, _SAID["degree_list_tokens"]).isNull(), token), F.when(first_phrase(t, _SAID["undergraduate_tokens"]).isNull(), graduate))
+
+    return F.coalesce(required, let(fold(title), of))
+
+
+def screen_role(title: Column, declared: Column) -> Column:
+    """struct(reason, phrase) of a title outside computing, or null. A title of another field passes if it also has a
+    technical word and a role of its own."""
+    matched = classify_role(title, F.lit(""), declared) != "unknown"
+
+    def of(x):
+        t, role = x["t"], x["role"]
+        excepted = first_phrase(t, _SAID["technical_exceptions"]).isNotNull() & role
+        phrase = F.coalesce(F.when(~excepted, first_phrase(t, _SAID["excluded_titles"])), first_phrase(t, _SAID["non_cs"]))
+        return let(phrase, lambda p: _rejected("not-a-cs-role", p, _rejected("unknown-cs-role", F.when(~role, F.lit(NO_ROLE)))))
+
+    return let(F.struct(fold(title).alias("t"), matched.alias("role")), of)
+
+
+def _rejected(reason: str, phrase: Column, otherwise: Column | None = None) -> Column:
+    said = F.when(phrase.isNotNull(), F.struct(F.lit(reason).alias("reason"), phrase.alias("phrase")))
+    return said if otherwise is None else F.coalesce(said, otherwise)
+
+
+def screen(title: Column, body: Column, declared: Column, employment: Column) -> Column:
+    """struct(reason, phrase) of the first screen that rejects, or null: no internship, wrong degree, no computing."""
+    marked = lambda reason, phrase: let(phrase, lambda p: _rejected(reason, p))
+    return F.coalesce(marked("not-an-internship", screen_internship(title, employment)), marked("out-of-scope-degree", screen_degree(title, body)), screen_role(title, declared))
+
+
+def normalize(postings: DataFrame) -> DataFrame:
+    """``postings`` (title_raw, description, location_raw, apply_url_raw, signals' terms, category and employment_type)
+    with all that is read off them, and ``rejection``, null for those that pass.
+
+    A missing column counts as empty.
+    """
+    have = set(postings.columns)
+    get = lambda c: F.coalesce(F.col(c), F.lit("")) if c in have else F.lit("")
+    title, body = get("title_raw"), get("description")
+    signals = F.col("terms") if "terms" in have else F.lit(None).cast("array<string>")
+    out = postings.withColumn("place_", resolve_location(get("location_raw"))).withColumn("able_", resolve_eligibility(title, body))
+    return out.withColumns({
+        "apply_url_canonical": canonical_apply_url(get("apply_url_raw")), "location": F.col("place_.bucket"), "remote_scope": F.col("place_.remote_scope"),
+        "term": resolve_term(title, signals, body), "role": classify_role(title, body, get("category")), "language": detect_language(title, body),
+        "degree_requirement": F.col("able_.degree"), "work_auth_flag": F.col("able_.work_auth"), "rejection": screen(title, body, get("category"), get("employment_type")),
+    }).drop("place_", "able_")
+
+
+def split_screened(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) of ``normalize``; the second with reason and matched_phrase. Where a posting is never counts."""
+    kept = normalized.filter("rejection is null").drop("rejection")
+    return kept, to_quarantined(normalized.filter("rejection is not null"))
+
+
+QUARANTINE = ("id", "source", "company", "title_raw", "reason", "first_seen", "last_seen", "apply_url_raw", "location_raw", "location", "remote_scope", "matched_phrase")
+
+
+def to_quarantined(rejected: DataFrame) -> DataFrame:
+    """Rejected rows as rows of the quarantine; a column that is not there is empty."""
+    named = rejected.withColumn("reason", F.col("rejection.reason")).withColumn("matched_phrase", F.col("rejection.phrase"))
+    return named.select(*[F.col(c) if c in named.columns else F.lit("").alias(c) for c in QUARANTINE])

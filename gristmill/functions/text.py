@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +23,10 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Characters that fold to one character, what to, and those that fold to several: compatibility
-    decomposition without combining marks, case folded, for every character of the basic plane."""
+    """Characters that fold to one character, what to, and those that fold to several: compatibility decomposition
+    without combining marks, case folded, for every character of the planes that hold letters."""
     one, to, many = [], [], {}
-    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))):
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))):
         folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) < 0x370).casefold()
         if folded == c or 0x300 <= ord(c) < 0x370:
             continue
@@ -36,13 +38,26 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(to), many
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed, and written into the plan, once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fixed_map(pairs: dict[str, str]) -> Column:
+    """A constant map; one literal, however many entries, where an expression for each would slow every plan."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
+
+
 def unaccent(s: Column) -> Column:
-    """Compatibility characters as their plain ones, accents gone, lower case; other scripts as they are."""
+    """Compatibility characters as their plain ones, accents gone, lower case; other scripts as they are. Texts of
+    plain ASCII, by far the most, only pass one test."""
     one, to, many = _folding()
-    plain = F.lower(F.translate(F.regexp_replace(s, r"[̀-ͯ]", ""), one, to))
-    letters = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(c > "\x7f", F.coalesce(F.try_element_at(letters, c), c)).otherwise(c)), "")
-    return F.when(plain.rlike("[" + "".join(many) + "]"), spelled).otherwise(plain)
+    plain = F.translate(F.regexp_replace(s, r"[\x{300}-\x{36F}]+", ""), one, to)
+    spelled, letters = F.split(F.lit("".join(many)), ""), fixed_map(many)
+    there = lambda t: F.array_intersect(F.regexp_extract_all(t, F.lit(r"[^\x00-\x7F]"), F.lit(0)), spelled)
+    spell = lambda t: F.aggregate(there(t), t, lambda acc, c: F.replace(acc, c, F.try_element_at(letters, c)))
+    rest = let(plain, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), spell(t)).otherwise(t))
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.lower(rest)).otherwise(F.lower(s))
 
 
 def collapse_inclusive(s: Column) -> Column:
@@ -92,35 +107,111 @@ def sanitize(s: Column) -> Column:
     return F.regexp_replace(s, CONTROL, "")
 
 
+#: White space as Python's ``str.split`` knows it, without the control characters.
+_WHITE = r"\x20\t\n\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_ENDS = rf"^[{_WHITE}]+|(?<![{_WHITE}])[{_WHITE}]++\z"
+
+
+def strip(s: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(s, _ENDS, "")
+
+
 def collapse_whitespace(s: Column) -> Column:
-    return F.trim(F.regexp_replace(sanitize(s), r"[\x20\x09-\x0D\x{A0}]+", " "))
+    return strip(F.regexp_replace(sanitize(s), f"[{_WHITE}]+", " "))
+
+
+@lru_cache(maxsize=1)
+def _entities() -> tuple[dict[str, str], list[str]]:
+    """HTML's named characters by what stands between ``&`` and the end, and those that need no semicolon."""
+    return html5, sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&rsquo;": "’", "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&hellip;": "…", "&amp;": "&"}
+# Numbers that name no character of their own, as browsers read them.
+_READ_AS = dict(zip(range(0x80, 0xA0), "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178", strict=True))
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "rsquo;", "ndash;", "mdash;", "eacute;", "egrave;", "agrave;", "ccedil;", "bull;", "hellip;")
 
 
 def unescape(s: Column) -> Column:
-    """Common named entities; ``&amp;`` last, so that what it escapes stays one level down."""
-    for name, char in _ENTITIES.items():
-        s = F.replace(s, F.lit(name), F.lit(char))
-    return s
+    """Named and numbered characters of HTML read once, from left to right; what is none stays."""
+    named, bare_names = _entities()
+    pattern = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};|(?:" + "|".join(bare_names) + "))"
+    table = lambda keys: fixed_map({k: named[k] for k in keys})
+    prefix, read_as = table(bare_names), fixed_map({str(k): v for k, v in _READ_AS.items()})
+
+    def number(e):
+        hexa = F.regexp_extract(e, "[xX]0*([0-9a-fA-F]*)", 1)
+        tens = F.regexp_extract(e, "#0*([0-9]*)", 1)
+        far = F.lit(0x110000).cast("long")
+        n = F.when(F.substring(e, 3, 1).isin("x", "X"), F.when(F.length(hexa) > 8, far).otherwise(F.conv(F.concat(F.lit("0"), hexa), 16, 10).cast("long")))
+        n = n.otherwise(F.when(F.length(tens) > 9, far).otherwise(F.concat(F.lit("0"), tens).cast("long")))
+        wrong = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        silent = n.between(1, 8) | n.isin(0xB) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+        read = F.try_element_at(read_as, n.cast("string"))
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(wrong, "\ufffd").when(n == 0xD, "\r").when(n <= 0x9F, F.coalesce(read, F.when(silent, "").otherwise(char))).when(silent, "").otherwise(char)
+
+    def name(e):
+        key = F.substring(e, 2, 40)
+        head = F.regexp_extract(e, "^&(" + "|".join(bare_names) + ")", 1)
+        cut = F.when(head != "", F.concat(F.try_element_at(prefix, head), F.substring(e, F.length(head) + 2, F.length(e))))
+        return F.coalesce(F.try_element_at(table(_COMMON), key), F.try_element_at(table(named), key), cut, e)
+
+    read = lambda e: F.when(F.substring(e, 2, 1) == "#", number(e)).otherwise(name(e))
+
+    def once(t):
+        found, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+        joined = F.array_join(F.zip_with(between, F.transform(found, read), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
+
+    return let(s, once)
+
+
+def _without_scripts(s: Column) -> Column:
+    """Scripts and styles up to their own closing tag are a space; what is never closed stays. Only what lies before
+    the last closing tag is looked at, so that openings without end are not searched for again and again."""
+
+    def once(t):
+        def cut(closed):
+            whole = F.regexp_replace(closed, r"(?is)<(script|style)\b[^>]{0,4096}>.*?</\1\s*>", " ")
+            return F.concat(whole, F.substring(t, F.length(closed) + 1, F.length(t)))
+
+        head = F.regexp_extract(t, r"(?is)^(.*</(?:script|style)\s*>)", 1)
+        return F.when(t.rlike(r"(?i)</(?:script|style)\s*>"), let(head, cut)).otherwise(t)
+
+    return let(s, once)
+
+
+def _without_tags(s: Column) -> Column:
+    """Tags of 1 to 4096 characters gone. What ends at one ``>`` begins at the first ``<`` that is near enough, so each
+    part between two ``>`` is looked at once."""
+    longest = 4096
+
+    def part(x):
+        tail = F.right(x, F.lit(longest + 1))
+        at = F.instr(tail, "<")
+        return F.when((at > 0) & (at < F.length(tail)), F.left(x, F.length(x) - F.length(tail) + at - 1)).otherwise(F.concat(x, F.lit(">")))
+
+    def parts(p):
+        return F.concat(F.array_join(F.transform(F.slice(p, 1, F.size(p) - 1), part), ""), F.element_at(p, -1))
+
+    return let(s, lambda t: F.when(t.contains(">"), let(F.split(t, ">", -1), parts)).otherwise(t))
 
 
 def strip_html(s: Column) -> Column:
-    """Plain text of markup: scripts and styles gone, block tags as line ends, other tags of up to 4096
-    characters gone, entities read before and after, at most one blank line in a row."""
-    s = unescape(s)
-    s = F.regexp_replace(s, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
-    s = F.regexp_replace(s, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
-    s = F.regexp_replace(s, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol)\b[^>]*>", "\n")
-    s = F.regexp_replace(s, r"<[^<>]{1,4096}>", "")
-    s = sanitize(unescape(s))
-    s = F.regexp_replace(s, r"[ \t\x{A0}]+\n", "\n")
-    return F.trim(F.regexp_replace(s, r"\n{3,}", "\n\n"))
+    """Plain text of markup: scripts and styles a space, ends of blocks and ``br`` line ends, other tags of up to
+    4096 characters gone, characters read before and after, no white space at line ends, at most one blank line in
+    a row."""
+    s = _without_scripts(unescape(s))
+    s = F.regexp_replace(s, r"(?i)</(?:p|div|li|tr|h[1-6])>|<br\s*/?>", "\n")
+    s = _without_tags(s)
+    s = F.regexp_replace(sanitize(unescape(s)), r"(?<![ \t])[ \t]++(?=\n|\z)", "")
+    return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
 
 def first_line(s: Column) -> Column:
-    return F.trim(F.coalesce(F.get(F.filter(F.split(s, "\n"), lambda x: F.trim(x) != ""), F.lit(0)), F.lit("")))
+    lines = F.transform(F.split(sanitize(s), r"\r\n|[\n\r\x{2028}\x{2029}]"), strip)
+    return F.coalesce(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def graphemes(s: Column) -> Column:
@@ -129,8 +220,14 @@ def graphemes(s: Column) -> Column:
 
 def truncate(s: Column, most: int) -> Column:
     """At most ``most`` graphemes, the last an ellipsis if any are cut."""
-    g = graphemes(s)
-    return F.when(F.size(g) <= most, s).otherwise(F.concat(F.rtrim(F.array_join(F.slice(g, 1, most - 1), "")), F.lit("…")))
+    clean = sanitize(s)
+    g = graphemes(clean)
+    return F.when(F.length(clean) <= most, clean).when(F.size(g) <= most, clean).otherwise(F.concat(F.array_join(F.slice(g, 1, max(most - 1, 0)), ""), F.lit("…")))
+
+
+def summary(s: Column, most: int) -> Column:
+    """The first line that says anything, at most ``most`` graphemes of it."""
+    return truncate(first_line(s), most)
 
 
 def name_root(name: Column) -> Column:

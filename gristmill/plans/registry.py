@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import classify, control, text, urls
 from gristmill.operators import dedup, merge, schedule, search
-from gristmill.sources import boards, export
+from gristmill.session import shared_folder
+from gristmill.sources import custom, export
 
 from .adapters import JOBS, NOW, VISITS, jobs, table, view
 
@@ -57,31 +57,37 @@ def txt_fold(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("doc_id", F.md5("f").alias("folded"), F.length("f").cast("long").alias("n"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g'))) AS flat FROM documents""")
+_CONTROL_SQL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
+_WHITE_SQL = r"\x20\t\n\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '{_CONTROL_SQL}', '', 'g'), '[{_WHITE_SQL}]+', ' ', 'g'))) AS flat FROM documents""")
 def txt_collapse_whitespace(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.collapse_whitespace(F.col("text"))).alias("flat"))
 
 
-@query("""SELECT doc_id, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS head,
-  CASE WHEN length(text) <= 80 THEN text ELSE rtrim(left(text, 79)) || '…' END AS short FROM documents""")
+@query("""WITH d AS (SELECT doc_id, text, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) AS head FROM documents)
+  SELECT doc_id, head, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 79) || '…' END AS short, CASE WHEN length(head) <= 30 THEN head ELSE left(head, 29) || '…' END AS said FROM d""")
 def txt_first_line_truncate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.first_line(F.col("text")).alias("head"), text.truncate(F.col("text"), 80).alias("short"))
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", text.first_line(t).alias("head"), text.truncate(t, 80).alias("short"), text.summary(t, 30).alias("said"))
 
 
 def _strip_sql(c: str) -> str:
-    def unescape(x):
-        for name, char in text._ENTITIES.items():
-            x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    """What a reader sees of a page, for markup as the pages have it: named characters, scripts and styles that are
+    closed, blocks that end lines, tags."""
+    names = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+    def read(x):
+        for name, char in names.items():
+            x = f"replace({x}, '{name}', '{char}')"
         return x
 
-    x = unescape(c)
-    x = rf"regexp_replace({x}, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g')"
-    x = rf"regexp_replace({x}, '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g')"
-    x = rf"regexp_replace({x}, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol)\b[^>]*>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^<>]{{1,1000}}>', '', 'g')"
-    x = unescape(x)
-    x = rf"regexp_replace({x}, '[ \t\x{{A0}}]+\n', chr(10), 'g')"
-    return rf"trim(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'))"
+    x = f"regexp_replace({read(c)}, '(?is)<script(?:\\s[^>]*)?>.*?</script\\s*>|<style(?:\\s[^>]*)?>.*?</style\\s*>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?i)</p>|</div>|</li>|</tr>|</h[1-6]>|<br */?>', chr(10), 'g')"
+    x = read(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
+    x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: rtrim(l, ' ' || chr(9))), chr(10))"
+    return f"trim(regexp_replace({x}, '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
 
 
 @query(f"SELECT page_id, md5({_strip_sql('html')}) AS plain FROM pages")
@@ -128,12 +134,32 @@ def url_canonical(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.canonical_apply_url(u).alias("canonical"), urls.is_tracker(u).alias("tracker"))
 
 
-@query(r"""
-WITH u AS (SELECT page_id, url, regexp_extract(lower(url), '^https?://(?:www|blog|m)\.([a-z0-9-]+)\.example\.(?:com|net|org)/', 1) AS slug FROM pages)
-SELECT page_id, CASE WHEN slug <> '' THEN 'pages' END AS platform, nullif(slug, '') AS slug, starts_with(lower(url), 'https://') AS public_https FROM u""")
+#: URLs of every board form, made of a customer's key: what the URL is, and the board that it belongs to.
+_BOARD_URLS = (
+    ("https://boards.greenhouse.io/{s}/jobs/{k}", "greenhouse"), ("https://boards-api.greenhouse.io/v1/boards/{s}/jobs", "greenhouse"), ("https://job-boards.eu.greenhouse.io/en-US/{s}?x=1", "greenhouse"),
+    ("https://jobs.lever.co/{s}/{k}", "lever"), ("https://api.lever.co/v0/postings/{s}", "lever"), ("https://jobs.ashbyhq.com/{s}", "ashby"), ("http://careers.smartrecruiters.com/{s}/a", "smartrecruiters"),
+    ("https://apply.workable.com/{s}/j/1", "workable"), ("https://{s}.workable.com", "workable"), ("https://jobs.jobvite.com/{s}/job/x", "jobvite"), ("https://join.com/companies/{s}/9", "join"),
+    ("{s}.bamboohr.com/jobs", "bamboohr"), ("https://{s}.recruitee.com/o/x", "recruitee"), ("https://{s}.breezy.hr", "breezy"), ("https://secure.collage.co/jobs/{s}", "collage"),
+    ("https://{s}.teamtailor.com/jobs", "teamtailor"), ("https://{s}.jobs.personio.de/job/1", "personio"), ("https://{s}.taleo.net/careersection", "taleo"), ("https://careers-{s}.icims.com/x", "icims"),
+    ("https://{s}.njoyn.com/a", "njoyn"), ("https://{s}.eightfold.ai/careers", "eightfold"), ("https://jobs.{s}.com/careers?domain={s}.com", "eightfold"), ("https://{s}.csod.com/ux", "cornerstone"),
+    ("https://{s}.wd3.myworkdayjobs.com/en-US/Site_1/job/x", "workday"), ("https://{s}.fa.ca2.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_1/job/2", "oracle_cloud"),
+    ("https://careers.{s}.com/go/all/1", "successfactors"), ("https://jobs.{s}.com/en_CA/careers/JobDetail", "avature"),
+    ("https://boards.greenhouse.io/embed/{s}", None), ("ftp://jobs.lever.co/{s}", None), ("https://{s}.example.com/about", None), ("https://{s}.taleo.net.example.org/", None),
+)
+_BOARD_URL_SQL = "[" + ", ".join("'" + u + "'" for u, _ in _BOARD_URLS) + "]"
+_BOARD_OF_SQL = "[" + ", ".join("NULL" if p is None else f"'{p}'" for _, p in _BOARD_URLS) + "]"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_custkey % {len(_BOARD_URLS)} + 1 AS form, 'acme-' || c_custkey AS s FROM customer)
+  SELECT k, {_BOARD_OF_SQL}[form] AS platform, CASE WHEN {_BOARD_OF_SQL}[form] IS NOT NULL THEN s END AS slug,
+    CASE {_BOARD_OF_SQL}[form] WHEN 'workday' THEN 'Site_1' WHEN 'oracle_cloud' THEN 'CX_1' END AS site, CASE {_BOARD_OF_SQL}[form] WHEN 'workday' THEN 'wd3' END AS dc,
+    starts_with({_BOARD_URL_SQL}[form], 'https://') AS public_https FROM c""")
 def url_platform(spark, sf):
-    p = urls.identify(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", p["platform"].alias("platform"), p["slug"].alias("slug"), urls.public_https_url(F.col("url")).alias("public_https"))
+    form = F.element_at(F.array(*[F.lit(u) for u, _ in _BOARD_URLS]), (F.col("c_custkey") % len(_BOARD_URLS) + 1).cast("int"))
+    key = F.col("c_custkey").cast("string")
+    made = F.replace(F.replace(form, F.lit("{s}"), F.concat(F.lit("acme-"), key)), F.lit("{k}"), key)
+    u = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), made.alias("u")).withColumn("p", urls.identify(F.col("u")))
+    return u.select("k", "p.platform", "p.slug", "p.site", "p.dc", urls.public_https_url(F.col("u")).alias("public_https"))
 
 
 # Classification
@@ -149,38 +175,81 @@ def lng_detect(spark, sf):
     return table(spark, sf, "documents").select("doc_id", classify.detect_language(F.col("text"), F.lit("")).alias("language"))
 
 
-@query("""SELECT o_orderkey, concat(CASE month(o_orderdate) % 4 WHEN 0 THEN 'summer' WHEN 1 THEN 'fall' WHEN 2 THEN 'winter' ELSE 'spring' END, '-',
-  CAST(2020 + o_orderkey % 9 AS STRING)) AS term, CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 8 THEN 1 ELSE 0 END AS INT) AS season_year FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS k, ['summer', 'fall', 'winter', 'spring'][month(o_orderdate) % 4 + 1] AS s, 2020 + k % 9 AS y, 2020 + k % 5 AS y2, k % 7 AS form, o_orderdate FROM orders)
+  SELECT k, CASE form WHEN 0 THEN s || '-' || y WHEN 1 THEN s || '-' || y WHEN 2 THEN 'unknown' WHEN 3 THEN s || '-' || y2 WHEN 4 THEN CASE WHEN y = y2 THEN s || '-' || y ELSE 'unknown' END WHEN 5 THEN 'unknown' ELSE s || '-' || y END AS term,
+    CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 8 THEN 1 ELSE 0 END AS INT) AS season_year FROM o""")
 def trm_resolve(spark, sf):
-    season = F.element_at(F.array(*map(F.lit, ("Session d'été", "Automne", "Winter term", "Spring"))), (F.month("o_orderdate") % 4 + 1).cast("int"))
-    title = F.concat(F.lit("Intern, spring boot - "), season, F.lit(" "), (2020 + F.col("o_orderkey") % 9).cast("string"))
-    return table(spark, sf, "orders").select("o_orderkey", classify.resolve_term(title, F.lit(None).cast("array<string>"), F.lit("")).alias("term"), control.upcoming_season_year(F.col("o_orderdate")).alias("season_year"))
+    """Seven forms: the year behind, or ahead through fillers; no year; a declared term alone, and against the title's;
+    two terms; the body's."""
+    k = F.col("o_orderkey")
+    season = F.element_at(F.array(*map(F.lit, ("été", "Automne", "Winter", "Spring"))), (F.month("o_orderdate") % 4 + 1).cast("int"))
+    plain = F.element_at(F.array(*map(F.lit, ("Summer", "Fall", "Winter", "Spring"))), (F.month("o_orderdate") % 4 + 1).cast("int"))
+    y, y2, form = (2020 + k % 9).cast("string"), (2020 + k % 5).cast("string"), k % 7
+    said = lambda *xs: F.concat_ws(" ", *[F.lit(x) if isinstance(x, str) else x for x in xs])
+    title = (
+        F.when(form == 0, said("Intern, spring boot -", season, y)).when(form == 1, said("Developer", season, "term of the", y)).when(form == 2, said("Intern", season)).when(form == 3, said("Intern"))
+        .when(form == 4, said("Intern", season, y)).when(form == 5, said("Intern", season, y, "or Summer 1999, Fall 2030 and Winter 2031")).otherwise("Intern")
+    )
+    signals = F.when(form.isin(3, 4), F.array(said(plain, y2)))
+    body = F.when(form == 6, said("We start in", plain, y)).when(form == 0, "Another, Fall 2038").otherwise("")
+    o = table(spark, sf, "orders")
+    return o.select(k.alias("k"), classify.resolve_term(title, signals, body).alias("term"), control.upcoming_season_year(F.col("o_orderdate")).alias("season_year"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR n_name = 'CANADA' THEN 'canada' WHEN n_name = 'UNITED STATES' OR c_custkey % 3 = 1 THEN 'usa'
-  WHEN n_name IN ('FRANCE','GERMANY','INDIA','CHINA','JAPAN','BRAZIL','UNITED KINGDOM') THEN 'international' ELSE 'unknown' END AS bucket,
-  CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 3 = 1 THEN 'us' WHEN c_custkey % 3 = 0 THEN 'canada' ELSE 'unspecified' END END AS scope
-  FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+#: Places and what they are: bucket, and scope if the segment were remote.
+_PLACES = (
+    ("Kitchener, ON", "canada", "canada"), ("Austin, TX", "usa", "us"), ("Anywhere", "unknown", "unspecified"), ("Montréal, QC", "montreal", "canada"), ("London, Ontario", "canada", "canada"), ("London", "international", "unspecified"),
+    ("New London, CT", "usa", "us"), ("Waterloo", "unknown", "unspecified"), ("Waterloo, Canada", "canada", "canada"), ("Laval, QC", "montreal", "canada"), ("Vancouver, WA", "usa", "us"), ("Paris, Texas", "usa", "us"), ("in or me", "unknown", "unspecified"),
+)
+_PLACE_SQL = lambda i: "[" + ", ".join(f"'{p[i]}'" for p in _PLACES) + "]"
+_OF_NATION = "CASE WHEN n_name = 'CANADA' THEN 'canada' WHEN n_name = 'UNITED STATES' THEN 'usa' WHEN n_name IN ('FRANCE','GERMANY','INDIA','CHINA','JAPAN','BRAZIL','UNITED KINGDOM') THEN 'international' ELSE 'unknown' END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, c_custkey % {len(_PLACES)} + 1 AS i, {_OF_NATION} AS own FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  p AS (SELECT c_custkey, {_PLACE_SQL(1)}[i] AS a, own AS b, {_PLACE_SQL(2)}[i] AS s FROM c)
+  SELECT c_custkey, CASE WHEN 'montreal' IN (a, b) THEN 'montreal' WHEN 'canada' IN (a, b) THEN 'canada' WHEN 'usa' IN (a, b) THEN 'usa' WHEN 'international' IN (a, b) THEN 'international' ELSE 'unknown' END AS bucket,
+    CASE WHEN c_custkey % 2 = 0 THEN s END AS scope FROM p""")
 def loc_resolve(spark, sf):
     c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    place = F.element_at(F.array(F.lit("Kitchener, ON"), F.lit("Austin, TX"), F.lit("Anywhere")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    place = F.element_at(F.array(*[F.lit(p) for p, _, _ in _PLACES]), (F.col("c_custkey") % len(_PLACES) + 1).cast("int"))
     raw = F.concat(place, F.when(F.col("c_custkey") % 2 == 0, " (Remote)").otherwise(""), F.lit(" / "), F.col("n_name"))
     l = classify.resolve_location(raw)  # noqa: E741
     return c.select("c_custkey", l["bucket"].alias("bucket"), l["remote_scope"].alias("scope"))
 
 
-_TITLES = ("Software Developer Intern", "Stagiaire en science des données", "Senior Software Engineer", "Marketing Intern", "PhD Intern - Machine Learning", "Internal Audit Student", "Stage en développement logiciel", "Nurse")
-_SCREENED = (("", "", "swe"), ("", "", "data"), ("not-an-internship", "senior", "swe"), ("unknown-cs-role", "marketing", "unknown"), ("graduate-scope", "phd", "ml-ai"), ("not-an-internship", "", "unknown"), ("", "", "swe"), ("not-an-internship", "", "unknown"))
+#: Parts of titles, with what each does: markers (reason, phrase), roles (role, phrase of another field), degrees.
+_MARKED = (("Intern", None), ("Summer Student", None), ("Senior", "senior"), ("Student Services", "student services"), ("Internal Audit Intern", None), ("Permanent", "no internship marker in title"))
+_FIELDS = (("Software Developer", "swe", None), ("Data Analyst", "data", None), ("Marketing", "unknown", "marketing"), ("Marketing Data", "data", None), ("Nursing Informatics Data", "data", "nursing"), ("Barista", "unknown", None), ("Machine Learning", "ml-ai", None))
+_SCOPES = (("", None), ("PhD", "phd"), ("PhD or MSc", "phd"), ("Graduate", "graduate"), ("Graduate or Undergraduate", None))
+_pick = lambda xs, i: "[" + ", ".join("NULL" if x[i] is None else f"'{x[i]}'" for x in xs) + "]"
 
 
-@query("SELECT p_partkey, " + ", ".join(f"{sql_list([x[i] for x in _SCREENED])}[p_partkey % 8 + 1] AS {n}" for i, n in enumerate(("reason", "phrase", "role"))) + " FROM part")
+@query(f"""WITH p AS (SELECT p_partkey, {_pick(_MARKED, 1)}[p_partkey % 6 + 1] AS m, p_partkey // 6 % 7 + 1 AS f, {_pick(_SCOPES, 1)}[p_partkey // 42 % 5 + 1] AS d FROM part),
+  s AS (SELECT *, {_pick(_FIELDS, 1)}[f] AS role, {_pick(_FIELDS, 2)}[f] AS other FROM p)
+  SELECT p_partkey, role, CASE WHEN m IS NOT NULL THEN 'not-an-internship' WHEN d IS NOT NULL THEN 'out-of-scope-degree' WHEN other IS NOT NULL THEN 'not-a-cs-role' WHEN role = 'unknown' THEN 'unknown-cs-role' END AS reason,
+    CASE WHEN m IS NOT NULL THEN m WHEN d IS NOT NULL THEN d WHEN other IS NOT NULL THEN other WHEN role = 'unknown' THEN 'no matching CS role or source category' END AS phrase FROM s""")
 def scr_screen(spark, sf):
-    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    lang = classify.detect_language(title, F.lit(""))
-    p = table(spark, sf, "part").select("p_partkey", title.alias("t"), F.when(title.startswith("Stage"), "FR").otherwise(lang).alias("lang"))
-    p = p.withColumn("role", classify.classify_role(F.col("t"), F.lit(""), F.lit("")))
-    s = classify.screen(F.col("t"), F.lit(""), F.col("lang"), F.col("role"), F.lit(""))
-    return p.select("p_partkey", F.coalesce(s["reason"], F.lit("")).alias("reason"), F.coalesce(s["phrase"], F.lit("")).alias("phrase"), "role")
+    k = F.col("p_partkey")
+    part = lambda xs, i: F.element_at(F.array(*[F.lit(x[0]) for x in xs]), (i + 1).cast("int"))
+    title = F.concat_ws(" ", part(_FIELDS, F.floor(k / 6) % 7), part(_MARKED, k % 6), part(_SCOPES, F.floor(k / 42) % 5))
+    none = F.lit("")
+    p = table(spark, sf, "part").select("p_partkey", title.alias("t")).withColumn("s", classify.screen(F.col("t"), none, none, none))
+    return p.select("p_partkey", classify.classify_role(F.col("t"), none, none).alias("role"), "s.reason", "s.phrase")
+
+
+#: Sentences of a body: degrees asked for, alone or beside an alternative near by or far off; leave to work.
+_ASKED = (
+    ("", "unknown", None, False), ("PhD required.", "phd", "phd required", False), ("PhD required, or a Master with experience.", "phd", None, False), ("Bachelor's degree required.", "bachelors", None, False),
+    ("PhD required. We are a small team that has worked for many years on compilers and tools. A Master is welcome elsewhere.", "phd", "phd required", False), ("Masters required. No sponsorship.", "masters", None, True), ("No sponsorship", "unknown", None, True),
+)
+
+
+@query(f"""WITH p AS (SELECT s_suppkey, s_suppkey % {len(_ASKED)} + 1 AS i FROM supplier)
+  SELECT s_suppkey, {_pick(_ASKED, 1)}[i] AS degree, {_pick(_ASKED, 2)}[i] AS restricted, [{', '.join(str(x[3]).lower() for x in _ASKED)}][i] AS work_auth FROM p""")
+def elg_resolve(spark, sf):
+    body = F.element_at(F.array(*[F.lit(x[0]) for x in _ASKED]), (F.col("s_suppkey") % len(_ASKED) + 1).cast("int"))
+    s = table(spark, sf, "supplier").select("s_suppkey", body.alias("b")).withColumn("e", classify.resolve_eligibility(F.lit("Intern"), F.col("b")))
+    return s.select("s_suppkey", "e.degree", classify.screen_degree(F.lit("Intern"), F.col("b")).alias("restricted"), "e.work_auth")
 
 
 # Lists, counts and compositions
@@ -250,26 +319,13 @@ def posting_detail(spark, sf):
     return j.join(c, j["duplicate_of"] == c["canonical"]).select("id", "company", "canonical", "canonical_status")
 
 
-@query(f"{WITH_JOBS} SELECT id, duplicate_of FROM jobs WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT id FROM jobs)")
+@query(f"{WITH_JOBS}, open_jobs AS (SELECT * FROM jobs WHERE status = 'open') SELECT id, duplicate_of FROM open_jobs WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT id FROM open_jobs)")
 def dangling_duplicates(spark, sf):
-    j = jobs(spark, sf)
+    """Of open rows alone, so that canonical rows that are closed are missing."""
+    j = jobs(spark, sf).filter("status = 'open'")
     return j.filter("duplicate_of is not null").select("id", "duplicate_of").join(j.select(F.col("id").alias("c")), F.col("duplicate_of") == F.col("c"), "left_anti")
 
 
-@query(f"""{WITH_JOBS} SELECT * FROM (
-  SELECT 'dangling' AS finding, count(*) AS n FROM jobs WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT id FROM jobs)
-  UNION ALL SELECT 'chained', count(*) FROM jobs a JOIN jobs b ON a.duplicate_of = b.id WHERE b.duplicate_of IS NOT NULL
-  UNION ALL SELECT 'inverted', count(*) FROM jobs a JOIN jobs b ON a.duplicate_of = b.id WHERE a.rank < b.rank
-  UNION ALL SELECT 'self', count(*) FROM jobs WHERE duplicate_of = id)""")
-def integrity_findings(spark, sf):
-    j = jobs(spark, sf).select("id", "rank", "duplicate_of")
-    up = j.select(F.col("id").alias("c_id"), F.col("rank").alias("c_rank"), F.col("duplicate_of").alias("c_dup"))
-    met = j.filter("duplicate_of is not null").join(up, F.col("duplicate_of") == F.col("c_id"), "left")
-    said = {"dangling": "c_id is null", "chained": "c_dup is not null", "inverted": "rank < c_rank", "self": "duplicate_of = id"}
-    one = met.agg(*[F.count_if(F.expr(e)).alias(k) for k, e in said.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("finding"), F.col(k).alias("n")) for k in said])).alias("x")).select("x.*")
-
-
 # Merges
 
 
@@ -355,10 +411,11 @@ def flatten_chains(spark, sf):
     return merge.flatten_chains(links)
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS said FROM conversations""")
+@query("""SELECT conv_id, turn, md5(w) AS said, length(w)::BIGINT AS n FROM (
+  SELECT conv_id, turn, last_value(CASE WHEN role = 'user' AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM conversations)""")
 def carry_forward(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.left("text", F.lit(20))).otherwise("").alias("said"))
-    return merge.carry_forward(c, "conv_id", "turn", "said")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).otherwise("").alias("said"))
+    return merge.carry_forward(c, "conv_id", "turn", "said").select("conv_id", "turn", F.md5("said").alias("said"), F.length("said").cast("long").alias("n"))
 
 
 @query(f"{WITH_JOBS} SELECT count(*) FILTER ({_KEY} % 3 = 0) AS added, count(*) FILTER ({_KEY} % 3 <> 0) AS updated FROM jobs WHERE {_KEY} % 2 = 0")
@@ -381,7 +438,8 @@ _PAIRS_SQL = f"""
 WITH j AS ({_PARTS_JOBS}), amb AS (SELECT source, url FROM j WHERE url <> '' GROUP BY 1, 2 HAVING count(*) > 1),
 p AS (
   SELECT a.id AS a, b.id AS b,
-    CASE WHEN a.url <> '' AND a.url = b.url AND NOT EXISTS (SELECT 1 FROM amb WHERE amb.url = a.url AND amb.source IN (a.source, b.source)) THEN 0
+    CASE WHEN a.url <> '' AND a.url = b.url AND a.url NOT IN (SELECT url FROM amb) THEN 0
+      WHEN a.url <> '' AND a.url = b.url THEN NULL
       WHEN a.company_fold = b.company_fold AND a.location = 'canada' AND b.location = 'canada' AND a.title_key = b.title_key THEN 1
       WHEN a.company_fold = b.company_fold AND a.location = 'canada' AND b.location = 'canada' AND a.language <> b.language AND a.term = b.term AND a.term <> 'unknown' AND a.title_canonical = b.title_canonical AND a.title_canonical <> '' THEN 2 END AS r
   FROM j a JOIN j b ON a.board <> b.board AND (a.rank < b.rank OR (a.rank = b.rank AND a.id < b.id)) AND (a.url = b.url OR a.company_fold = b.company_fold))
@@ -401,9 +459,7 @@ def ambiguous_urls(spark, sf):
 @query()
 def dedup_clusters(spark, sf):
     j = view(spark, sf, _PARTS_JOBS)
-    pairs = dedup.candidate_pairs(j)
-    links = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    return dedup.resolve(j, pairs, dedup.components_of(links))
+    return dedup.resolve(j, dedup.candidate_pairs(j))
 
 
 # Scheduling, health and reports
@@ -433,18 +489,14 @@ _VISIT_STATE = f"""WITH v AS ({VISITS}), s AS (
 @query(f"""{_VISIT_STATE} SELECT board, failures, CAST(CASE WHEN failures >= 3 THEN least(6 * pow(2, least(failures - 3, 8)), 168) END AS BIGINT) AS rest_hours,
   CASE WHEN failures > 0 THEN 'failing' WHEN last_success < TIMESTAMP '2024-01-29' THEN 'stale' ELSE 'healthy' END AS state FROM f""")
 def visit_states(spark, sf):
-    v = view(spark, sf, VISITS)
-    good = F.max(F.when(F.col("failed") == 0, F.col("ts"))).over(W.partitionBy("board"))
-    s = v.withColumn("last_success", good).groupBy("board", "last_success").agg(F.count_if((F.col("failed") == 1) & (F.col("last_success").isNull() | (F.col("ts") > F.col("last_success")))).alias("failures"))
+    s = schedule.visit_runs(view(spark, sf, VISITS))
     state = F.when(F.col("failures") > 0, "failing").when(F.col("last_success") < F.lit("2024-01-29").cast("timestamp"), "stale").otherwise("healthy")
     return s.select("board", "failures", control.rest_hours(F.col("failures")).alias("rest_hours"), state.alias("state"))
 
 
 @query(f"{_VISIT_STATE} SELECT board, failures FROM f ORDER BY last_success IS NOT NULL, last_success, board LIMIT 25")
 def stalest_first(spark, sf):
-    v = view(spark, sf, VISITS)
-    good = F.max(F.when(F.col("failed") == 0, F.col("ts"))).over(W.partitionBy("board"))
-    s = v.withColumn("last_success", good).groupBy("board", "last_success").agg(F.count_if((F.col("failed") == 1) & (F.col("last_success").isNull() | (F.col("ts") > F.col("last_success")))).alias("failures"))
+    s = schedule.visit_runs(view(spark, sf, VISITS))
     return s.orderBy(F.col("last_success").asc_nulls_first(), "board").limit(25).select("board", "failures")
 
 
@@ -464,11 +516,13 @@ def control_math(spark, sf):
     )
 
 
-@query(f"""WITH s AS (SELECT CAST(s_suppkey AS STRING) AS k, s_suppkey % 7 AS demand FROM supplier)
-  SELECT k, demand, greatest(0, least(demand, 200 - coalesce(sum(demand) OVER (ORDER BY demand DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS granted FROM s""")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 7 AS demand FROM supplier),
+  g AS (SELECT *, 1 + greatest(0, least(greatest(demand - 1, 0), 250 - (SELECT count(*) FROM s) - coalesce(sum(greatest(demand - 1, 0)) OVER (ORDER BY greatest(demand - 1, 0) DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS got FROM s),
+  t AS (SELECT *, greatest(0, 250 - (SELECT sum(got) FROM g)) AS rest FROM g)
+  SELECT k, demand, CAST(got + greatest(0, least(greatest(3 - got, 0), rest - coalesce(sum(greatest(3 - got, 0)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS granted FROM t""")
 def page_budgets(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), (F.col("s_suppkey") % 7).alias("demand"))
-    return schedule.page_budgets(s.withColumn("o", -F.col("demand")), 200, ["o", "k"]).select("k", "demand", F.col("granted").cast("long").alias("granted"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 7).alias("demand"))
+    return schedule.page_budgets(s, 250, "k", "demand", least=1, top_up=3).select("k", "demand", F.col("granted").cast("long").alias("granted"))
 
 
 @query("""WITH c AS (SELECT c_custkey, count(o_orderkey) FILTER (o_orderstatus = 'O') AS postings, max(o_orderdate) AS seen FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
@@ -482,18 +536,18 @@ def coverage_states(spark, sf):
 
 
 _TOKS = "list_distinct(list_filter(string_split({f}, ' '), lambda t: t <> ''))"
+#: Names of the register: a brand's number and type, so that names like ``blue ring economy`` are within some.
+_REGISTER = "SELECT DISTINCT concat_ws(' ', split_part(p_name, ' ', 2), p_type) AS name FROM part WHERE p_size < 10"
 
 
-@query(f"""WITH n AS (SELECT DISTINCT p_name AS name, {_TOKS.format(f=fold_sql('p_name'))} AS toks FROM part WHERE p_partkey % 2 = 0),
-  r AS (SELECT DISTINCT list_distinct(string_split({fold_sql('p_name')}, ' '))[1:2] AS toks FROM (SELECT p_name FROM part WHERE p_partkey % 31 = 1)),
-  rr AS (SELECT DISTINCT {_TOKS.format(f=fold_sql('p_name'))} AS toks FROM part WHERE p_partkey % 31 = 1)
-  SELECT name FROM n WHERE NOT EXISTS (SELECT 1 FROM rr WHERE (len(list_filter(n.toks, lambda x: NOT list_contains(rr.toks, x))) = 0 OR len(list_filter(rr.toks, lambda x: NOT list_contains(n.toks, x))) = 0)
+@query(f"""WITH n AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part), nt AS (SELECT name, {_TOKS.format(f=fold_sql('name'))} AS toks FROM n),
+  rr AS (SELECT {_TOKS.format(f=fold_sql('name'))} AS toks FROM ({_REGISTER}))
+  SELECT name FROM nt n WHERE NOT EXISTS (SELECT 1 FROM rr WHERE (len(list_filter(n.toks, lambda x: NOT list_contains(rr.toks, x))) = 0 OR len(list_filter(rr.toks, lambda x: NOT list_contains(n.toks, x))) = 0)
     AND (len(list_filter(list_intersect(n.toks, rr.toks), lambda x: NOT list_contains({sql_list(text.GENERIC_TOKENS)}, x))) > 0 OR len(list_intersect(n.toks, rr.toks)) >= 2))""")
 def unregistered_names(spark, sf):
-    p = table(spark, sf, "part")
-    toks = F.array_distinct(text.tokens(text.fold(F.col("p_name"))))
-    names = p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), toks.alias("toks")).distinct()
-    return schedule.unregistered(names, p.filter("p_partkey % 31 = 1").select(toks.alias("reg_toks")).distinct()).select("name")
+    toks = F.array_distinct(text.tokens(text.fold(F.col("name"))))
+    names = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct().withColumn("toks", toks)
+    return schedule.unregistered(names, view(spark, sf, _REGISTER).select(toks.alias("reg_toks"))).select("name")
 
 
 @query(f"""WITH v AS ({VISITS}), r AS (SELECT source, CAST(ts AS DATE) AS d, count(*) AS n, sum(failed) AS bad FROM v GROUP BY 1, 2), newest AS (SELECT DISTINCT d FROM r ORDER BY d DESC LIMIT 5)
@@ -518,9 +572,18 @@ def doctor_sources(spark, sf):
     return stored.join(seen, "source", "full_outer").fillna(0)
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS STRING) AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events""")
+_NESTED = """concat('{"a": {"rows": [{"kind": "x.y", "v": ', CAST(event_id % 5 AS STRING), '}, {"kind": "', event_type, '", "v": "', CAST(event_id % 7 AS STRING), '"}], "n": ', CAST(event_id % 11 AS STRING), ', "t": true}, "p": ', props, '}')"""
+
+
+@query(f"""SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS missing, (event_id % 5)::STRING AS dotted, CASE WHEN event_type = 'view' THEN (event_id % 7)::STRING ELSE '' END AS viewed,
+  (event_id % 7)::STRING AS second, event_id % 11 AS n, 2::BIGINT AS listed FROM events""")
 def json_path(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), boards.dig(F.col("props"), "missing").alias("missing"))
+    e = view(spark, sf, f"SELECT event_id, {_NESTED} AS j FROM events")
+    j = F.col("j")
+    return e.select(
+        "event_id", custom.dig(j, "p.k").alias("k"), custom.dig(j, "a.missing.b").alias("missing"), custom.dig(j, "a.rows[kind=x.y].v").alias("dotted"), custom.dig(j, "a.rows[kind=view].v").alias("viewed"),
+        custom.first_str(j, "a.t", "a.n", "a.rows.1.v").alias("second"), custom.first_int(j, "a.t", "a.rows", "a.n").alias("n"), custom.job_count(j, ["a.t"], ["a", "a.rows"]).alias("listed"),
+    )
 
 
 @query(rf"""SELECT c_custkey, CASE WHEN regexp_matches(x, '^[=+\-@]') THEN '''' || x ELSE x END AS cell, replace(x, '|', '\|') AS md FROM (
@@ -530,30 +593,37 @@ def export_cells(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", export.csv_cell(x).alias("cell"), text.markdown_cell(x).alias("md"))
 
 
+#: Documents as postings with all columns that a search weighs.
+_FOUND = """SELECT doc_id AS id, coalesce(source, '') AS company, split_part(text, '.', 1) AS title_raw, lower(split_part(text, '.', 1)) AS title_normalized, coalesce(lang, '') AS title_canonical,
+  concat('licence ', coalesce(lang, '')) AS location_raw, text AS description, TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, CAST(doc_id % 97 AS INT)) AS first_seen, doc_id % 3 <> 0 AS live FROM documents"""
+_FOUND_SQL = _FOUND.replace("make_interval(0, 0, 0, CAST(doc_id % 97 AS INT))", "to_days(CAST(doc_id % 97 AS INT))")
+_WEIGHED = " UNION ALL ".join(f"SELECT id, {w} AS w, unnest(string_split({fold_sql(c)}, ' ')) AS t FROM p" for c, w in search.WEIGHTS.items())
+
+
 @query(f"""
-WITH w AS (SELECT doc_id, unnest(string_split({fold_sql('text')}, ' ')) AS t FROM documents),
-l AS (SELECT doc_id, count(*) AS n FROM w WHERE t <> '' GROUP BY 1),
-s AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT sum(n) FROM l) / (SELECT count(*) FROM documents) AS mean),
-f AS (SELECT doc_id, q, count(*)::DOUBLE AS f FROM w JOIN (VALUES ('lic'), ('the')) v(q) ON starts_with(t, q) GROUP BY 1, 2),
-i AS (SELECT q, greatest(1e-6, ln(((SELECT total FROM s) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM f GROUP BY 1)
-SELECT doc_id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT mean FROM s)))), 9) AS score FROM f JOIN i USING (q) JOIN l USING (doc_id) GROUP BY 1 HAVING count(*) = 2 ORDER BY score, doc_id LIMIT 20""")
+WITH p AS ({_FOUND_SQL}), w AS (SELECT * FROM ({_WEIGHED}) WHERE t <> ''),
+l AS (SELECT p.id, count(t) AS n FROM p LEFT JOIN w ON p.id = w.id GROUP BY 1), s AS (SELECT count(*) AS total, avg(n) AS mean FROM l),
+f AS (SELECT id, q, sum(w)::DOUBLE AS f FROM w JOIN (VALUES ('lic'), ('the')) v(q) ON starts_with(t, q) GROUP BY 1, 2),
+i AS (SELECT q, greatest(1e-6, ln(((SELECT total FROM s) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM f GROUP BY 1),
+r AS (SELECT id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT mean FROM s)))), 9) AS score FROM f JOIN i USING (q) JOIN l USING (id) GROUP BY 1 HAVING count(*) = 2)
+SELECT id, score FROM r JOIN p USING (id) WHERE live ORDER BY score, first_seen DESC, id LIMIT 20""")
 def bm25_search(spark, sf):
-    postings, lengths = search.build_index(table(spark, sf, "documents"), "doc_id", {"text": 1.0})
-    best = search.bm25(postings, lengths, ["lic", "the"]).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
-    return best.orderBy("score", "doc_id").limit(20)
+    found = search.search(view(spark, sf, _FOUND), "Lic thé", F.col("live"), 20)
+    return found.select("id", F.round("score", 9).alias("score"))
 
 
 @query("""SELECT user_id, CAST(max(event_id) AS BIGINT) AS event_id FROM events GROUP BY 1""")
 def stream_latest(spark, sf):
-    """Events as a file stream, upserted batch by batch into the store."""
+    """Events as a stream of files that come in no order, upserted batch by batch into the store: the greatest id stays."""
     from gristmill.operators.store import Store
     from gristmill.streaming.ingest import into_store
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    root = f"{base.rstrip('/')}/stream_latest_{uuid.uuid4().hex}"
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    last = lambda b: b.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("event_id"), F.min("ts").alias("first_seen"), F.lit(None).cast("string").alias("duplicate_of"))
+    root = f"{shared_folder(spark)}/stream_latest_{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    for i in (2, 0, 1):
+        events.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    last = lambda b: b.select(F.col("user_id").alias("id"), "event_id", F.col("ts").alias("first_seen"), F.lit(None).cast("string").alias("duplicate_of"))
     store = Store(spark, f"{root}/db")
-    into_store(stream, store, f"{root}/cp", last).start().awaitTermination()
+    into_store(stream, store, f"{root}/cp", last, "event_id").start().awaitTermination()
     return store.read("jobs").select(F.col("id").alias("user_id"), "event_id")

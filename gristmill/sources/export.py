@@ -1,11 +1,32 @@
-"""Exports: the fixed projection as CSV, JSON lines or Markdown rows."""
+"""Exports: the fixed projection as CSV, JSON or Markdown, each written beside its place and then moved there."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import collapse_whitespace, formula_guard, markdown_cell, sanitize
+from gristmill.functions.text import collapse_whitespace, formula_guard, graphemes, markdown_cell, sanitize
+
+# Columns of an export, in order.
+COLUMNS = ("company", "title", "location", "term", "role", "language", "degree", "work_authorization", "source", "status", "first_seen", "url", "id")
+PDF_COLUMNS, PDF_CELL = ("company", "title", "location", "term", "url"), 300
+MARK = "\ufeff"
+
+
+def projection(jobs: DataFrame) -> DataFrame:
+    """The thirteen columns of an export: flags as yes or no, dates in UTC."""
+    return jobs.select(
+        "company", F.col("title_raw").alias("title"), F.col("location_raw").alias("location"), "term", "role", "language", F.col("degree_requirement").alias("degree"),
+        F.when(F.col("work_auth_flag"), "yes").otherwise("no").alias("work_authorization"), "source", "status",
+        F.date_format(F.to_utc_timestamp("first_seen", F.current_timezone()), "yyyy-MM-dd").alias("first_seen"), F.col("apply_url_raw").alias("url"), "id",
+    )
+
+
+def pdf_projection(jobs: DataFrame) -> DataFrame:
+    """The columns that a printed list shows, each cell of at most PDF_CELL characters; laying it out is not done here."""
+    return projection(jobs).select(*[F.array_join(F.slice(graphemes(collapse_whitespace(F.coalesce(F.col(c), F.lit("")))), 1, PDF_CELL), "").alias(c) for c in PDF_COLUMNS])
 
 
 def csv_cell(c: Column) -> Column:
@@ -17,19 +38,62 @@ def csv_rows(df: DataFrame) -> DataFrame:
     return df.select(*[csv_cell(F.col(c)).alias(c) for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str, force: bool = False) -> None:
-    csv_rows(df).write.mode("overwrite" if force else "errorifexists").option("header", True).option("lineSep", "\r\n").csv(path)
+def csv_lines(df: DataFrame) -> DataFrame:
+    """(at, value): the rows of a CSV file, the byte order mark before its head; quoted where they must be."""
+    quoted = lambda c: F.when(c.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    body = csv_rows(df).select(F.lit(1).alias("at"), F.concat_ws(",", *[quoted(F.col(c)) for c in df.columns]).alias("value"))
+    return _headed(df.sparkSession, [MARK + ",".join(df.columns)], body)
 
 
 def json_rows(df: DataFrame) -> DataFrame:
-    plain = [sanitize(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    return df.select(*plain).select(F.to_json(F.struct("*")).alias("value"))
-
-
-def write_json(df: DataFrame, path: str, force: bool = False) -> None:
-    json_rows(df).write.mode("overwrite" if force else "errorifexists").text(path)
+    """Rows as JSON objects without control characters, times in UTC."""
+    utc = lambda c: F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    plain = [sanitize(F.col(c)).alias(c) if t == "string" else utc(c).alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes]
+    return df.select(*plain).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
     cells = [markdown_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def markdown_lines(df: DataFrame, title: str = "Postings") -> DataFrame:
+    """(at, value): title, number of rows, the table's head, its rows."""
+    n = df.count()
+    head = [f"# {title}", "", f"{n} posting{'' if n == 1 else 's'}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return _headed(df.sparkSession, head, markdown_rows(df).select(F.lit(1).alias("at"), "value"))
+
+
+def _headed(spark: SparkSession, head: list[str], body: DataFrame) -> DataFrame:
+    top = spark.createDataFrame([("\n".join(head),)], "value string").select(F.lit(0).alias("at"), "value")
+    return top.unionByName(body)
+
+
+def write(df: DataFrame, path: str, fmt: str = "csv", force: bool = False) -> None:
+    """``df`` as a folder of one text format. It is written beside ``path`` and moved there whole, so a write that breaks
+    off leaves what was there; what is there is replaced only by ``force``."""
+    spark = df.sparkSession
+    made = {"csv": csv_lines, "json": json_rows, "md": markdown_lines}[fmt](df)
+    jvm = spark._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(fs_path(path)) and not force:
+        raise FileExistsError(f"{path} is there; force replaces it")
+    partial = f"{path}.{uuid.uuid4().hex}.partial"
+    order = ["at"] if "at" in made.columns else []
+    rows = made.repartitionByRange(*order).sortWithinPartitions(*order).select("value") if order else made
+    rows.write.option("lineSep", "\r\n" if fmt == "csv" else "\n").text(partial)
+    if fs.exists(fs_path(path)):
+        fs.delete(fs_path(path), True)
+    if not fs.rename(fs_path(partial), fs_path(path)):
+        raise OSError(f"{partial} could not be moved to {path}")
+
+
+def log_requests(requests: DataFrame, path: str) -> None:
+    """Appends requests, and payloads that could not be read, as JSON lines, a folder a day."""
+    requests.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").json(path)
+
+
+def drop_old_logs(spark: SparkSession, path: str, keep_days: int, now: Column) -> DataFrame:
+    """The logged lines that are kept when older days go."""
+    return spark.read.json(path).filter(F.col("day") >= F.date_sub(F.to_date(now), keep_days))
