@@ -75,45 +75,53 @@ def _count_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one pair of blocks of one bucket: for each vector the weight of those linked first in this table,
     and the least vector of its part of the block. A vector is named by its least id and a hash of itself."""
     t = int(pdf["table"].iat[0])
-    pdf = pdf.drop_duplicates(["rep", "vec", "side"])
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    alone = right.empty
-    if alone:
-        right = left
-    every = pd.concat([left[["rep", "vec"]], right[["rep", "vec"]]], ignore_index=True)
-    names = every.drop_duplicates().sort_values(["rep", "vec"], ignore_index=True)
-    number = every.merge(names.assign(number=np.arange(len(names))), on=["rep", "vec"], how="left")["number"].to_numpy()
-    n = len(left)
-    x, y = _matrix(left["embedding"]), _matrix(right["embedding"])
-    kx, ky = np.stack(left["keys"]), np.stack(right["keys"])
-    wl, wr = left["weight"].to_numpy(), right["weight"].to_numpy()
+    right_side = pdf["side"].to_numpy() == 1
+    alone = not right_side.any()
+    rep, vec, weight = pdf["rep"].to_numpy(), pdf["vec"].to_numpy(), pdf["weight"].to_numpy()
+    left, right = np.flatnonzero(~right_side), np.flatnonzero(right_side if not alone else ~right_side)
+    unit, keys = _matrix(pdf["embedding"]), np.stack(pdf["keys"])
+    # Numbers in the order of the names; a block against itself has every name once.
+    order = np.lexsort((vec, rep))
+    first_of = np.ones(len(order), dtype=bool)
+    first_of[1:] = (rep[order][1:] != rep[order][:-1]) | (vec[order][1:] != vec[order][:-1])
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(first_of) - 1
+    names_rep, names_vec = rep[order][first_of], vec[order][first_of]
+    x, y, kx, ky, wl, wr = unit[left], unit[right], keys[left], keys[right], weight[left], weight[right]
+    nl, nr, n = number[left], number[right], len(left)
     out_left, out_right = np.zeros(n, dtype=np.int64), np.zeros(len(right), dtype=np.int64)
-    pairs = []  # of one vector each with the first it links with on either side: enough to hang a part together
-    low = np.arange(len(names))
+    low = np.arange(len(names_rep))
     for at in range(0, n, STRIP):
         some = slice(at, at + STRIP)
         near = x[some] @ y.T >= threshold
-        near &= number[:n][some][:, None] != number[n:][None, :]
+        near &= nl[some][:, None] != nr[None, :]
         i, j = np.nonzero(near)
-        pairs.append(np.stack([number[:n][some][i], number[n:][j]]))
-        first = np.ones(len(i), dtype=bool)
-        for s in range(t):  # a pair counts in the first table that has it
-            first &= kx[some][i, s] != ky[j, s]
-        i, j = i[first], j[first]
+        if not len(i):
+            continue
+        low = _settled(low, nl[some][i], nr[j])
+        # A pair counts in the first table that has it.
+        if 8 * len(i) > near.size:
+            for s in range(t):
+                near &= kx[some, s][:, None] != ky[:, s][None, :]
+            i, j = np.nonzero(near)
+        else:
+            first = (kx[some][i, :t] != ky[j, :t]).all(axis=1)
+            i, j = i[first], j[first]
         out_left[some] += np.bincount(i, weights=wr[j], minlength=len(near)).astype(np.int64)
         if not alone:
             out_right += np.bincount(j, weights=wl[some][i], minlength=len(right)).astype(np.int64)
-        low = _settled(low, pairs[-1])
-    links = np.bincount(number, weights=np.concatenate([out_left, out_right]), minlength=len(names)).astype(np.int64)
-    out = names.assign(links=links, low_rep=names["rep"].to_numpy()[low], low_vec=names["vec"].to_numpy()[low])
-    return out[(links > 0) | (low != np.arange(len(names)))]
+    links = np.zeros(len(names_rep), dtype=np.int64)
+    np.add.at(links, nl, out_left)
+    np.add.at(links, nr, out_right)
+    told = np.flatnonzero((links > 0) | (low != np.arange(len(low))))
+    return pd.DataFrame({"rep": names_rep[told], "vec": names_vec[told], "links": links[told], "low_rep": names_rep[low[told]], "low_vec": names_vec[low[told]]})
 
 
-def _settled(low: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """``low``, the least number known to hang together with each, after the ``pairs`` too; pointers are followed to
+def _settled(low: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """``low``, the least number known to hang together with each, after these pairs too; pointers are followed to
     their ends."""
     while True:
-        a, b = low[pairs[0]], low[pairs[1]]
+        a, b = low[one], low[other]
         apart = a != b
         if not apart.any():
             return low
