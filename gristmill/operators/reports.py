@@ -220,6 +220,6 @@ def apply_urls(jobs: DataFrame, quarantine: DataFrame, wanted: DataFrame, most:
     pick = lambda df, prio: df.select(F.lit(prio).alias("prio"), fold(F.col("company")).alias("key"), F.trim("apply_url_raw").alias("url"), "last_seen").filter("url <> ''")
     both = pick(jobs.filter("duplicate_of is null and status = 'open'"), 0).unionByName(pick(quarantine, 1))
     named = wanted.select("company", fold(F.col("company")).alias("key"))
-    best = both.join(named, "key").groupBy("company", "url").agg(F.min(F.struct("prio", (-F.unix_micros("last_seen")).alias("age"), "url")).alias("turn"))
+    best = both.join(named, "key").groupBy("company", "url").agg(F.min(F.struct("prio", (-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("age"), "url")).alias("turn"))
     place = F.row_number().over(W.partitionBy("company").orderBy("turn"))
     return best.withColumn("place", place).filter(F.col("place") <= most).select("company", "place", "url")

@@ -18,13 +18,13 @@ WITH_JOBS = f"WITH jobs AS ({JOBS})"
 
 #: Closed orders as the quarantine, some with a reason that tells of internships; some are also among the postings.
 QUARANTINE = f"""SELECT id, source, company, concat('t ', role) AS title_raw,
-  CASE CAST(price AS INT) % 4 WHEN 0 THEN 'not-a-cs-role' WHEN 1 THEN 'unknown-cs-role' WHEN 2 THEN 'not-an-internship' ELSE 'out-of-scope-degree' END AS reason,
+  CASE CAST(floor(price) AS INT) % 4 WHEN 0 THEN 'not-a-cs-role' WHEN 1 THEN 'unknown-cs-role' WHEN 2 THEN 'not-an-internship' ELSE 'out-of-scope-degree' END AS reason,
   first_seen, last_seen, concat('https://x.org/', place) AS apply_url_raw, place AS location_raw, location, CAST(NULL AS STRING) AS remote_scope, '' AS matched_phrase FROM ({JOBS}) WHERE status = 'closed'"""
 #: Tombstones of every third order, a month before or after it was seen.
-TOMBSTONES = f"SELECT id, source, first_seen + CASE WHEN CAST(price AS INT) % 2 = 0 THEN INTERVAL '30' DAY ELSE INTERVAL '-30' DAY END AS first_seen, TIMESTAMP '2001-01-01' AS purged_at FROM ({JOBS}) WHERE CAST(price AS INT) % 3 = 0"
+TOMBSTONES = f"SELECT id, source, first_seen + CASE WHEN CAST(floor(price) AS INT) % 2 = 0 THEN INTERVAL '30' DAY ELSE INTERVAL '-30' DAY END AS first_seen, TIMESTAMP '2001-01-01' AS purged_at FROM ({JOBS}) WHERE CAST(floor(price) AS INT) % 3 = 0"
 #: Events as runs of 500, each kind of event a source.
 RUN_SOURCES = """SELECT CAST(floor(event_id / 500.0) AS BIGINT) AS run_id, event_type AS source,
-  CASE WHEN event_type = 'signup' AND floor(event_id / 500.0) > 10 THEN 0 WHEN event_type = 'view' AND max(event_id) % 7 = 0 THEN -1 ELSE count(*) END AS stored, count(*) AS fetched, count(*) AS added, CAST(0 AS BIGINT) AS updated,
+  CASE WHEN event_type = 'signup' AND max(event_id) > 5500 THEN 0 WHEN event_type = 'view' AND max(event_id) % 7 = 0 THEN -1 ELSE count(*) END AS stored, count(*) AS fetched, count(*) AS added, CAST(0 AS BIGINT) AS updated,
   CAST(0 AS BIGINT) AS closed, CAST(0 AS BIGINT) AS quarantined, CASE WHEN max(event_id) % 5 = 0 THEN 1 ELSE 0 END AS errors, sum(event_id % 3) AS requests, sum(CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END) AS not_modified, 0 AS tightenings,
   min(value) AS latency_p50_ms, max(value) AS latency_p95_ms, CASE WHEN min(event_id) % 6 = 0 OR event_type = 'click' THEN 2 ELSE 0 END AS deferred, event_type = 'error' OR min(event_id) % 11 = 0 AS blocked FROM events GROUP BY 1, 2"""
 VISITED = """SELECT event_type AS source, CAST(user_id AS STRING) AS board, CASE WHEN user_id % 2 = 0 THEN '' ELSE concat('u', CAST(user_id AS STRING)) END AS label, max(ts) AS last_attempt_at,
@@ -50,13 +50,13 @@ def filtered_list(spark, sf):
     return filters.list_jobs(view(spark, sf, JOBS), wanted).select("id")
 
 
-@query(f"""{WITH_JOBS}, j AS (SELECT *, CASE WHEN price > 200000 THEN '' ELSE 'x' END AS description, CASE WHEN CAST(price AS INT) % 2 = 0 THEN 'unknown' ELSE 'summer-2024' END AS term FROM jobs),
-  d AS (SELECT id, CAST(price AS INT) % 3 <> 0 AS failed, CAST(price AS INT) % 5 AS attempts FROM jobs WHERE CAST(price AS INT) % 7 < 4)
+@query(f"""{WITH_JOBS}, j AS (SELECT *, CASE WHEN price > 200000 THEN '' ELSE 'x' END AS description, CASE WHEN CAST(floor(price) AS INT) % 2 = 0 THEN 'unknown' ELSE 'summer-2024' END AS term FROM jobs),
+  d AS (SELECT id, CAST(floor(price) AS INT) % 3 <> 0 AS failed, CAST(floor(price) AS INT) % 5 AS attempts FROM jobs WHERE CAST(floor(price) AS INT) % 7 < 4)
   SELECT id FROM j LEFT JOIN d USING (id) WHERE source = 'lever' AND description = '' AND term = 'unknown' AND (failed IS NULL OR (failed AND attempts < 3)) ORDER BY first_seen DESC, id LIMIT 100""")
 def detail_queue(spark, sf):
     j = view(spark, sf, JOBS)
-    made = j.withColumn("description", F.when(F.col("price") > 200000, "").otherwise("x")).withColumn("term", F.expr("CASE WHEN CAST(price AS INT) % 2 = 0 THEN 'unknown' ELSE 'summer-2024' END"))
-    d = j.filter("CAST(price AS INT) % 7 < 4").selectExpr("id", "CAST(price AS INT) % 3 <> 0 AS failed", "CAST(price AS INT) % 5 AS attempts")
+    made = j.withColumn("description", F.when(F.col("price") > 200000, "").otherwise("x")).withColumn("term", F.expr("CASE WHEN CAST(floor(price) AS INT) % 2 = 0 THEN 'unknown' ELSE 'summer-2024' END"))
+    d = j.filter("CAST(floor(price) AS INT) % 7 < 4").selectExpr("id", "CAST(floor(price) AS INT) % 3 <> 0 AS failed", "CAST(floor(price) AS INT) % 5 AS attempts")
     return filters.detail_queue(made, d, "lever", 100)
 
 
@@ -98,7 +98,7 @@ def integrity_findings(spark, sf):
     return merge.integrity_findings(view(spark, sf, JOBS), view(spark, sf, QUARANTINE), view(spark, sf, TOMBSTONES))
 
 
-_LINKED = f"""SELECT id, source, first_seen, CASE WHEN CAST(price AS INT) % 11 = 0 THEN 'gone' WHEN CAST(price AS INT) % 5 = 0 THEN concat(source, substr(coalesce(duplicate_of, id), instr(coalesce(duplicate_of, id), ':'))) ELSE duplicate_of END AS duplicate_of FROM ({JOBS})"""
+_LINKED = f"""SELECT id, source, first_seen, CASE WHEN CAST(floor(price) AS INT) % 11 = 0 THEN 'gone' WHEN CAST(floor(price) AS INT) % 5 = 0 THEN concat(source, substr(coalesce(duplicate_of, id), instr(coalesce(duplicate_of, id), ':'))) ELSE duplicate_of END AS duplicate_of FROM ({JOBS})"""
 
 
 @query(f"""WITH j AS ({_LINKED}), t AS ({TOMBSTONES}), s AS (SELECT a.id, CASE WHEN b.id IS NOT NULL AND a.source <> b.source THEN b.id END AS up FROM j a LEFT JOIN j b ON a.duplicate_of = b.id),
@@ -388,10 +388,11 @@ def page_walks(spark, sf):
     return ends.select("board", "why").join(kept.groupBy("board").agg(F.count("*").alias("kept")), "board", "left").fillna(0, ["kept"])
 
 
-@query("""SELECT page_id, row_number() OVER (PARTITION BY page_id) - 1 AS at, x[1] AS link, x[2] AS said FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1), regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2))) AS x FROM pages)""")
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS href, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS said FROM pages),
+  i AS (SELECT *, unnest(range(len(href))) AS i FROM l) SELECT page_id, i AS place, replace(replace(href[i + 1], '&quot;', '"'), '&amp;', '&') AS link, trim(replace(replace(said[i + 1], '&quot;', '"'), '&amp;', '&')) AS said FROM i""")
 def html_list(spark, sf):
     rows = html.html_rows(table(spark, sf, "pages").select("page_id", "html"), "nav ul li", {"link": "a::attr(href)", "said": "a"}, payload_col="html")
-    return rows.select("page_id", F.col("at").cast("long").alias("at"), "link", "said")
+    return rows.select("page_id", F.col("at").cast("long").alias("place"), "link", "said")
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS loc FROM pages), t AS (SELECT page_id, loc, regexp_extract(loc, '([^/]*)$', 1) AS tail FROM u)

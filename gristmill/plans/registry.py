@@ -150,14 +150,14 @@ _BOARD_URL_SQL = "[" + ", ".join("'" + u + "'" for u, _ in _BOARD_URLS) + "]"
 _BOARD_OF_SQL = "[" + ", ".join("NULL" if p is None else f"'{p}'" for _, p in _BOARD_URLS) + "]"
 
 
-@query(f"""WITH c AS (SELECT c_custkey AS k, c_custkey % {len(_BOARD_URLS)} + 1 AS form, 'acme-' || c_custkey AS s FROM customer)
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_custkey % {len(_BOARD_URLS)} + 1 AS form, 'acme' || c_custkey AS s FROM customer)
   SELECT k, {_BOARD_OF_SQL}[form] AS platform, CASE WHEN {_BOARD_OF_SQL}[form] IS NOT NULL THEN s END AS slug,
     CASE {_BOARD_OF_SQL}[form] WHEN 'workday' THEN 'Site_1' WHEN 'oracle_cloud' THEN 'CX_1' END AS site, CASE {_BOARD_OF_SQL}[form] WHEN 'workday' THEN 'wd3' END AS dc,
     starts_with({_BOARD_URL_SQL}[form], 'https://') AS public_https FROM c""")
 def url_platform(spark, sf):
     form = F.element_at(F.array(*[F.lit(u) for u, _ in _BOARD_URLS]), (F.col("c_custkey") % len(_BOARD_URLS) + 1).cast("int"))
     key = F.col("c_custkey").cast("string")
-    made = F.replace(F.replace(form, F.lit("{s}"), F.concat(F.lit("acme-"), key)), F.lit("{k}"), key)
+    made = F.replace(F.replace(form, F.lit("{s}"), F.concat(F.lit("acme"), key)), F.lit("{k}"), key)
     u = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), made.alias("u")).withColumn("p", urls.identify(F.col("u")))
     return u.select("k", "p.platform", "p.slug", "p.site", "p.dc", urls.public_https_url(F.col("u")).alias("public_https"))
 
@@ -187,7 +187,7 @@ def trm_resolve(spark, sf):
     y, y2, form = (2020 + k % 9).cast("string"), (2020 + k % 5).cast("string"), k % 7
     said = lambda *xs: F.concat_ws(" ", *[F.lit(x) if isinstance(x, str) else x for x in xs])
     title = (
-        F.when(form == 0, said("Intern, spring boot -", season, y)).when(form == 1, said("Developer", season, "term of the", y)).when(form == 2, said("Intern", season)).when(form == 3, said("Intern"))
+        F.when(form == 0, said("Intern, spring boot -", season, y)).when(form == 1, said("Developer", season, "term of", y)).when(form == 2, said("Intern", season)).when(form == 3, said("Intern"))
         .when(form == 4, said("Intern", season, y)).when(form == 5, said("Intern", season, y, "or Summer 1999, Fall 2030 and Winter 2031")).otherwise("Intern")
     )
     signals = F.when(form.isin(3, 4), F.array(said(plain, y2)))
@@ -383,7 +383,8 @@ def quarantine_move(spark, sf):
 _GONE = f"((status = 'open' AND first_seen < {NOW_SQL} - INTERVAL '14' DAY) OR (status = 'closed' AND first_seen < {NOW_SQL} - INTERVAL '3' DAY))"
 
 
-@query(f"""{WITH_JOBS}, s AS (SELECT id, source, rank, CASE WHEN {_KEY} % 2 = 0 THEN first_seen + INTERVAL '2200' DAY ELSE first_seen END AS first_seen, status, duplicate_of FROM jobs),
+@query(f"""{WITH_JOBS}, d AS (SELECT id, source, rank, CASE WHEN {_KEY} % 2 = 0 THEN first_seen + INTERVAL '2200' DAY ELSE first_seen END AS first_seen, status, coalesce(duplicate_of, id) AS cluster FROM jobs),
+  b AS (SELECT cluster, arg_min(id, (rank, id)) AS best FROM d GROUP BY 1), s AS (SELECT id, source, rank, first_seen, status, CASE WHEN best <> id THEN best END AS duplicate_of FROM d JOIN b USING (cluster)),
   rest AS (SELECT * FROM s WHERE NOT {_GONE}),
   heirs AS (SELECT duplicate_of, arg_min(id, (rank, id)) AS heir FROM rest WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT id FROM rest) GROUP BY 1)
   SELECT 'job' AS kind, r.id, CASE WHEN h.heir IS NULL THEN r.duplicate_of WHEN h.heir <> r.id THEN h.heir END AS duplicate_of FROM rest r LEFT JOIN heirs h ON r.duplicate_of = h.duplicate_of
@@ -536,8 +537,8 @@ def coverage_states(spark, sf):
 
 
 _TOKS = "list_distinct(list_filter(string_split({f}, ' '), lambda t: t <> ''))"
-#: Names of the register: a brand's number and type, so that names like ``blue ring economy`` are within some.
-_REGISTER = "SELECT DISTINCT concat_ws(' ', split_part(p_name, ' ', 2), p_type) AS name FROM part WHERE p_size < 10"
+#: Names of the register: what parts of two brands are, with their type, so that names like ``blue ring economy`` hold some.
+_REGISTER = "SELECT DISTINCT concat_ws(' ', split_part(p_name, ' ', 2), p_type) AS name FROM part WHERE p_brand IN ('Brand#2', 'Brand#7')"
 
 
 @query(f"""WITH n AS (SELECT DISTINCT p_name || ' ' || p_type AS name FROM part), nt AS (SELECT name, {_TOKS.format(f=fold_sql('name'))} AS toks FROM n),
@@ -572,13 +573,12 @@ def doctor_sources(spark, sf):
     return stored.join(seen, "source", "full_outer").fillna(0)
 
 
-_NESTED = """concat('{"a": {"rows": [{"kind": "x.y", "v": ', CAST(event_id % 5 AS STRING), '}, {"kind": "', event_type, '", "v": "', CAST(event_id % 7 AS STRING), '"}], "n": ', CAST(event_id % 11 AS STRING), ', "t": true}, "p": ', props, '}')"""
-
-
-@query(f"""SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS missing, (event_id % 5)::STRING AS dotted, CASE WHEN event_type = 'view' THEN (event_id % 7)::STRING ELSE '' END AS viewed,
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, '' AS missing, (event_id % 5)::STRING AS dotted, CASE WHEN event_type = 'view' THEN (event_id % 7)::STRING ELSE '' END AS viewed,
   (event_id % 7)::STRING AS second, event_id % 11 AS n, 2::BIGINT AS listed FROM events""")
 def json_path(spark, sf):
-    e = view(spark, sf, f"SELECT event_id, {_NESTED} AS j FROM events")
+    of = lambda n: (F.col("event_id") % n).cast("string")
+    made = F.concat(F.lit('{"a": {"rows": [{"kind": "x.y", "v": '), of(5), F.lit('}, {"kind": "'), "event_type", F.lit('", "v": "'), of(7), F.lit('"}], "n": '), of(11), F.lit(', "t": true}, "p": '), "props", F.lit("}"))
+    e = table(spark, sf, "events").select("event_id", made.alias("j"))
     j = F.col("j")
     return e.select(
         "event_id", custom.dig(j, "p.k").alias("k"), custom.dig(j, "a.missing.b").alias("missing"), custom.dig(j, "a.rows[kind=x.y].v").alias("dotted"), custom.dig(j, "a.rows[kind=view].v").alias("viewed"),

@@ -42,11 +42,14 @@ def dig_variant(v: Column, path: str) -> Column:
             where, sep, wanted = predicate[:-1].partition("=")
             if not sep:
                 return F.lit(None).cast("variant")
-            fits = lambda x, w=where.strip(), y=wanted.strip(): (F.schema_of_variant(dig_variant(x, w)) == "STRING") & (_text(dig_variant(x, w)) == y)
-            v = F.get(F.filter(F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, MOST_SCANNED), fits), F.lit(0))
+            v = F.get(F.filter(F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, MOST_SCANNED), _says(where.strip(), wanted.strip())), F.lit(0))
     return v
 
 
+def _says(path: str, wanted: str):
+    return lambda x: (F.schema_of_variant(dig_variant(x, path)) == "STRING") & (_text(dig_variant(x, path)) == wanted)
+
+
 def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
