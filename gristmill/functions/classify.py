@@ -9,7 +9,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import first_phrase, fold, let, ngrams, phrase_hits, tokens
+from .text import first_phrase, fixed_list, fixed_map, fold, let, ngrams, phrase_hits, tokens
 from .urls import canonical_apply_url
 
 _SAID = json.loads(files("gristmill.data").joinpath("lexicon.json").read_text(encoding="utf-8"))
@@ -24,7 +24,7 @@ NO_MARKER, NO_ROLE = "no internship marker in title", "no matching CS role or so
 
 
 def _words(xs) -> Column:
-    return F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return fixed_list(list(xs))
 
 
 def detect_language(title: Column, body: Column) -> Column:
@@ -53,7 +53,7 @@ def seasons_in(text: Column) -> Column:
 
 
 def _seasons(words: Column) -> Column:
-    name = F.create_map(*[F.lit(x) for season, said in SEASONS.items() for w in said for x in (w, season)])
+    name = fixed_map({w: season for season, said in SEASONS.items() for w in said})
     year = lambda w: F.when(w.rlike(r"^20[23]\d$"), w.cast("int"))
     filler = lambda w: F.array_contains(_words(FILLERS), w)
 
@@ -139,7 +139,7 @@ def term_agrees(a: Column, b: Column) -> Column:
 def classify_role(title: Column, body: Column, declared: Column) -> Column:
     """Role of the longest phrase in the title, else in the body, else of the declared category, else unknown. General
     phrases give way to any other; equal lengths to the earlier place, then the name."""
-    kind = F.create_map(*[F.lit(x) for role, said in ROLES.items() for p in said for x in (p, role)])
+    kind = fixed_map({p: role for role, said in ROLES.items() for p in said})
     every = [p for said in ROLES.values() for p in said]
 
     def best(folded):
@@ -148,13 +148,13 @@ def classify_role(title: Column, body: Column, declared: Column) -> Column:
         first = lambda hs: F.get(F.array_sort(let(special(hs), lambda s: F.when(F.size(s) > 0, s).otherwise(hs))), F.lit(0))["role"]
         return let(hits, first)
 
-    known = F.create_map(*[F.lit(x) for pair in _SAID["source_roles"].items() for x in pair])
+    known = fixed_map(_SAID["source_roles"])
     return F.coalesce(let(fold(title), best), let(fold(body), best), F.try_element_at(known, fold(declared)), F.lit("unknown"))
 
 
 def title_canonical(title: Column) -> Column:
     """Role of the title's longest phrase; '' if none, or if the longest ones name several roles."""
-    kind = F.create_map(*[F.lit(x) for role, said in ROLES.items() for p in said for x in (p, role)])
+    kind = fixed_map({p: role for role, said in ROLES.items() for p in said})
     longest = lambda hits: F.filter(hits, lambda p: F.length(p) == F.length(hits[0]))
     roles = F.array_distinct(F.transform(let(phrase_hits(fold(title), [p for said in ROLES.values() for p in said]), longest), lambda p: F.try_element_at(kind, p)))
     return let(roles, lambda r: F.when(F.size(r) == 1, r[0]).otherwise(""))

@@ -43,6 +43,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fixed_list(words) -> Column:
+    """A constant array of texts without ``|``, one literal however many they are."""
+    return F.split(F.lit("|".join(words)), r"\|") if len(words) else F.array().cast("array<string>")
+
+
 def fixed_map(pairs: dict[str, str]) -> Column:
     """A constant map; one literal, however many entries, where an expression for each would slow every plan."""
     return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
@@ -95,7 +100,7 @@ def _runs(words: Column, n: int) -> Column:
 def phrase_hits(folded: Column, phrases: list[str]) -> Column:
     """Phrases that a folded text holds as whole words, longest first, then by name."""
     most = max((p.count(" ") + 1 for p in phrases), default=1)
-    hits = F.array_intersect(ngrams(tokens(folded), most), F.array(*[F.lit(p) for p in phrases]).cast("array<string>"))
+    hits = F.array_intersect(ngrams(tokens(folded), most), fixed_list(phrases))
     return F.transform(F.array_sort(F.transform(hits, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda x: x["p"])
 
 
@@ -236,17 +241,17 @@ def name_root(name: Column) -> Column:
 
 
 def name_tokens(name: Column) -> Column:
-    return F.array_except(F.array_distinct(tokens(fold(name))), F.array(*[F.lit(x) for x in LEGAL_SUFFIXES]))
+    return F.array_except(F.array_distinct(tokens(fold(name))), fixed_list(LEGAL_SUFFIXES))
 
 
 def joined_name(name: Column) -> Column:
-    legal = F.array(*[F.lit(x) for x in LEGAL_SUFFIXES])
+    legal = fixed_list(LEGAL_SUFFIXES)
     return F.array_join(F.filter(tokens(fold(name)), lambda t: ~F.array_contains(legal, t)), "")
 
 
 def token_sets_match(a: Column, b: Column) -> Column:
     """One set of tokens within the other, sharing one that is not generic, or two, or all."""
-    generic = F.array(*[F.lit(x) for x in GENERIC_TOKENS])
+    generic = fixed_list(GENERIC_TOKENS)
     shared = F.array_intersect(a, b)
     within = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
     same = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
@@ -261,7 +266,7 @@ def name_matches(a: Column, b: Column) -> Column:
 def slug_candidates(name: Column) -> Column:
     """Joined, hyphenated and first word of a name's root; a first word that is generic or under 4 letters is none."""
     words = F.split(name_root(name), " ")
-    generic = F.array(*[F.lit(x) for x in GENERIC_TOKENS])
+    generic = fixed_list(GENERIC_TOKENS)
     head = F.get(words, F.lit(0))
     several = F.size(words) > 1
     offered = F.array(

@@ -115,10 +115,11 @@ def settle(state: DataFrame, run: DataFrame, now: Column) -> DataFrame:
     from the fifth on; an interval that a run had to widen is kept, one that it did not relaxes."""
     met = state.alias("s").join(run.alias("r"), "bucket", "full_outer")
     failures = F.coalesce("r.failures", F.col("s.consecutive_failures"), F.lit(0))
-    blocked = F.when(failures >= 5, now + F.make_dt_interval(secs=block_seconds(failures)))
+    came = F.col("r.bucket").isNotNull()
+    blocked = F.when(came & (failures >= 5), now + F.make_dt_interval(secs=block_seconds(failures)))
     widened = F.col("r.ended_interval_s") > F.coalesce("s.min_interval_override", F.col("r.base_interval_s"))
-    interval = F.when(F.col("r.bucket").isNull(), F.col("s.min_interval_override")).when(widened, F.col("r.ended_interval_s")).otherwise(decayed(F.col("s.min_interval_override"), F.col("r.base_interval_s")))
-    return met.select("bucket", F.coalesce(blocked, F.when(F.col("r.bucket").isNull(), F.col("s.blocked_until"))).alias("blocked_until"), interval.alias("min_interval_override"), failures.alias("consecutive_failures"), F.coalesce(F.when(failures >= 5, F.col("r.reason")), F.lit("")).alias("reason"))
+    interval = F.when(~came, F.col("s.min_interval_override")).when(widened, F.col("r.ended_interval_s")).otherwise(decayed(F.col("s.min_interval_override"), F.col("r.base_interval_s")))
+    return met.select("bucket", F.coalesce(blocked, F.when(~came, F.col("s.blocked_until"))).alias("blocked_until"), interval.alias("min_interval_override"), failures.alias("consecutive_failures"), F.coalesce(F.when(came & (failures >= 5), F.col("r.reason")), F.lit("")).alias("reason"))
 
 
 def clear_rate_state(state: DataFrame, bucket: str | None = None) -> DataFrame:
