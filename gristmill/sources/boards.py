@@ -39,8 +39,8 @@ BOARDS = {
     "bamboohr": Board("result array<struct<id: string, jobOpeningName: string, location: struct<city: string, state: string, country: string>, atsLocation: struct<city: string, state: string, country: string>, isRemote: boolean>>", "result", {"native_id": "r.id", "title": "r.jobOpeningName", "location": f"coalesce(nullif({_place('r.location.city', 'r.location.state', 'r.location.country')}, ''), {_place('r.atsLocation.city', 'r.atsLocation.state', 'r.atsLocation.country')})"}),
     "breezy": Board("array<struct<id: string, name: string, location: struct<name: string, city: string, country: struct<name: string>, is_remote: boolean>, url: string, description: string, published_date: string>>", None, {"native_id": "r.id", "title": "r.name", "url": "r.url", "location": f"coalesce(nullif(r.location.name, ''), nullif({_place('r.location.city', 'r.location.country.name')}, ''), if(r.location.is_remote, 'Remote', null))", "html": "r.description", "posted_at": "try_to_timestamp(r.published_date)"}),
     "collage": Board("positions array<struct<id: string, title: string, url: string, location: string, description: string>>", "positions", {"native_id": "r.id", "title": "r.title", "url": "r.url", "location": "r.location", "html": "r.description"}),
-    "oracle_cloud": Board("items array<struct<TotalJobsCount: int, requisitionList: array<struct<Id: string, Title: string, PostedDate: string, PrimaryLocation: string>>>>", "items[0].requisitionList", {"native_id": "r.Id", "title": "r.Title", "location": "r.PrimaryLocation", "posted_at": "try_to_timestamp(r.PostedDate)"}),
-    "workday": Board("jobPostings array<struct<title: string, externalPath: string, locationsText: string, postedOn: string, bulletFields: array<string>>>", "jobPostings", {"native_id": "coalesce(filter(r.bulletFields, x -> trim(x) <> '')[0], element_at(split(r.externalPath, '/'), -1))", "title": "r.title", "url": "r.externalPath", "location": "r.locationsText"}),
+    "oracle_cloud": Board("items array<struct<TotalJobsCount: int, requisitionList: array<struct<Id: string, Title: string, PostedDate: string, PrimaryLocation: string, PrimaryLocationCountry: string, ShortDescriptionStr: string, ExternalQualificationsStr: string, ExternalResponsibilitiesStr: string>>>>", "items[0].requisitionList", {"native_id": "r.Id", "title": "r.Title", "location": _place("r.PrimaryLocation", "r.PrimaryLocationCountry"), "html": "concat_ws(' ', r.ShortDescriptionStr, r.ExternalQualificationsStr, r.ExternalResponsibilitiesStr)", "posted_at": "try_to_timestamp(r.PostedDate)"}),
+    "workday": Board("jobPostings array<struct<title: string, externalPath: string, locationsText: string, postedOn: string, bulletFields: array<string>>>", "jobPostings", {"native_id": "coalesce(get(filter(r.bulletFields, x -> trim(x) <> ''), 0), element_at(split(r.externalPath, '/'), -1))", "title": "r.title", "url": "r.externalPath", "location": "r.locationsText"}),
     "simplify": Board("array<struct<id: string, company_name: string, title: string, url: string, locations: array<string>, active: boolean, is_visible: boolean, date_posted: bigint, terms: array<string>, degrees: array<string>, sponsorship: string, category: string>>", None, {"native_id": "r.id", "company": "r.company_name", "title": "r.title", "url": "r.url", "location": "array_join(r.locations, ' / ')", "posted_at": "timestamp_seconds(r.date_posted)", "terms": "r.terms", "degrees": "r.degrees", "sponsorship": "r.sponsorship", "category": "r.category"}, "coalesce(r.active, true) and coalesce(r.is_visible, true)"),
     "community": Board("array<struct<id: string, company_name: string, title: string, url: string, locations: array<string>, active: boolean, is_visible: boolean, date_posted: bigint, season: string, sponsorship: string>>", None, {"native_id": "coalesce(nullif(r.id, ''), concat_ws(':', r.company_name, r.title, r.url))", "company": "r.company_name", "title": "r.title", "url": "r.url", "location": "array_join(r.locations, ' / ')", "posted_at": "timestamp_seconds(r.date_posted)", "sponsorship": "r.sponsorship", "season": "r.season"}, "coalesce(r.active, true) and coalesce(r.is_visible, true) and trim(r.company_name) <> ''"),
     "themuse": Board("results array<struct<id: bigint, name: string, locations: array<struct<name: string>>, refs: struct<landing_page: string>, contents: string>>", "results", {"native_id": "cast(r.id as string)", "title": "r.name", "url": "r.refs.landing_page", "location": "array_join(r.locations.name, ' / ')", "html": "r.contents"}),
