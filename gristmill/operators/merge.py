@@ -118,7 +118,10 @@ def flatten_chains(links: DataFrame, passes: int = 40) -> DataFrame:
 
 
 def visits(before: DataFrame, now: DataFrame) -> DataFrame:
-    """Visits after a run: failures keep the last success and count up, successes reset the count."""
+    """Visits after a run: failures keep the last success and count up, successes reset the count.
+
+    Where ``before`` has a label and a last error, ``now`` has label and error; a success clears the error.
+    """
     o, n = before.alias("o"), now.alias("n")
     ok = F.col("n.succeeded")
     came = F.col("n.board").isNotNull()
@@ -126,6 +129,8 @@ def visits(before: DataFrame, now: DataFrame) -> DataFrame:
         F.coalesce("n.source", "o.source").alias("source"), F.coalesce("n.board", "o.board").alias("board"), F.coalesce("n.at", "o.last_attempt_at").alias("last_attempt_at"),
         F.when(came & ok, F.col("n.at")).otherwise(F.col("o.last_success_at")).alias("last_success_at"),
         F.when(~came, F.col("o.consecutive_failures")).when(ok, 0).otherwise(F.coalesce("o.consecutive_failures", F.lit(0)) + 1).alias("consecutive_failures"),
+        *([F.coalesce("n.label", "o.label").alias("label")] if "label" in before.columns else []),
+        *([F.when(~came, F.col("o.last_error")).when(~ok, F.col("n.error")).alias("last_error")] if "last_error" in before.columns else []),
     )
 
 

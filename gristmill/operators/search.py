@@ -40,6 +40,12 @@ def frequencies(docs: DataFrame, terms: list[str], weights: dict[str, float], ke
     return held.select(*keep, words.cast("long").alias("words"), *[count(t).alias(f"f{i}") for i, t in enumerate(terms)])
 
 
+def score_part(documents: int, found: int, f: Column, words: Column, mean: float) -> Column:
+    """What one term adds to a row's rank, by its weighted count ``f`` and how many of all ``documents`` have it."""
+    idf = F.greatest(F.lit(1e-6), F.log(F.lit((documents - found + 0.5) / (found + 0.5))))
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * words / F.lit(mean)))
+
+
 def bm25(docs: DataFrame, terms: list[str], weights: dict[str, float] | None = None, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """``keep`` and score of the rows that have every term as the beginning of some word; a lower score is better.
 
@@ -53,12 +59,7 @@ def bm25(docs: DataFrame, terms: list[str], weights: dict[str, float] | None = N
     every = counted.agg(F.count("*").alias("n"), F.avg("words").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()
     has_all = reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in range(len(terms))])
     mean = every["mean"] or 1.0
-
-    def part(i: int) -> Column:
-        n, f = every[f"n{i}"], F.col(f"f{i}")
-        idf = F.greatest(F.lit(1e-6), F.log(F.lit((every["n"] - n + 0.5) / (n + 0.5))))
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("words") / F.lit(mean)))
-
+    part = lambda i: score_part(every["n"], every[f"n{i}"], F.col(f"f{i}"), F.col("words"), mean)
     return counted.filter(has_all).select(*keep, (-reduce(add, map(part, range(len(terms))))).alias("score"))
 
 
@@ -70,13 +71,3 @@ def search(jobs: DataFrame, query: str, predicates: Column | None = None, limit:
     marked = jobs.withColumn("passes", passes)
     scored = bm25(marked, terms, weights, ("id", "first_seen", "passes"))
     return scored.filter("passes").orderBy("score", F.col("first_seen").desc(), "id").limit(limit).select("id", "first_seen", "score")
-
-
-def build_index(docs: DataFrame, id_col: str, columns: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """(postings: id, token, weight; lengths: id, words), for many queries: both read one folded pass, kept in the
-    shared folder. A token's weight sums its columns' weights times its count."""
-    parts = F.array(*[F.struct(F.lit(float(w)).alias("w"), tokens(fold(F.coalesce(F.col(c), F.lit("")))).alias("t")) for c, w in columns.items()])
-    rows = cut(docs.select(F.col(id_col).alias("id"), parts.alias("p")))
-    words = rows.select("id", F.explode("p").alias("p")).select("id", "p.w", F.explode("p.t").alias("token"))
-    lengths = rows.select("id", F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + F.size(p["t"])).alias("words"))
-    return words.groupBy("id", "token").agg(F.sum("w").alias("weight")), lengths
