@@ -89,21 +89,45 @@ def tokens(folded: Column) -> Column:
 
 def ngrams(words: Column, most: int) -> Column:
     """All runs of 1 to ``most`` words."""
-    runs = [_runs(words, n) for n in range(1, most + 1)]
-    return F.flatten(F.array(*runs))
+    return let(words, lambda t: F.when(F.size(t) > 0, _runs(t, F.sequence(F.lit(0), F.size(t) - 1), most)).otherwise(_no_texts()))
 
 
-def _runs(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _runs(words: Column, starts: Column, most: int) -> Column:
+    """Runs of up to ``most`` words that begin at ``starts``; ``words`` must be a value, as it is looked at for each."""
+    run = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i)), lambda n: F.array_join(F.slice(words, i + 1, n), " "))
+    return F.flatten(F.transform(starts, run))
 
 
 def phrase_hits(folded: Column, phrases: list[str]) -> Column:
-    """Phrases that a folded text holds as whole words, longest first, then by name."""
+    """Phrases that a folded text holds as whole words, longest first, then by name.
+
+    One pass finds any number of phrases: runs of words are only made where a phrase's first word stands, and
+    looked up by hash. The phrases are one literal of the plan.
+    """
     most = max((p.count(" ") + 1 for p in phrases), default=1)
-    hits = F.array_intersect(ngrams(tokens(folded), most), fixed_list(phrases))
+    firsts, every = fixed_list(sorted({p.split(" ")[0] for p in phrases})), fixed_list(list(dict.fromkeys(phrases)))
+
+    def at_firsts(x):
+        t, begins = x["t"], x["begins"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.array_contains(begins, F.get(t, i)))
+        return F.when(F.size(begins) > 0, longest_first(F.array_intersect(_runs(t, starts, most), every))).otherwise(_no_texts())
+
+    return let(let(tokens(folded), lambda t: F.struct(t.alias("t"), F.array_intersect(t, firsts).alias("begins"))), at_firsts)
+
+
+def longest_first(hits: Column) -> Column:
     return F.transform(F.array_sort(F.transform(hits, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda x: x["p"])
 
 
+def of_list(hits: Column, phrases: list[str]) -> Column:
+    """Those of ``hits``, found for several lists at once, that are in one list; their order stays."""
+    return F.array_intersect(hits, fixed_list(phrases))
+
+
 def first_phrase(folded: Column, phrases: list[str]) -> Column:
     return F.get(phrase_hits(folded, phrases), F.lit(0))
 

@@ -103,3 +103,21 @@ def test_stream(spark):
     got = registry.QUERIES["stream_latest"](spark, "/root/testdata/sf0.001").collect()
     want = spark.read.parquet("/root/testdata/sf0.001/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("e")).collect()
     assert {r["user_id"]: r["event_id"] for r in got} == {r["user_id"]: r["e"] for r in want}
+
+
+def test_thousands_of_phrases_in_one_pass(spark):
+    import random
+    import time
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    phrases = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(5000)})
+    rows = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["", "none of them", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string").select("i", text.phrase_hits(F.col("t"), phrases).alias("hits"))
+    began = time.time()
+    df._jdf.queryExecution().optimizedPlan()
+    assert time.time() - began < 1
+    got = {r["i"]: r["hits"] for r in df.collect()}
+    for i, t in enumerate(rows):
+        held = [p for p in phrases if f" {p} " in f" {t or ''} "]
+        assert (got[i] or []) == sorted(held, key=lambda p: (-len(p), p))
