@@ -4,7 +4,9 @@ Rows are ordered by (hash of the text, hash of the id), both unsigned. Each roun
 every row by the next 12 bits of the key, only within the intervals that still hold an unsettled
 splitter, so the driver sees at most shards x 4096 sums a round. A splitter settles at the boundary
 nearest to its share once that is within the tolerance. Equal texts stay in one shard, but a group of
-copies that is itself too large for a shard to stay even is split by the ids' hash.
+copies that is itself too large for a shard to stay even (above ``split_above`` of a shard's share: the law
+of equal bytes comes before that of groups) is split by the ids' hash. Rows of one id and text are parted by
+a row number, the key's last digits, so that they never weigh a shard down together.
 """
 
 from __future__ import annotations
@@ -116,8 +118,14 @@ def assign_slots(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     return numbered.join(sized(starts, shards * cells), ["shard", "cell"]).withColumn("slot", (F.col("start") + F.col("in_cell")).cast("long")).drop("cell", "start", "in_cell")
 
 
+#: Last bits of a key that tell rows of one id and text apart.
+_OWN = 24
+
+
 def keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    return F.xxhash64(F.col(text_col)), F.xxhash64(F.col(id_col), F.lit(1))
+    """Hashes of the text and of the id; the latter's last bits are of the row's number in its table."""
+    own = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << _OWN) - 1)
+    return F.xxhash64(F.col(text_col)), F.xxhash64(F.col(id_col), F.lit(1)).bitwiseAND(~((1 << _OWN) - 1)).bitwiseOR(own)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, split_above: float = 0.1) -> DataFrame:
@@ -125,8 +133,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id"
 
     A shard's bytes differ from their share by at most the tolerance or half of a group of equal texts
     at each end; a group above ``split_above`` of a share is cut. Null and empty texts are two groups
-    of rows of size 1. Repeated rows (equal id and text) stay together. An empty table gives none.
-    The columns ``shard``, ``k1`` and ``k2`` are the operator's own; other columns pass through.
+    of rows of size 1. Repeated rows (equal id and text) are as many rows; a group of them is cut like one of
+    equal texts. An empty table gives none. ``docs`` must give its rows in one order when it is read again, as
+    files and cut tables do. The columns ``shard``, ``k1`` and ``k2`` are the operator's own; other columns pass through.
     """
     k1, k2 = keys(id_col, text_col)
     slim = cut(docs.select(k1.alias("k1"), k2.alias("k2"), text_size(F.col(text_col)).alias("size")))
