@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,21 @@ SENTENCES = {
     "spdx-agpl3-later": "spdx license identifier agpl 3 0 or later",
     "spdx-cc0": "spdx license identifier cc0 1 0",
     "spdx-unlicense": "spdx license identifier unlicense",
+    "spdx-gpl2-plain": "spdx license identifier gpl 2 0",
+    "spdx-gpl3-plain": "spdx license identifier gpl 3 0",
+    "spdx-lgpl21": "spdx license identifier lgpl 2 1 only",
+    "spdx-lgpl3": "spdx license identifier lgpl 3 0 only",
+    "spdx-agpl3": "spdx license identifier agpl 3 0 only",
+    "spdx-epl2": "spdx license identifier epl 2 0",
+    "mit-short": "licensed under mit",
+    "apache2-short": "licensed under apache 2 0",
+    "apache2-name": "licensed under the apache 2 0 license",
+    "mpl2-licensed": "licensed under the mozilla public license version 2 0",
+    "gpl3-short": "licensed under the gpl version 3",
+    "gpl2-short": "licensed under the gpl version 2",
+    "bsd2-licensed": "licensed under the bsd 2 clause license",
     "all-rights": "all rights reserved copyright",
+    "all-rights-said": "all rights reserved",
 }
 
 # Fixed values: (licence, kind, identifiers in order). Earlier rules take their identifiers first.
@@ -120,20 +136,46 @@ RULES = (
     ("CC0-1.0", "permissive", ("spdx-cc0",)),
     ("Unlicense", "permissive", ("unlicense-free",)),
     ("Unlicense", "permissive", ("spdx-unlicense",)),
+    ("GPL-2.0-only", "copyleft", ("spdx-gpl2-plain",)),
+    ("GPL-3.0-only", "copyleft", ("spdx-gpl3-plain",)),
+    ("GPL-3.0-only", "copyleft", ("gpl3-short",)),
+    ("GPL-2.0-only", "copyleft", ("gpl2-short",)),
+    ("LGPL-2.1-only", "copyleft", ("spdx-lgpl21",)),
+    ("LGPL-3.0-only", "copyleft", ("spdx-lgpl3",)),
+    ("AGPL-3.0-only", "copyleft", ("spdx-agpl3",)),
+    ("EPL-2.0", "copyleft", ("spdx-epl2",)),
+    ("MIT", "permissive", ("mit-short",)),
+    ("Apache-2.0", "permissive", ("apache2-short",)),
+    ("Apache-2.0", "permissive", ("apache2-name",)),
+    ("MPL-2.0", "copyleft", ("mpl2-licensed",)),
+    ("BSD-2-Clause", "permissive", ("bsd2-licensed",)),
     ("proprietary", "restricted", ("all-rights",)),
 )
+#: Licence, kind and identifier that count only where no rule matched: open licences reserve all rights too.
+OTHERWISE = ("proprietary", "restricted", "all-rights-said")
+
+# What a text may say for "licensed", and what may stand after "under the".
+VERBS = ("released", "distributed", "available", "provided", "published", "offered")
+TERMS = ("terms of the", "terms and conditions of the", "conditions of the")
 
 #: Every known sentence has one of these; texts that have none are not split.
-TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|warranty|unencumbered"
+TRIGGER = r"(?i)licen[sc]e|copyright|rights reserved|permission|redistribut|warranty|unencumbered"
 # Sentences that have a full stop or a blank line inside, by the words before it.
 STOPS_WITHIN = {"apache2-copy": "at", "mpl2-subject": "v", "epl2-terms": "v"}
 #: Line ends, and marks of a comment or a list at the head of a line.
 _LINE = r"\x0D\x0A|[\x0A-\x0D]"
+_TAIL = r"(?m)[\x20\x09]*(?:\*+/|--+>|\*\))[\x20\x09]*$"
 _MARK = r"(?m)^[\x20\x09]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--+|(?:dnl|rem)(?=[\x20\x09]|$))[\x20\x09]*)+"
 #: A full stop, question or exclamation mark before white space, or a blank line, ends a sentence for good.
 _STOP = r"[.!?]+[\"')\]\x{201D}\x{2019}]*(?=[\x20\x0A\x09]|$)|\x0A[\x20\x09]*(?=\x0A)"
-#: A colon, semicolon or line end may end one or lie within one.
-_PAUSE = r"[:;](?=[\x20\x0A\x09]|$)|\x0A"
+#: A colon, semicolon, comma or line end may end one or lie within one.
+_PAUSE = r"[:;,](?=[\x20\x0A\x09]|$)|\x0A"
+#: The rest of a line behind a tag, to which its expression is held.
+_TAG = r"(?<=spdx-license-identifier:[^\x0A]{0,300})"
+#: Expressions of several licences become a tag for each: joined by AND or OR, with exceptions, ``+`` for later ones.
+_EXPRESSION = ((rf"{_TAG}[\x20()]+with[\x20]+[a-z0-9.-]+", ""), (rf"{_TAG}(?<=gpl-[0-9.]{{3}})\+", "-or-later"), (rf"{_TAG}[\x20()]+(?:and|or)[\x20(]+", "\nspdx-license-identifier: "), (rf"{_TAG}[()]", " "))
+#: A holder's name where the known sentence says copyright holder.
+_HOLDER = r"(?<= neither (?:[LX] )?the (?:[LX] )?name (?:[LX] )?of )(?:[a-z0-9LX]+ ){1,12}?(?=(?:L )*nor (?:L )*the (?:L )*names)"
 
 
 def _pattern(sentences: dict[str, str]) -> str:
@@ -145,31 +187,44 @@ def _pattern(sentences: dict[str, str]) -> str:
         return "".join(f"{w} {g}" for w, g in zip(words, gaps)) + words[-1]
 
     longest = sorted(sentences.items(), key=lambda x: -len(x[1]))
-    return "(?<= )(?:" + "|".join(form(*x) for x in longest) + ")(?= [LX])"
+    spread = lambda words: words.replace(" ", " (?:L )*")
+    named = "|".join(spread(said.removeprefix(_UNDER)) for _, said in longest if said.startswith(_UNDER))
+    said_so = f"(?:{'|'.join(VERBS)}|licensed) (?:L )*under (?:L )*the (?:L )*(?:(?:{'|'.join(map(spread, TERMS))}) (?:L )*)?(?:{named})"
+    return "(?<= )(?:" + "|".join(form(*x) for x in longest) + f"|{said_so})(?= [LX])"
+
+
+_UNDER = "licensed under the "
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order, also where they are wrapped, stand in comments or
     end a longer sentence. Of those that begin at one place the longest counts; they do not overlap."""
     known = F.create_map(*[F.lit(x) for name, said in sentences.items() for x in (said, name)])
-    lines = F.regexp_replace(F.regexp_replace(ascii_lower(text), _LINE, "\n"), _MARK, "")
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(ascii_lower(text), _LINE, "\n"), _TAIL, ""), _MARK, "")
+    tagged = reduce(lambda acc, x: F.regexp_replace(acc, *x), _EXPRESSION, lines)
+    lines = F.when(lines.contains("spdx-license-identifier:"), tagged).otherwise(lines)
     # Nothing is upper-case any more, so X and L can stand for stops and pauses.
     marked = F.regexp_replace(F.regexp_replace(lines, _STOP, " X "), _PAUSE, " L ")
     plain = F.concat(F.lit(" "), F.regexp_replace(marked, "[^a-z0-9LX]+", " "), F.lit(" X "))
+    plain = F.regexp_replace(plain, _HOLDER, "the copyright holder ")
     found = F.regexp_extract_all(plain, F.lit(_pattern(sentences)), F.lit(0))
-    return F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, "[LX] ", "")))
+    own_words = F.transform(found, lambda s: F.regexp_replace(s, "[LX] ", ""))
+    usual = lambda s: F.regexp_replace(s, f"^(?:{'|'.join(VERBS)}|licensed) under the (?:(?:{'|'.join(TERMS)}) )?", _UNDER)
+    return F.transform(own_words, lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(known, usual(s))))
 
 
 def match_rules(ids: Column, rules=RULES) -> Column:
     """Licences whose identifiers follow each other in ``ids`` (sentences that are not known may lie between),
     in the order of the rules; identifiers that a rule took are gone for later ones."""
-    left = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
+    left = F.concat(F.lit(" "), F.array_join(F.filter(ids, lambda x: x != OTHERWISE[2]), "  "), F.lit(" "))
     found = []
     for licence, _, wanted in rules:
         said = "".join(f" {x} " for x in wanted)
         found.append(F.when(left.contains(said), F.lit(licence)))
         left = F.replace(left, F.lit(said), F.lit(" # "))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    hits = F.array_distinct(F.array_compact(F.array(*found)))
+    reserved = F.when(F.array_contains(ids, OTHERWISE[2]), F.array(F.lit(OTHERWISE[0])))
+    return F.coalesce(F.when(F.size(hits) > 0, hits), reserved, hits)
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,10 +133,11 @@ def _license_sql() -> str:
         SELECT rid, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?]+[\\x20\\x09-\\x0D]+|[\\x0A-\\x0D]+') AS ss FROM d WHERE text IS NOT NULL)),
     ids AS (
       SELECT rid, list(name ORDER BY i) AS ids FROM parts JOIN known ON said = trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) GROUP BY rid),
-    r0 AS (SELECT d.rid, doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(coalesce(ids, []), '  ') || ' ' AS s0 FROM d LEFT JOIN ids ON d.rid = ids.rid)
+    r0 AS (SELECT d.rid, doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(list_filter(coalesce(ids, []), lambda x: x <> '{license_scan.OTHERWISE[2]}'), '  ') || ' ' AS s0 FROM d LEFT JOIN ids ON d.rid = ids.rid)
     {steps},
     hit AS (SELECT doc_id, ids, list_filter([{', '.join(found)}], lambda x: x IS NOT NULL) AS raw FROM r{len(license_scan.RULES)}),
-    h AS (SELECT doc_id, ids, list_filter({order}, lambda n: list_contains(raw, n)) AS hits FROM hit)
+    h AS (
+      SELECT doc_id, ids, CASE WHEN len(raw) = 0 AND list_contains(ids, '{license_scan.OTHERWISE[2]}') THEN ['{license_scan.OTHERWISE[0]}'] ELSE list_filter({order}, lambda n: list_contains(raw, n)) END AS hits FROM hit)
     SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(hits, ',') AS licenses,
       CASE {kinds} END AS strictest FROM h
     """
