@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, small_batches
+from .common import cut, held, sized, small_batches
 
 #: Labelled characters learned from in each language, and documents they are taken from, at most.
 SAMPLE_CHARS, SAMPLE_DOCS = 30_000, 200
-#: Languages learned at most: those with the most labelled documents, so that stray labels cannot swell the model.
-MOST_LANGUAGES = 100
+#: Labelled characters learned from in all: of very many languages each has an equal share, and ``LEAST_CHARS`` at least.
+MODEL_CHARS, LEAST_CHARS = 3_000_000, 400
 #: Words kept with their phrases in a worker.
 KEPT_WORDS = 120_000
 #: Words longer than this are parsed one by one, others of one length together.
@@ -85,21 +85,28 @@ def plain_words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS, sample: int = SAMPLE_DOCS, most: int = MOST_LANGUAGES) -> dict[str, str]:
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", chars: int = SAMPLE_CHARS, sample: int = SAMPLE_DOCS, model: int = MODEL_CHARS) -> dict[str, str]:
     """Up to ``chars`` labelled characters for each language, as words between spaces, from the heads of at most
-    ``sample`` distinct documents chosen by a hash of their text, each with an equal share. Null labels and texts
-    without letters teach nothing; of more than ``most`` labels those with the most documents are learned, equal
-    ones by name."""
+    ``sample`` distinct documents chosen by a hash of their text, each with an equal share. Every label that a text
+    with letters has is learned; of more than ``model`` / ``chars`` labels each has an equal share of ``model``.
+    Null labels and texts without letters teach nothing.
+
+    A head is cut before it is shuffled, to eight times its share, so that what short texts leave free has takers.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    hashed = known.withColumn("h", F.xxhash64("text", F.lit(11)).bitwiseAND((1 << 40) - 1))
-    # Twice the share that is wanted, so that copies of one text may be passed over.
-    counts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()}
-    if not counts:
+    hashed = known.select("lang", F.xxhash64("text", F.lit(11)).bitwiseAND((1 << 40) - 1).alias("h"), F.substring("text", 1, chars).alias("text"))
+    counts = cut(hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    labels = counts.count()
+    if not labels:
         return {}
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * sample / max(1, n)) * (1 << 40))))])
-    taken = hashed.filter(F.col("h") < F.element_at(limit, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chars = min(chars, max(LEAST_CHARS, model // labels))
+    # Twice the share that is wanted, so that copies of one text may be passed over.
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.greatest("n", F.lit(1)))
+    head = F.least(F.lit(chars), F.ceil(F.lit(8 * chars) / F.least(F.greatest("n", F.lit(1)), F.lit(sample)))).cast("int")
+    limits = counts.select("lang", (share * (1 << 40)).cast("long").alias("limit"), head.alias("head"))
+    taken = hashed.join(sized(limits, labels), "lang").filter(F.col("h") < F.col("limit")).groupBy("lang", "h").agg(F.min(F.substr("text", F.lit(1), F.col("head"))).alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in taken.select("lang", "h", F.substring("text", 1, chars).alias("text")).orderBy("lang", "h").collect():
+    for r in taken.orderBy("lang", "h").collect():  # of each language at most 2 x sample heads, 16 x chars characters
         said = " ".join(plain_words(r["text"]))
         if said and len(texts.setdefault(r["lang"], [])) < sample:
             texts[r["lang"]].append(said)

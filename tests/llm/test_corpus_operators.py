@@ -567,7 +567,7 @@ def test_queries_match_their_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
     for name, sql in Q.ORACLE_SQL.items():
         df = Q.QUERIES[name](spark, "/root/testdata/sf0.01")
