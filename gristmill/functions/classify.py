@@ -14,9 +14,9 @@ from .text import fixed_list, fixed_map, fold, let, ngrams, of_list, phrase_hits
 from .urls import canonical_apply_url
 
 _SAID = json.loads(files("gristmill.data").joinpath("lexicon.json").read_text(encoding="utf-8"))
-FRENCH, ENGLISH = _SAID["languages"]["french"].split(), _SAID["languages"]["english"].split()
-SEASONS = {season: said.split() for season, said in _SAID["seasons"].items()}
-FILLERS, NOT_SEASONS = _SAID["season_fillers"].split(), _SAID["not_seasons"]
+FRENCH, ENGLISH = _SAID["languages"]["french"], _SAID["languages"]["english"]
+SEASONS = _SAID["seasons"]
+FILLERS, NOT_SEASONS = _SAID["season_fillers"], _SAID["not_seasons"]
 PLACES = _SAID["places"]
 
 
@@ -26,7 +26,7 @@ def _composed(lists: dict[str, list[str]], rules: dict[str, list[list[str]]]) ->
 
 
 ROLES = _composed(_SAID["roles"], _SAID["role_rules"])
-CANADIAN_CODES, US_CODES = _SAID["canada_codes"].split(), _SAID["usa_codes"].split()
+CANADIAN_CODES, US_CODES = _SAID["canada_codes"], _SAID["usa_codes"]
 MARKERS = _SAID["markers"]
 DEGREES = _composed(_SAID["degree_required"], _SAID["degree_rules"])
 #: Lists that a posting's texts are searched for, all in one pass over a text.

@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 
 # Suffixes of French inclusive spellings, without accents.
 INCLUSIVE_SUFFIXES = (
-    "e es a as se ses euse euses eure eures ere eres rice rices trice trices fe fes ne nes le les ive ives ale ales "
-    "ienne iennes onne onnes elle elles ete etes iere ieres"
-).split()
+    "e", "es", "a", "as", "se", "ses", "euse", "euses", "eure", "eures", "ere", "eres", "rice", "rices", "trice", "trices", "fe", "fes", "ne", "nes",
+    "le", "les", "ive", "ives", "ale", "ales", "ienne", "iennes", "onne", "onnes", "elle", "elles", "ete", "etes", "iere", "ieres",
+)
 # Words that a company's name may end in or share with others without meaning.
-LEGAL_SUFFIXES = "inc incorporated corp corporation co company ltd limited llc llp lp plc gmbh ag sa sas sarl nv bv pty ulc ltee".split()
-GENERIC_TOKENS = "bank blue capital central cloud data digital energy financial first general global green group health international labs media national new north one open power security software solutions systems tech technologies".split()
+LEGAL_SUFFIXES = (
+    "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "llp", "lp", "plc", "gmbh", "ag", "sa", "sas", "sarl",
+    "nv", "bv", "pty", "ulc", "ltee",
+)
+GENERIC_TOKENS = (
+    "bank", "blue", "capital", "central", "cloud", "data", "digital", "energy", "financial", "first", "general", "global", "green", "group",
+    "health", "international", "labs", "media", "national", "new", "north", "one", "open", "power", "security", "software", "solutions", "systems",
+    "tech", "technologies",
+)
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 

@@ -14,7 +14,10 @@ COMPANY = (
     "source_of_record string, notes string"
 )
 #: Words that make a division of its parent's name.
-QUALIFIERS = "americas canada usa us uk europe emea apac asia global international north america technologies technology digital services solutions group labs research studios cloud ai".split()
+QUALIFIERS = (
+    "americas", "canada", "usa", "us", "uk", "europe", "emea", "apac", "asia", "global", "international", "north", "america", "technologies",
+    "technology", "digital", "services", "solutions", "group", "labs", "research", "studios", "cloud", "ai",
+)
 # Postings that an employer of each size may have.
 SIZES = {"startup": (1, 300), "mid": (5, 3000), "large": (25, 60000)}
 

@@ -12,10 +12,12 @@ def shared_folder(spark: SparkSession) -> str:
     whose executors could not see it, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -23,5 +25,7 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+        folder = shared_folder(df.sparkSession)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(folder)
     return df.checkpoint()

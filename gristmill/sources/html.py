@@ -18,7 +18,7 @@ from gristmill.functions.text import collapse_whitespace
 
 #: Rows of a page at most.
 MOST_ROWS = 2000
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 _PART = re.compile(r"([.#]?)([A-Za-z0-9_-]+)|\[([A-Za-z0-9_-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]")
 
 
