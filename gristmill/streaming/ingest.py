@@ -1,15 +1,13 @@
-"""Streaming jobs: batches into the store, event logs, a circuit breaker and resumable crawls as keyed state."""
+"""Streaming jobs: batches into the store, event logs, and what a complete crawl has seen."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.control import block_seconds
 from gristmill.operators.merge import Batch, apply_batch, purge, upsert
 from gristmill.operators.store import Store
 from gristmill.session import cut
@@ -38,16 +36,18 @@ def into_store(stream: DataFrame, store: Store, checkpoint: str, prepare: Callab
 
 def sync_stream(stream: DataFrame, store: Store, checkpoint: str, batch_of: Callable[[DataFrame], Batch], now: Column, retain: bool = True):
     """A query that applies each micro-batch of one source to the store's jobs, quarantine and tombstones in one commit:
-    first_seen as it is known, whatever was purged before; expired rows go after each batch."""
+    first_seen as it is known, whatever was purged before; expired rows go after each batch. ``counts`` has a row for each
+    batch id: a batch that is run again, after a crash, replaces its own."""
 
-    def apply(rows: DataFrame, _: int) -> None:
+    def apply(rows: DataFrame, number: int) -> None:
         jobs, quarantine, tombstones = store.read_all("jobs", "quarantine", "tombstones")
         jobs, quarantine, counts = apply_batch(jobs, quarantine, tombstones, batch_of(rows))
         if retain:
             jobs, tombstones = purge(cut(jobs), tombstones, now)
         tables = {"jobs": jobs, "quarantine": quarantine, "tombstones": tombstones}
+        counts = counts.withColumn("batch", F.lit(number).cast("long"))
         if "counts" in store.versions():
-            counts = store.read("counts").unionByName(counts)
+            counts = store.read("counts").filter(F.col("batch") != number).unionByName(counts)
         store.commit(**tables, counts=counts)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -69,65 +69,7 @@ def changed_only(fetched: DataFrame, validators: DataFrame) -> DataFrame:
     return met.filter(~F.coalesce(same, F.lit(False))).drop("was_etag", "was_modified")
 
 
-def breaker(events: DataFrame, key: str, failed: str) -> DataFrame:
-    """(key, failures, block_s) after each micro-batch: failures in a row so far, and the block they earn.
-
-    events: a stream with ``key``, ``failed`` and ``ts``. State is one number for each key.
-    """
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        for bad in rows[failed]:
-            n = n + 1 if bad else 0
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "failures": [n]})
-
-    kind = dict(events.dtypes)[key]
-    counted = events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, failures long", "n long", "update", "NoTimeout")
-    return counted.withColumn("block_s", F.when(F.col("failures") >= 5, block_seconds(F.col("failures"))).otherwise(0.0))
-
-
-PAGE = 20
-
-
-def crawls(pages: DataFrame) -> DataFrame:
-    """(board, next_offset, total, seen, state, complete) after each micro-batch of pages of resumable crawls.
-
-    pages: a stream of board, at (order of arrival), offset, total, ids, facet, malformed. A page counts if it
-    begins where the crawl stands, or at the page before, which is read again on resuming; another facet
-    starts anew. A page shorter than PAGE, or that reaches the total, ends the crawl: complete if every
-    page was sound and none named another total, else it is thrown away. State for each board is its
-    place, its total, its facet and the ids seen.
-    """
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, total, facet, seen, sound = state.get if state.exists else (0, -1, "", [], True)
-        seen, told = dict.fromkeys(seen), "open"
-        for p in pd.concat(list(frames)).sort_values("at", kind="stable").itertuples():
-            if p.facet != facet:
-                at, total, facet, seen, sound = 0, -1, p.facet, {}, True
-            if p.offset not in (at, max(0, at - PAGE)):
-                continue
-            ids = list(p.ids)
-            if p.total > 0:
-                sound, total = sound and total in (-1, p.total), p.total
-            sound = sound and not p.malformed
-            seen.update(dict.fromkeys(ids))
-            at, told = p.offset + PAGE, "open"
-            if len(ids) < PAGE or 0 < total <= at:
-                told = "complete" if sound else "discarded"
-                yield pd.DataFrame({"board": [k[0]], "next_offset": [0], "total": [total], "seen": [list(seen) if sound else []], "state": [told]})
-                at, total, seen, sound = 0, -1, {}, True
-        state.update((at, total, facet, list(seen), sound))
-        if told == "open":
-            yield pd.DataFrame({"board": [k[0]], "next_offset": [at], "total": [total], "seen": [list(seen)], "state": [told]})
-
-    schema = "board string, next_offset long, total long, seen array<string>, state string"
-    return pages.groupBy("board").applyInPandasWithState(update, schema, "at long, total long, facet string, seen array<string>, sound boolean", "update", "NoTimeout")
-
-
 def bump_seen(jobs: DataFrame, done: DataFrame, stamp: Column) -> DataFrame:
-    """Open rows whose ids a complete crawl saw are seen at ``stamp``."""
-    ids = done.filter("state = 'complete'").select(F.explode("seen").alias("id")).distinct().withColumn("hit", F.lit(True))
+    """Open rows whose ids a complete crawl (rows of ``state.crawls``) saw are seen at ``stamp``."""
+    ids = done.filter("state = 'complete' and id is not null").select("id").distinct().withColumn("hit", F.lit(True))
     return jobs.join(ids, "id", "left").withColumn("last_seen", F.when(F.col("hit") & (F.col("status") == "open"), stamp).otherwise(F.col("last_seen"))).drop("hit")

@@ -12,7 +12,7 @@ from gristmill.operators.filters import JobFilters, QuarantineFilters
 from gristmill.operators.store import Store
 from gristmill.plans import registry as plans
 from gristmill.plans.adapters import view
-from gristmill.streaming import ingest
+from gristmill.streaming import ingest, state
 
 SF = "/root/testdata/sf0.01"
 
@@ -221,23 +221,46 @@ def run_to_end(stream, tmp_path, name):
 
 
 def test_crawls_resume_and_end(spark, tmp_path):
-    schema = "board string, at int, offset long, total long, ids array<string>, facet string, malformed boolean"
+    schema = "board string, at timestamp, offset long, total long, ids array<string>, facet string, malformed boolean"
     ids = lambda a, n: [f"p{a + i}" for i in range(n)]
-    one = [("x", 1, 0, 50, ids(0, 20), "f", False), ("y", 1, 0, 25, ids(0, 20), "f", False), ("z", 1, 0, 90, ids(0, 20), "f", False)]
-    two = [("x", 2, 20, 50, ids(20, 20), "f", False), ("x", 3, 40, 50, ids(40, 10), "f", False), ("y", 2, 20, 26, ids(20, 5), "f", False), ("z", 2, 0, 40, ids(0, 20), "g", False), ("z", 3, 60, 40, ids(60, 20), "g", False)]
+    one = [("x", at(1), 0, 50, ids(0, 20), "f", False), ("y", at(1), 0, 25, ids(0, 20), "f", False), ("z", at(1), 0, 90, ids(0, 20), "f", False)]
+    two = [("x", at(2), 20, 50, ids(20, 20), "f", False), ("x", at(3), 40, 50, ids(40, 10), "f", False), ("y", at(2), 20, 26, ids(20, 5), "f", False), ("z", at(2), 0, 40, ids(0, 20), "g", False), ("z", at(3), 60, 40, ids(60, 20), "g", False)]
     write_batches(spark, str(tmp_path / "in"), [spark.createDataFrame(b, schema) for b in (one, two)])
-    got = run_to_end(ingest.crawls(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), tmp_path, "cp")
-    last = {r["board"]: (r["state"], r["next_offset"], len(r["seen"])) for r in got}
+    got = run_to_end(state.crawls(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))), tmp_path, "cp")
+    last = {r["board"]: (r["state"], r["next_offset"], r["seen"]) for r in got if r["id"] is None}
     assert last == {"x": ("complete", 0, 50), "y": ("discarded", 0, 0), "z": ("open", 20, 20)}
+    assert sorted(r["id"] for r in got if r["id"]) == sorted(ids(0, 50))
     jobs = spark.createDataFrame([("p3", "open", at(1)), ("q", "open", at(1)), ("p4", "closed", at(1))], "id string, status string, last_seen timestamp")
-    assert {r["id"]: r["last_seen"] for r in ingest.bump_seen(jobs, spark.createDataFrame(got), F.lit(at(2))).collect()} == {"p3": at(2), "q": at(1), "p4": at(1)}
+    assert {r["id"]: r["last_seen"] for r in ingest.bump_seen(jobs, spark.createDataFrame(got, "board string, next_offset long, total long, seen long, state string, id string"), F.lit(at(2))).collect()} == {"p3": at(2), "q": at(1), "p4": at(1)}
+
+
+def test_a_crawl_that_rests_expires(spark, tmp_path):
+    schema = "board string, at timestamp, offset long, total long, ids array<string>, facet string, malformed boolean"
+    page = lambda board, day, offset, n: (board, at(day), offset, 90, [f"{board}{offset + i}" for i in range(n)], "f", False)
+    one, two, three = [page("a", 1, 0, 20), page("b", 1, 0, 20)], [page("b", 6, 20, 20)], [page("b", 12, 40, 20)]
+    write_batches(spark, str(tmp_path / "in"), [spark.createDataFrame(b, schema) for b in (one, two)])
+    read = lambda: state.crawls(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    got = run_to_end(read(), tmp_path, "cp")
+    write_batches(spark, str(tmp_path / "in"), [spark.createDataFrame(three, schema)])
+    got += run_to_end(read(), tmp_path, "cp")  # the query is started again where it stopped
+    said = [(r["board"], r["state"], r["next_offset"], r["seen"]) for r in got]
+    assert ("a", "expired", 0, 0) in said and ("b", "open", 60, 60) in said and not any(s[0] == "b" and s[1] == "expired" for s in said)
+
+
+def test_breaker_relaxes_when_it_rests(spark, tmp_path):
+    schema = "host string, bad boolean, ts timestamp"
+    batches = [[("h", True, at(1)), ("h", True, at(1))], [("k", False, at(10))], [("k", False, at(18))], [("k", False, at(26))]]
+    write_batches(spark, str(tmp_path / "in"), [spark.createDataFrame(b, schema) for b in batches])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = [(r["failures"], round(r["interval_s"], 3)) for r in run_to_end(state.breaker(stream, "host", "bad", base_s=0.25), tmp_path, "cp") if r["host"] == "h"]
+    assert got[0] == (2, 1.0) and got[1:3] == [(0, 0.7), (0, 0.49)]
 
 
 def test_breaker_and_changes_and_log(spark, tmp_path):
     schema = "host string, bad boolean, ts timestamp"
     write_batches(spark, str(tmp_path / "in"), [spark.createDataFrame([("h", True, at(i)) for i in range(1, 5)], schema), spark.createDataFrame([("h", True, at(5)), ("h", True, at(6)), ("k", False, at(1))], schema)])
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r["host"]: (r["failures"], r["block_s"]) for r in run_to_end(ingest.breaker(stream(), "host", "bad"), tmp_path, "cp")}
+    got = {r["host"]: (r["failures"], r["block_s"]) for r in run_to_end(state.breaker(stream(), "host", "bad"), tmp_path, "cp")}
     assert got == {"h": (6, 600.0), "k": (0, 0.0)}
     ingest.event_log({"a": stream().select("host", "ts"), "b": stream()}, str(tmp_path / "log"), str(tmp_path / "cp2")).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "log")).groupBy("source").count().count() == 2
