@@ -1,7 +1,8 @@
-"""Exports: the fixed projection as CSV, JSON or Markdown, each written beside its place and then moved there."""
+"""Exports: the fixed projection as CSV, JSON or Markdown, each in files that a manifest names."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,24 +70,80 @@ def _headed(spark: SparkSession, head: list[str], body: DataFrame) -> DataFrame:
     return top.unionByName(body)
 
 
+MANIFEST = "_manifest.json"
+
+
+def _places(spark: SparkSession, path: str):
+    """(Hadoop's paths, the file system of ``path``)."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make, make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """What an export holds: format, rows, and its files under ``path``; none if no export was ever finished there."""
+    make, fs = _places(spark, path)
+    at = make(f"{path}/{MANIFEST}")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a finished export, as they were when the manifest was read."""
+    held = manifest(spark, path)
+    if held is None:
+        raise FileNotFoundError(f"no finished export at {path}")
+    return spark.read.option("lineSep", held["line_end"]).text([f"{path}/{f}" for f in held["files"]])
+
+
 def write(df: DataFrame, path: str, fmt: str = "csv", force: bool = False) -> None:
-    """``df`` as a folder of one text format. It is written beside ``path`` and moved there whole, so a write that breaks
-    off leaves what was there; what is there is replaced only by ``force``."""
+    """``df`` as text files of one format under ``path``, which a manifest names.
+
+    The files are written to a folder of their own, whose tasks commit as Spark's writers do. Only then is the
+    manifest, whole, put in the place of the old one, in one step of the file system; until then readers have
+    the old export, from then on the new one, wherever a writer breaks off. What no manifest names goes at the
+    next write. An export that is there is replaced only by ``force``.
+    """
     spark = df.sparkSession
-    made = {"csv": csv_lines, "json": json_rows, "md": markdown_lines}[fmt](df)
-    jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(path)) and not force:
+    if not force and manifest(spark, path) is not None:
         raise FileExistsError(f"{path} is there; force replaces it")
-    partial = f"{path}.{uuid.uuid4().hex}.partial"
+    made = {"csv": csv_lines, "json": json_rows, "md": markdown_lines}[fmt](df)
+    parts, line_end = f"parts-{uuid.uuid4().hex}", "\r\n" if fmt == "csv" else "\n"
     order = ["at"] if "at" in made.columns else []
     rows = made.repartitionByRange(*order).sortWithinPartitions(*order).select("value") if order else made
-    rows.write.option("lineSep", "\r\n" if fmt == "csv" else "\n").text(partial)
-    if fs.exists(fs_path(path)):
-        fs.delete(fs_path(path), True)
-    if not fs.rename(fs_path(partial), fs_path(path)):
-        raise OSError(f"{partial} could not be moved to {path}")
+    rows.write.option("lineSep", line_end).text(f"{path}/{parts}")
+    make, fs = _places(spark, path)
+    files = sorted(f"{parts}/{x.getPath().getName()}" for x in fs.listStatus(make(f"{path}/{parts}")) if x.getPath().getName().startswith("part-"))
+    _switch(spark, path, parts, {"format": fmt, "line_end": line_end, "files": files}, force)
+    _sweep(spark, path, parts)
+
+
+def _switch(spark: SparkSession, path: str, parts: str, held: dict, force: bool) -> None:
+    """Puts the manifest in its place; without ``force`` only if none came there meanwhile."""
+    make, fs = _places(spark, path)
+    new = make(f"{path}/{parts}/{MANIFEST}")
+    stream = fs.create(new, False)
+    try:
+        stream.write(json.dumps(held).encode())
+    finally:
+        stream.close()
+    jvm = spark._jvm
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE if force else kind.NONE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, make(f"{path}/{MANIFEST}"), how)
+
+
+def _sweep(spark: SparkSession, path: str, parts: str) -> None:
+    make, fs = _places(spark, path)
+    for x in fs.listStatus(make(path)):
+        name = x.getPath().getName()
+        if name.startswith("parts-") and name != parts:
+            fs.delete(x.getPath(), True)
 
 
 def log_requests(requests: DataFrame, path: str) -> None:

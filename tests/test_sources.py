@@ -125,16 +125,47 @@ def test_configured_boards(spark):
     assert rows(spark, page, board) == [("12", "Dev Intern", "https://h/j/dev-intern_12", "MTL")]
 
 
+def files(path):
+    return [path / f for f in json.loads((path / export.MANIFEST).read_text())["files"]]
+
+
 def test_exports(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", "a,b", "x|y\n z"), ('q"t', None, "\x07ok")], "a string, b string, c string")
     export.write(df, str(tmp_path / "x"), "csv")
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "x").glob("part-*"))).decode()
+    data = b"".join(p.read_bytes() for p in files(tmp_path / "x")).decode()
     assert data.startswith("\ufeffa,b,c\r\n") and "'=1+1,\"a,b\",x|y z\r\n" in data and '"q""t",,ok\r\n' in data
     with pytest.raises(FileExistsError):
         export.write(df, str(tmp_path / "x"), "csv")
     export.write(df, str(tmp_path / "x"), "md", force=True)
-    data = "".join(p.read_text() for p in sorted((tmp_path / "x").glob("part-*")))
+    data = "".join(p.read_text() for p in files(tmp_path / "x"))
     assert data.startswith("# Postings\n\n2 postings\n\n| a | b | c |\n") and "| =1+1 | a,b | x\\|y z |" in data
     export.write(df, str(tmp_path / "x"), "json", force=True)
-    lines = [json.loads(x) for p in (tmp_path / "x").glob("part-*") for x in p.read_text().splitlines()]
-    assert {"a": 'q"t', "b": None, "c": "ok"} in lines and not list(tmp_path.glob("*.partial"))
+    lines = [json.loads(x) for p in files(tmp_path / "x") for x in p.read_text().splitlines()]
+    assert {"a": 'q"t', "b": None, "c": "ok"} in lines and len(list((tmp_path / "x").glob("parts-*"))) == 1
+    assert export.read(spark, str(tmp_path / "x")).count() == 2
+
+
+@pytest.mark.parametrize("step", ["_places", "_switch", "_sweep"])
+def test_export_that_breaks_off_leaves_the_old_or_the_new_whole(spark, tmp_path, monkeypatch, step):
+    path, first, second = str(tmp_path / "x"), spark.createDataFrame([("old",)], "a string"), spark.createDataFrame([("new",), ("er",)], "a string")
+    lines = lambda: sorted(r["value"] for r in export.read(spark, path).collect() if r["value"] not in ("\ufeffa", "a"))
+    export.write(first, path, "csv")
+    kept = getattr(export, step)
+
+    def broken(*args):
+        if step == "_places" and not list((tmp_path / "x").glob("parts-*/_SUCCESS"))[1:]:
+            return kept(*args)  # until the new files are written
+        raise OSError("broken off")
+
+    monkeypatch.setattr(export, step, broken)
+    with pytest.raises(OSError):
+        export.write(second, path, "csv", force=True)
+    monkeypatch.undo()
+    assert lines() == (["er", "new"] if step == "_sweep" else ["old"])
+    export.write(first, path, "csv", force=True)
+    assert lines() == ["old"] and len(list((tmp_path / "x").glob("parts-*"))) == 1
+    with pytest.raises(Exception):  # noqa: B017
+        export.write(first.select(F.raise_error(F.lit("x")).alias("a")), path, "csv", force=True)
+    assert lines() == ["old"]
+    with pytest.raises(FileNotFoundError):
+        export.read(spark, str(tmp_path / "none"))
