@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from gristmill.functions import urls
 from gristmill.functions.text import first_line, fold, name_matches, name_root, tokens
 
+from . import register_rules
+
 COMPANY = (
     "name string, platform string, slug string, enabled boolean, fmt string, rate_profile string, last_verified date, recheck_after date, paused_until date, "
     "source_of_record string, notes string"
@@ -23,16 +25,18 @@ SIZES = {"startup": (1, 300), "mid": (5, 3000), "large": (25, 60000)}
 
 
 def read_registry(spark: SparkSession, path: str, today: Column) -> tuple[DataFrame, DataFrame]:
-    """(companies, rejected) of JSON lines under ``path``: a row needs a name, a platform and a slug; two rows of one
-    board are both rejected; a pause that has passed ends, and its row is enabled."""
-    rows = spark.read.schema(COMPANY).json(path)
+    """(companies, rejected) of JSON lines under ``path``: a row needs a name, a platform and a slug, and keeps to all of
+    ``register_rules.RULES``; two rows of one board are both rejected; a pause that has passed ends, and its row is
+    enabled. Rejected rows carry why, the first reason, and all their errors."""
+    lines = register_rules.check(spark.read.text(path))
+    rows = lines.select(F.from_json("value", COMPANY).alias("row"), "errors").select("row.*", "errors")
     key = F.concat_ws(":", F.lower("platform"), F.lower("slug"))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    marked = rows.withColumn("registry_key", key).withColumn("why", F.when(blank("name"), "no name").when(blank("platform"), "no platform").when(blank("slug") | ~F.coalesce(urls.safe_slug(F.col("slug")), F.lit(False)), "no usable slug"))
+    marked = rows.withColumn("registry_key", key).withColumn("why", F.when(blank("name"), "no name").when(blank("platform"), "no platform").when(blank("slug") | ~F.coalesce(urls.safe_slug(F.col("slug")), F.lit(False)), "no usable slug").when(F.size("errors") > 0, F.get("errors", F.lit(0))))
     twice = marked.filter("why is null").groupBy("registry_key").agg(F.count("*").alias("n")).filter("n > 1").select("registry_key", F.lit(True).alias("twice"))
     judged = marked.join(twice, "registry_key", "left").withColumn("why", F.coalesce("why", F.when(F.col("twice"), "board listed twice"))).drop("twice")
     over = F.coalesce(F.col("paused_until") <= today, F.lit(False))
-    good = judged.filter("why is null").drop("why").withColumn("enabled", F.coalesce("enabled", F.lit(True)) | over).withColumn("paused_until", F.when(~over, F.col("paused_until")))
+    good = judged.filter("why is null").drop("why", "errors").withColumn("enabled", F.coalesce("enabled", F.lit(True)) | over).withColumn("paused_until", F.when(~over, F.col("paused_until")))
     return good, judged.filter("why is not null")
 
 
