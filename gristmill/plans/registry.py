@@ -600,18 +600,51 @@ _FOUND_SQL = _FOUND.replace("make_interval(0, 0, 0, CAST(doc_id % 97 AS INT))",
 _WEIGHED = " UNION ALL ".join(f"SELECT id, {w} AS w, unnest(string_split({fold_sql(c)}, ' ')) AS t FROM p" for c, w in search.WEIGHTS.items())
 
 
-@query(f"""
+_RANKED = f"""
 WITH p AS ({_FOUND_SQL}), w AS (SELECT * FROM ({_WEIGHED}) WHERE t <> ''),
 l AS (SELECT p.id, count(t) AS n FROM p LEFT JOIN w ON p.id = w.id GROUP BY 1), s AS (SELECT count(*) AS total, avg(n) AS mean FROM l),
 f AS (SELECT id, q, sum(w)::DOUBLE AS f FROM w JOIN (VALUES ('lic'), ('the')) v(q) ON starts_with(t, q) GROUP BY 1, 2),
 i AS (SELECT q, greatest(1e-6, ln(((SELECT total FROM s) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM f GROUP BY 1),
-r AS (SELECT id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT mean FROM s)))), 9) AS score FROM f JOIN i USING (q) JOIN l USING (id) GROUP BY 1 HAVING count(*) = 2)
-SELECT id, score FROM r JOIN p USING (id) WHERE live ORDER BY score, first_seen DESC, id LIMIT 20""")
+r AS (SELECT id, round(-sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / (SELECT mean FROM s)))), 9) AS score FROM f JOIN i USING (q) JOIN l USING (id) GROUP BY 1 HAVING count(*) = 2)"""
+
+
+@query(f"{_RANKED} SELECT id, score FROM r JOIN p USING (id) WHERE live ORDER BY score, first_seen DESC, id LIMIT 20")
 def bm25_search(spark, sf):
     found = search.search(view(spark, sf, _FOUND), "Lic thé", F.col("live"), 20)
     return found.select("id", F.round("score", 9).alias("score"))
 
 
+@query(f"{_RANKED} SELECT id, score FROM r")
+def index_search(spark, sf):
+    """Documents in a stored index, in two commits: first with their titles for texts, then as they are, which replaces
+    every one; what is found reads postings alone."""
+    from gristmill.operators.index import Index
+    from gristmill.operators.store import Store
+
+    docs = view(spark, sf, _FOUND).select(F.col("id").cast("string").alias("id"), *search.WEIGHTS)
+    index = Index(Store(spark, f"{shared_folder(spark)}/index_search_{uuid.uuid4().hex}"))
+    index.update(docs.withColumn("description", F.col("title_raw")))
+    index.update(docs)
+    found = index.scores(search.query_terms(spark, "Lic thé"))
+    return found.select(F.col("id").cast("long").alias("id"), F.round("score", 9).alias("score"))
+
+
+#: An event's number as the address of a host, in six spellings.
+_ADDRESSES = ("concat('https://', CAST(n AS STRING), '/a')", "concat('https://', CAST(n DIV 16777216 AS STRING), '.', CAST(n % 16777216 AS STRING))",
+    "concat('https://', CAST(n DIV 16777216 AS STRING), '.', CAST(n DIV 65536 % 256 AS STRING), '.', CAST(n DIV 256 % 256 AS STRING), '.', CAST(n % 256 AS STRING), ':443/')", "concat('https://0x', lower(hex(n)), '/')",
+    "concat('https://[::ffff:', lower(hex(n DIV 65536)), ':', lower(hex(n % 65536)), ']/x')", "concat('https://0', conv(CAST(n AS STRING), 10, 8))")
+_SPECIAL = "[(0, 16777215), (167772160, 184549375), (1681915904, 1686110207), (2130706432, 2147483647), (2851995648, 2852061183), (2886729728, 2887778303), (3221225472, 3221225480), (3221225483, 3221225727), (3221225984, 3221226239), (3232235520, 3232301055), (3323068416, 3323199487), (3325256704, 3325256959), (3405803776, 3405804031), (4026531840, 4294967295)]"
+
+
+@query(f"""WITH n AS (SELECT event_id, (event_id * 2654435761 + 3221225479) % 4294967296 AS wide, 3221225472 + event_id % 600 AS near FROM events), e AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN near ELSE wide END AS n FROM n)
+  SELECT event_id, len(list_filter({_SPECIAL}, lambda r: n BETWEEN r[1] AND r[2])) = 0 AS public FROM e""")
+def public_addresses(spark, sf):
+    n = "CASE WHEN event_id % 4 = 0 THEN 3221225472 + event_id % 600 ELSE (event_id * 2654435761 + 3221225479) % 4294967296 END"
+    e = table(spark, sf, "events").select("event_id", F.expr(n).alias("n"))
+    spelled = F.expr("CASE event_id % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_ADDRESSES)) + " END")
+    return e.select("event_id", urls.public_https_url(spelled).alias("public"))
+
+
 @query("""SELECT user_id, CAST(max(event_id) AS BIGINT) AS event_id FROM events GROUP BY 1""")
 def stream_latest(spark, sf):
     """Events as a stream of files that come in no order, upserted batch by batch into the store: the greatest id stays."""
