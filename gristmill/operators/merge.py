@@ -7,6 +7,7 @@ swaps snapshots. All joins are equi-joins on ids.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -270,15 +271,16 @@ def repair(jobs: DataFrame, tombstones: DataFrame) -> DataFrame:
     return told.withColumn("first_seen", F.when(F.col("first_seen") > F.col("was"), F.col("was")).otherwise(F.col("first_seen"))).select(*jobs.columns)
 
 
-def rescreen(jobs: DataFrame, quarantine: DataFrame, tombstones: DataFrame, stamp: Column, passes: int = 8) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+def rescreen(jobs: DataFrame, quarantine: DataFrame, tombstones: DataFrame, stamp: Column) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(jobs, quarantine, counts): place, role and screens of every canonical row again, until a pass changes nothing,
     as a row that goes may leave its place to a duplicate; then quarantined rows that now pass come back.
 
     Rows put away for the role or the place are tried again, by title and place alone. counts: examined,
-    updated, quarantined, released.
+    updated, quarantined, released. Passes end by themselves: each puts rows away for good, or corrects rows that the
+    next one finds right.
     """
     done = {"examined": 0, "updated": 0, "quarantined": 0, "released": 0}
-    for turn in range(passes):
+    for turn in count():
         live = jobs.filter("duplicate_of is null")
         again = classify.normalize(live.select("id", "title_raw", "description", "location_raw"))
         role = F.when(F.col("n.role") != "unknown", F.col("n.role")).otherwise(F.col("j.role"))
