@@ -3,8 +3,9 @@
 A text's tokens are its runs of letters and digits, lower-cased, in pieces of at most ``PIECE``
 characters. The rolling hash of every ``K`` tokens in a row is the polynomial of their own hashes,
 modulo a prime; in every ``WINDOW`` hashes in a row the least is chosen, the rightmost of equals, and
-kept with its position. Two texts that share ``WINDOW + K - 1`` tokens in a row share a chosen hash.
-Column expressions only.
+kept with its position. Two texts that share ``WINDOW + K - 1`` tokens in a row share a chosen gram.
+The rolling hash decides between grams of a window alone; a chosen gram is named by 64 bits made of its
+tokens' 64-bit hashes, so that a name stands for one passage in a corpus of any size. Column expressions only.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from .common import let, shuffle_partitions
 
 PIECE, K, WINDOW = 8, 4, 8
 TOKEN = r"[\p{L}\p{N}]{1,%d}" % PIECE
-#: The rolling hash's prime modulus, the greatest below 2^36, and its base; (base^2) x modulus stays below 2^63.
-PRIME, BASE = (1 << 36) - 5, 8191
-#: Bits of a gram's position. A chosen gram is one number: its hash's 36 bits above its position counted down, so
-#: that the least number is the least hash at its rightmost place.
-PLACE_BITS = 28
+#: The rolling hash's prime modulus, the greatest below 2^32, and its base; (base^2) x modulus stays below 2^63.
+PRIME, BASE = (1 << 32) - 5, 8191
+#: Bits of a gram's position, as many as an array's places need. While a window is compared a gram is one number, its
+#: rolling hash above its position counted down: the least number is the least hash at its rightmost place.
+PLACE_BITS = 31
+_PLACES = (1 << PLACE_BITS) - 1
+GRAMS = "array<struct<place:int,name:bigint>>"
 
 
 def rolling(h: Column) -> Column:
@@ -33,43 +36,34 @@ def rolling(h: Column) -> Column:
     return let(pair, lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 3), lambda i: F.pmod(F.get(p, i) * (BASE * BASE) + F.get(p, i + 2), F.lit(PRIME))))
 
 
-def chosen(grams: Column, bits: int = PLACE_BITS) -> Column:
-    """The grams that winnowing chooses, packed, in order of position. No row is long enough to hold 2^28 grams; one
-    that did would fail and not be read wrongly."""
-    packed = lambda g: F.transform(g, lambda x, i: F.shiftleft(x - (1 << (63 - bits)), bits) + (F.lit((1 << bits) - 1) - i))
-    fits = lambda g: F.when(F.size(g) < (1 << bits), packed(g)).otherwise(F.raise_error(F.lit("too many grams for one text")).cast("array<bigint>"))
+def chosen(grams: Column) -> Column:
+    """The positions of the grams that winnowing chooses by their rolling hashes, in order."""
+    packed = F.transform(grams, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(F.lit(_PLACES) - i))
 
     def lows(p):
         least = F.transform(F.sequence(F.lit(1), F.size(p) - WINDOW + 1), lambda i: F.array_min(F.slice(p, i, WINDOW)))
         return F.when(F.size(p) >= WINDOW, F.array_distinct(least)).otherwise(F.array(F.array_min(p)))
 
-    return let(let(grams, fits), lows)
+    return F.transform(let(packed, lows), lambda x: (F.lit(_PLACES) - x.bitwiseAND(_PLACES)).cast("int"))
 
 
 def winnow(text: Column) -> Column:
-    """The chosen grams of a text in order of position, as packed numbers.
+    """The chosen grams of a text in order of position, as (place, name).
 
     Fewer than K tokens make one gram; a text without any token is a token itself; an empty or null
     text has no grams. Fewer grams than a window make one window.
     """
     tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    hashes = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
-    short = lambda h: F.array(F.pmod(F.xxhash64(h), F.lit(PRIME)))
-    whole = F.array(F.pmod(F.xxhash64(text), F.lit(PRIME)))
-    grams = lambda h: F.when(F.size(h) >= K, rolling(h)).when(F.size(h) > 0, short(h)).otherwise(whole)
-    return F.when(F.length(text) > 0, chosen(let(hashes, grams))).otherwise(F.array().cast("array<bigint>"))
-
-
-def hash_of(gram: Column, bits: int = PLACE_BITS) -> Column:
-    return F.shiftright(gram, bits) + (1 << (63 - bits))
-
-
-def place_of(gram: Column, bits: int = PLACE_BITS) -> Column:
-    return F.lit((1 << bits) - 1) - gram.bitwiseAND((1 << bits) - 1)
+    gram = lambda place, name: F.struct(place.alias("place"), name.alias("name"))
+    one = lambda name: F.array(gram(F.lit(0), name))
+    named = lambda t: lambda i: gram(i, F.xxhash64(*[F.get(t, i + j) for j in range(K)]))
+    many = lambda t: F.transform(chosen(rolling(F.transform(t, lambda x: F.pmod(x, F.lit(PRIME))))), named(t))
+    grams = lambda t: F.when(F.size(t) >= K, many(t)).when(F.size(t) > 0, one(F.xxhash64(t))).otherwise(one(F.xxhash64(text)))
+    return F.when(F.length(text) > 0, let(F.transform(tokens, lambda t: F.xxhash64(t)), grams)).otherwise(F.array()).cast(GRAMS)
 
 
 def kept_hashes(grams: Column) -> Column:
-    return F.array_distinct(F.transform(grams, lambda x: hash_of(x)))
+    return F.array_distinct(F.transform(grams, lambda x: x["name"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -79,8 +73,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def said(grams: Column) -> Column:
-    """``position:hash`` of each chosen gram, comma-joined."""
-    return F.array_join(F.transform(grams, lambda x: F.concat(place_of(x).cast("string"), F.lit(":"), F.lower(F.hex(hash_of(x))))), ",")
+    """``position:name`` of each chosen gram, comma-joined."""
+    return F.array_join(F.transform(grams, lambda x: F.concat(x["place"].cast("string"), F.lit(":"), F.lower(F.hex(x["name"])))), ",")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -251,12 +251,15 @@ def test_fingerprints(odd, given, none):
 def test_winnowing_takes_the_rightmost_least(spark):
     texts = ["a b c d " * 10, "one two three four five six seven eight nine ten eleven twelve thirteen", "one two", "w x " * 300, "p q r s"]
     words = F.transform(F.regexp_extract_all("t", F.lit(r"\w+"), F.lit(0)), lambda x: F.xxhash64(x))
-    grams = fingerprint.winnow(F.col("t"))
-    places, hashes = F.transform(grams, lambda x: fingerprint.place_of(x)), F.transform(grams, lambda x: fingerprint.hash_of(x))
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(places.alias("places"), hashes.alias("hashes"), words.alias("h"), F.pmod(F.xxhash64(F.transform(words, lambda x: F.pmod(x, F.lit(fingerprint.PRIME)))), F.lit(fingerprint.PRIME)).alias("all")).collect()
+    name = F.xxhash64(*[F.get(words, F.col("i") + j) for j in range(4)])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprint.winnow(F.col("t")).alias("g"), words.alias("h"), "t")
+    got = rows.select("*", F.xxhash64("h").alias("all")).collect()
+    every = rows.select("t", F.posexplode("h").alias("i", "x"), "h").withColumn("name", name).collect()
+    names = {(r["t"], r["i"]): r["name"] for r in every}
     for r in got:
+        places, hashes = [x["place"] for x in r["g"]], [x["name"] for x in r["g"]]
         if len(r["h"]) < 4:
-            assert (r["places"], r["hashes"]) == ([0], [r["all"]])
+            assert (places, hashes) == ([0], [r["all"]])
             continue
         h = [x % fingerprint.PRIME for x in r["h"]]
         roll = sum(x * fingerprint.BASE ** (3 - j) for j, x in enumerate(h[:4])) % fingerprint.PRIME
@@ -269,15 +272,14 @@ def test_winnowing_takes_the_rightmost_least(spark):
             j = min(range(i, min(i + 8, len(g))), key=lambda k: (g[k], -k))
             if j not in want:
                 want.append(j)
-        assert (r["places"], r["hashes"]) == (want, [g[j] for j in want])
+        assert (places, hashes) == (want, [names[r["t"], j] for j in want])
+        assert len(set(hashes)) == len({tuple(r["h"][j : j + 4]) for j in want})  # a name is one passage
 
 
-def test_places_of_grams_do_not_wrap(spark):
-    grams = F.array(*[F.lit(x).cast("long") for x in [5, 4, 4, 9, 7, 3, 3, 8, 8, 1, 6, 6, 2, 2, 2]])
-    one = lambda bits: spark.range(1).select(F.transform(fingerprint.chosen(grams, bits), lambda x: F.struct(fingerprint.place_of(x, bits), fingerprint.hash_of(x, bits))).alias("g")).first()["g"]
-    assert [tuple(x) for x in one(28)] == [tuple(x) for x in one(4)] == [(6, 3), (9, 1)]
-    with pytest.raises(Exception, match="too many grams"):
-        one(3)
+def test_greatest_rolling_hashes_do_not_wrap(spark):
+    top = fingerprint.PRIME - 1
+    grams = F.array(*[F.lit(x).cast("long") for x in [top, 4, 4, 9, 7, 3, 3, 8, 8, 1, 6, 6, 2, 2, 2] + [top] * 9])
+    assert spark.range(1).select(fingerprint.chosen(grams).alias("g")).first()["g"] == [6, 9, 14, 22, 23]
 
 
 def test_next_row_among_many_of_one_id(spark):
