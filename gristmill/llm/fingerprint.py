@@ -57,7 +57,8 @@ def winnow(text: Column) -> Column:
     gram = lambda place, name: F.struct(place.alias("place"), name.alias("name"))
     one = lambda name: F.array(gram(F.lit(0), name))
     named = lambda t: lambda i: gram(i, F.xxhash64(*[F.get(t, i + j) for j in range(K)]))
-    many = lambda t: F.transform(chosen(rolling(F.transform(t, lambda x: F.pmod(x, F.lit(PRIME))))), named(t))
+    places = lambda t: let(F.transform(t, lambda x: F.pmod(x, F.lit(PRIME))), lambda h: chosen(rolling(h)))
+    many = lambda t: F.transform(places(t), named(t))
     grams = lambda t: F.when(F.size(t) >= K, many(t)).when(F.size(t) > 0, one(F.xxhash64(t))).otherwise(one(F.xxhash64(text)))
     return F.when(F.length(text) > 0, let(F.transform(tokens, lambda t: F.xxhash64(t)), grams)).otherwise(F.array()).cast(GRAMS)
 
