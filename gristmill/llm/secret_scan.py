@@ -5,7 +5,8 @@ Long runs of letters and digits are candidates. For the encoding that a candidat
 uniformity over its alphabet, the number of runs of character classes, and the serial correlation of
 neighbours. What people write differs from a uniform alphabet by an amount that grows with length, so
 the first two become one score for "not written text", in which a short candidate cannot score high;
-candidates whose neighbours are correlated (sequences, repetitions) are passed over. In each class of
+candidates whose neighbours are correlated (sequences, repetitions), or that lack a mix of letters and
+digits or cases, have a p-value of 1: they are never reported but count among the tests. In each class of
 lengths the Benjamini-Hochberg rule over all candidates of the corpus sets the score from which a
 candidate is reported. Column expressions only; the corpus is read twice and nothing but a histogram
 of scores is shuffled.
@@ -108,8 +109,8 @@ def _blanked(text: Column, spans: Column) -> Column:
 
 
 def randomness(token: Column) -> Column:
-    """Score of a candidate: standard deviations away from written text towards a uniform alphabet; null if it
-    has no letter or no digit or case change, or if its neighbours are correlated."""
+    """Score of a candidate: standard deviations away from written text towards a uniform alphabet; null, which is a
+    p-value of 1, if it has no letter or no digit or case change, or if its neighbours are correlated."""
     mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]") | token.rlike("[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]")
     encoding = F.lit(None)
     for name, pattern, alphabet, change, excess in reversed(ENCODINGS):
@@ -149,10 +150,11 @@ def _battery(e: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """(start, k, end, score) of every candidate of a text, which are the runs that its known spans leave."""
+    """(start, k, end, score) of every candidate of a text, which are the runs that its known spans leave. Those that a
+    gate holds back score 0, below what may be reported: they are tests all the same, so the rate's count has them."""
     spans = F.when(text.rlike(CANDIDATE), _positions(text, CANDIDATE, 3))
-    scored = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), randomness(x["token"]).alias("score")))
-    return F.coalesce(F.filter(scored, lambda x: x["score"].isNotNull()), F.array().cast("array<struct<start:bigint,k:int,end:bigint,score:double>>"))
+    scored = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), F.coalesce(randomness(x["token"]), F.lit(0.0)).alias("score")))
+    return F.coalesce(scored, F.array().cast("array<struct<start:bigint,k:int,end:bigint,score:double>>"))
 
 
 def _known(docs: DataFrame, text: Column) -> DataFrame:
@@ -177,7 +179,8 @@ def tail(z: Column) -> Column:
 def cutoffs(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[int, float]:
     """For each length class the least score that is reported; none where nothing may be.
 
-    Spans of known forms are no candidates, so they raise no rank. Benjamini-Hochberg over the scores' histogram: at most TOP x BINS_A_UNIT sums for each of the
+    Spans of known forms are no candidates, so they raise no rank; every other candidate counts, gated or not.
+    Benjamini-Hochberg over the scores' histogram: at most TOP x BINS_A_UNIT sums for each of the
     length classes, however many candidates there are. A bin counts by its lower edge, the larger p.
     """
     slim = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike(CANDIDATE))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from gristmill.llm import language_id, license_scan, sharding
+from gristmill.llm import language_id, license_scan, secret_scan, sharding
 
 HEADERS = {
     "/* SPDX-License-Identifier: MIT */": "MIT",
@@ -95,3 +95,12 @@ def test_bytes_stay_even_with_heavy_repeated_rows(spark, shards):
     share = sum(weight.values()) / shards
     assert len(weight) == shards and max(abs(w - share) for w in weight.values()) <= 1001 + 0.002 * share
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_gated_candidates_count_as_tests(spark):
+    rng = random.Random(11)
+    secrets = ["".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(20)]
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(400)]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    alone, among = (secret_scan.cutoffs(frame(t))[1] for t in (secrets, secrets + plain))
+    assert alone < among < 10
