@@ -1,5 +1,6 @@
 """Many languages, heavy repeated rows, and licence headers as real files have them."""
 
+import math
 import random
 from collections import Counter
 
@@ -99,8 +100,9 @@ def test_bytes_stay_even_with_heavy_repeated_rows(spark, shards):
 
 def test_gated_candidates_count_as_tests(spark):
     rng = random.Random(11)
-    secrets = ["".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(20)]
-    plain = ["".join(rng.choice("abcdefghij") for _ in range(40)) for _ in range(400)]
+    secrets = ["".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(200)]
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(20)) for _ in range(4000)]
     frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
-    alone, among = (secret_scan.cutoffs(frame(t))[1] for t in (secrets, secrets + plain))
-    assert alone < among < 10
+    alone, among = (secret_scan.cutoffs(frame(t))[0] for t in (secrets, secrets + plain))
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    assert alone < among and tail(among) <= secret_scan.RATE * len(secrets) / (len(secrets) + len(plain)) < tail(alone)
