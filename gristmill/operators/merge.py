@@ -19,6 +19,9 @@ from gristmill.session import cut
 
 from . import dedup
 
+#: Boards that are sent to every task at most.
+MOST_BOARDS = 100_000
+
 
 def first_seen_known(batch: DataFrame, jobs: DataFrame, quarantine: DataFrame, tombstones: DataFrame) -> DataFrame:
     """``batch`` with first_seen as it is known: from jobs, else quarantine, else tombstones, else its own."""
@@ -27,6 +30,14 @@ def first_seen_known(batch: DataFrame, jobs: DataFrame, quarantine: DataFrame, t
     return batch.join(best, "id", "left").withColumn("first_seen", F.coalesce("seen", "first_seen")).drop("seen")
 
 
+def of_boards(jobs: DataFrame, boards: DataFrame, name: str) -> DataFrame:
+    """``jobs`` with a mark ``name`` on rows of ``boards`` (board_key), else null. A board may hold a large part of
+    the rows, so up to MOST_BOARDS boards, which are counted, are sent to the rows."""
+    listed = cut(boards.select(F.col("board_key").alias("_board")).distinct())
+    few = F.broadcast(listed) if listed.count() <= MOST_BOARDS else listed
+    return jobs.join(few, F.col("board_key") == F.col("_board"), "left").withColumn(name, F.when(F.col("_board").isNotNull(), True)).drop("_board")
+
+
 def upsert(jobs: DataFrame, batch: DataFrame, keep: tuple[str, ...] = ("first_seen", "duplicate_of")) -> DataFrame:
     """Rows of ``jobs`` replaced by those of ``batch`` with the same id, but for the columns in ``keep``; new rows added."""
     old, new = jobs.alias("o"), batch.alias("n")
@@ -41,13 +52,13 @@ def upsert(jobs: DataFrame, batch: DataFrame, keep: tuple[str, ...] = ("first_se
 
 def touch(jobs: DataFrame, unchanged: DataFrame, stamp: Column) -> DataFrame:
     """Open rows of unchanged boards (board_key) are seen at ``stamp``."""
-    hit = jobs.join(unchanged.select("board_key").distinct().withColumn("hit", F.lit(True)), "board_key", "left")
+    hit = of_boards(jobs, unchanged, "hit")
     return hit.withColumn("last_seen", F.when(F.col("hit") & (F.col("status") == "open"), stamp).otherwise(F.col("last_seen"))).drop("hit")
 
 
 def close_missing(jobs: DataFrame, closable: DataFrame, stamp: Column) -> DataFrame:
     """Open rows of the boards in ``closable`` that were not seen in this run are closed."""
-    hit = jobs.join(closable.select("board_key").distinct().withColumn("hit", F.lit(True)), "board_key", "left")
+    hit = of_boards(jobs, closable, "hit")
     gone = F.col("hit") & (F.col("status") == "open") & (F.col("last_seen") < stamp)
     return hit.withColumn("status", F.when(gone, "closed").otherwise(F.col("status"))).drop("hit")
 
@@ -94,7 +105,7 @@ def promote_orphans(jobs: DataFrame) -> DataFrame:
     ids = jobs.select(F.col("id").alias("canon"))
     orphan = jobs.filter("duplicate_of is not null").join(ids, F.col("duplicate_of") == F.col("canon"), "left_anti")
     heirs = orphan.groupBy("duplicate_of").agg(F.min(F.struct("rank", "id"))["id"].alias("heir"))
-    moved = jobs.join(heirs, "duplicate_of", "left")
+    moved = jobs.join(heirs.withColumnRenamed("duplicate_of", "led"), dedup.lead("duplicate_of", "led"), "left").drop("led")
     return moved.withColumn("duplicate_of", F.when(F.col("heir").isNull(), F.col("duplicate_of")).when(F.col("heir") != F.col("id"), F.col("heir"))).drop("heir").select(*jobs.columns)
 
 
@@ -177,7 +188,7 @@ def apply_batch(jobs: DataFrame, quarantine: DataFrame, tombstones: DataFrame, b
     merged, held = move_to_quarantine(merged, quarantine, bad, new)
     own = F.col("source") == batch.source
     if batch.unchanged is not None:
-        merged = merged.join(batch.unchanged.select("board_key").distinct().withColumn("same", F.lit(True)), "board_key", "left")
+        merged = of_boards(merged, batch.unchanged, "same")
         hit = F.col("same") & own & (F.col("status") == "open")
         merged = merged.withColumn("touched", F.coalesce(hit, F.lit(False))).withColumn("last_seen", F.when(hit, batch.stamp).otherwise(F.col("last_seen"))).drop("same")
     else:
@@ -186,7 +197,7 @@ def apply_batch(jobs: DataFrame, quarantine: DataFrame, tombstones: DataFrame, b
     if batch.closes_source:
         merged = merged.withColumn("gone", late)
     elif batch.closable is not None:
-        merged = merged.join(batch.closable.select("board_key").distinct().withColumn("whole", F.lit(True)), "board_key", "left").withColumn("gone", F.coalesce(F.col("whole") & late, F.lit(False))).drop("whole")
+        merged = of_boards(merged, batch.closable, "whole").withColumn("gone", F.coalesce(F.col("whole") & late, F.lit(False))).drop("whole")
     else:
         merged = merged.withColumn("gone", F.lit(False))
     merged = cut(merged.withColumn("status", F.when(F.col("gone"), "closed").otherwise(F.col("status"))))

@@ -2,15 +2,53 @@
 
 import re
 
-from gristmill.operators import dedup
+from pyspark.sql import functions as F
+
+from gristmill.operators import dedup, merge
 from gristmill.plans import registry
 from gristmill.plans.adapters import view
 
 
+def largest_share(df, key):
+    """The share of rows that the fullest of 16 tasks gets by ``key``."""
+    task = F.pmod(F.hash(key), F.lit(16)).alias("task")
+    n = sorted(r["count"] for r in df.groupBy(task).count().collect())
+    return n[-1] / sum(n)
+
+
 def hashed_by(df):
     return re.findall(r"hashpartitioning\(([^)]*(?:\([^)]*\))?[^)]*), \d+\)", df._jdf.queryExecution().executedPlan().toString())
 
 
+def left_keys(df):
+    return re.findall(r"Join \[([^\]]*)\], \[[^\]]*\], LeftOuter", df._jdf.queryExecution().executedPlan().toString())
+
+
+def jobs(spark, n=400):
+    rows = spark.range(n).select(
+        F.concat(F.lit("s"), F.col("id") % 3, F.lit(":b:"), "id").alias("id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), (F.col("id") % 3).cast("int").alias("rank"),
+        F.when(F.col("id") % 10 == 1, F.concat(F.lit("s"), (F.col("id") - 1) % 3, F.lit(":b:"), F.col("id") - 1)).alias("duplicate_of"), F.lit("b").alias("board_key"),
+        F.lit("open").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("first_seen"), F.lit("2024-01-01").cast("timestamp").alias("last_seen"),
+    )
+    return rows
+
+
+def test_rows_without_a_link_are_spread(spark):
+    j = jobs(spark)
+    assert largest_share(j, F.coalesce("duplicate_of", "id")) < 0.2 < largest_share(j, F.col("duplicate_of"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gone = j.filter(~F.col("id").endswith("0"))
+        linked = j.filter("duplicate_of is not null").select("id", "duplicate_of")
+        for df in (merge.promote_orphans(gone), dedup.write_links(j.select("id", "duplicate_of"), j.limit(0).select("id"), linked)):
+            assert left_keys(df) and not [x for x in left_keys(df) if re.fullmatch(r"(duplicate_of|now)#\d+", x)]
+        assert {r["duplicate_of"] for r in merge.promote_orphans(gone).collect()} == {None}
+        boards = spark.createDataFrame([("b",)], "board_key string")
+        assert not [x for x in hashed_by(merge.touch(j.repartition(3), boards, F.current_timestamp())) if "board" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pairs_are_not_shuffled(spark):
     pairs = dedup.candidate_pairs(view(spark, "/root/testdata/sf0.01", registry._PARTS_JOBS))
     assert not [x for x in hashed_by(pairs) if "a_id" in x or "b_id" in x]
