@@ -273,7 +273,7 @@ def repair(jobs: DataFrame, tombstones: DataFrame) -> DataFrame:
     """``jobs`` with dangling links and links within one source cut, chains flattened, and first_seen as the tombstone
     has it where a purged row came back as new."""
     up = jobs.select(F.col("id").alias("c_id"), F.col("source").alias("c_source"))
-    met = jobs.join(up, F.col("duplicate_of") == F.col("c_id"), "left")
+    met = jobs.join(up, dedup.lead("duplicate_of", "c_id"), "left")
     sound = F.when(F.col("c_id").isNotNull() & (F.col("source") != F.col("c_source")), F.col("duplicate_of"))
     cleared = cut(met.withColumn("duplicate_of", sound).drop("c_id", "c_source"))
     flat = flatten_chains(cleared.filter("duplicate_of is not null").select("id", "duplicate_of"))

@@ -39,10 +39,12 @@ def test_rows_without_a_link_are_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         gone = j.filter(~F.col("id").endswith("0"))
+        none = spark.createDataFrame([], "id string, first_seen timestamp")
         linked = j.filter("duplicate_of is not null").select("id", "duplicate_of")
-        for df in (merge.promote_orphans(gone), dedup.write_links(j.select("id", "duplicate_of"), j.limit(0).select("id"), linked)):
+        for df in (merge.promote_orphans(gone), merge.repair(j, none), dedup.write_links(j.select("id", "duplicate_of"), j.limit(0).select("id"), linked)):
             assert left_keys(df) and not [x for x in left_keys(df) if re.fullmatch(r"(duplicate_of|now)#\d+", x)]
         assert {r["duplicate_of"] for r in merge.promote_orphans(gone).collect()} == {None}
+        assert merge.repair(j, none).filter("duplicate_of is not null").count() == 40
         boards = spark.createDataFrame([("b",)], "board_key string")
         assert not [x for x in hashed_by(merge.touch(j.repartition(3), boards, F.current_timestamp())) if "board" in x]
     finally:
