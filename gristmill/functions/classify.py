@@ -66,6 +66,13 @@ class Said:
         return F.array_min(self.those(phrases))
 
 
+def once(text: Column, body) -> Column:
+    """``body`` of the text's Said, whose folding and phrases are computed once a row however often ``body`` looks at
+    them; as plain columns they would be written into the plan, and computed, at every use."""
+    held = let(fold(text), lambda f: F.struct(f.alias("folded"), phrase_hits(f, PHRASES).alias("hits")))
+    return let(held, lambda x: body(Said(x["folded"], x["hits"])))
+
+
 def detect_language(title: Column, body: Column) -> Column:
     """EN, FR, bilingual or unknown, by distinct telling words: at least two, and twice the other's if both have two.
 
@@ -208,7 +215,7 @@ def _role_of(said: Said) -> Column:
 def classify_role(title: Column, body: Column, declared: Column) -> Column:
     """Role of the longest phrase in the title, else in the body, else of the declared category, else unknown. General
     phrases give way to any other; equal lengths to the earlier place, then the name."""
-    return _role(Said.of(title), Said.of(body), declared)
+    return once(title, lambda t: once(body, lambda b: _role(t, b, declared)))
 
 
 def _role(title: Said, body: Said | None, declared: Column) -> Column:
@@ -231,7 +238,7 @@ def required_degree(title: Column, body: Column) -> Column:
 def resolve_eligibility(title: Column, body: Column) -> Column:
     """struct(degree, work_auth, phrase): the highest degree that title or body asks for, whether they rule out who
     has no leave to work, and the phrase that said so first."""
-    return _eligibility(Said.of(F.concat_ws(" ", title, body)))
+    return once(F.concat_ws(" ", title, body), _eligibility)
 
 
 def _eligibility(said: Said) -> Column:
@@ -283,7 +290,7 @@ def _restricted(folded: Column, hits: Column, alternatives: list[str]) -> Column
 def screen_internship(title: Column, employment: Column) -> Column:
     """Why a posting is no internship, or null: a phrase that rules it out; a marker only within a pair of words that
     means something else; no marker in the title nor among declared types. French-only markers need a French title."""
-    return _internship(title, Said.of(title), employment)
+    return once(title, lambda t: _internship(title, t, employment))
 
 
 def _internship(title: Column, said: Said, employment: Column) -> Column:
@@ -302,7 +309,7 @@ def _internship(title: Column, said: Said, employment: Column) -> Column:
 
 def screen_degree(title: Column, body: Column) -> Column:
     """The phrase that asks for a doctorate or names a graduate posting, or null."""
-    return _degree(Said.of(title), Said.of(F.concat_ws(" ", title, body)))
+    return once(title, lambda t: once(F.concat_ws(" ", title, body), lambda both: _degree(t, both)))
 
 
 def _degree(title: Said, both: Said) -> Column:
@@ -315,7 +322,7 @@ def _degree(title: Said, both: Said) -> Column:
 def screen_role(title: Column, declared: Column) -> Column:
     """struct(reason, phrase) of a title outside computing, or null. A title of another field passes if it also has a
     technical word and a role of its own."""
-    return _field(Said.of(title), declared)
+    return once(title, lambda t: _field(t, declared))
 
 
 def _field(title: Said, declared: Column) -> Column:
@@ -338,7 +345,7 @@ def _rejected(reason: str, phrase: Column, otherwise: Column | None = None) -> C
 
 def screen(title: Column, body: Column, declared: Column, employment: Column) -> Column:
     """struct(reason, phrase) of the first screen that rejects, or null: no internship, wrong degree, no computing."""
-    return _screened(title, Said.of(title), Said.of(F.concat_ws(" ", title, body)), declared, employment)
+    return once(title, lambda t: once(F.concat_ws(" ", title, body), lambda both: _screened(title, t, both, declared, employment)))
 
 
 def _screened(title: Column, said: Said, both: Said, declared: Column, employment: Column) -> Column:

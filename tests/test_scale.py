@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from gristmill.functions import classify
 from gristmill.operators import dedup, merge
 from gristmill.plans import registry
 from gristmill.plans.adapters import view
@@ -55,3 +56,13 @@ def test_pairs_are_not_shuffled(spark):
     pairs = dedup.candidate_pairs(view(spark, "/root/testdata/sf0.01", registry._PARTS_JOBS))
     assert not [x for x in hashed_by(pairs) if "a_id" in x or "b_id" in x]
     assert pairs.groupBy("a", "b").count().filter("count > 1").count() == 0
+
+
+def test_screens_fold_and_search_a_text_once(spark):
+    t = F.col("t")
+    none = F.lit("")
+    df = spark.createDataFrame([("Software Developer Intern",)], "t string")
+    for c, most in ((classify.screen(t, none, none, none), 4), (classify.classify_role(t, none, none), 3), (classify.screen_degree(t, none), 2), (classify.resolve_eligibility(t, none), 1)):
+        assert df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("[^0-9a-z]+") <= most
+    plan = registry.QUERIES["scr_screen"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
