@@ -36,6 +36,8 @@ LEAST_WIDTH = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.1}
 LEAST_DOCUMENTS = 50
 #: Distinct words of a batch that a vocabulary splits in one call.
 SPLIT_AT_ONCE = 10_000
+#: Words that a slow vocabulary keeps from batch to batch, some 200 bytes each.
+KNOWN_WORDS = 400_000
 
 _SYMBOLS = "[#*$%&|<>]"
 _FEW = re.compile("[^ \t-\r]")
@@ -49,6 +51,30 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b if b in shown else next(rest)): b for b in range(256)}
 
 
+def _broken(token: bytes) -> bool:
+    """Whether a token's bytes make no whole characters."""
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return True
+    return False
+
+
+def _remembered(split):
+    """``split`` with the words of earlier batches kept, up to ``KNOWN_WORDS`` of them; then it begins anew."""
+    known: dict[str, list[int]] = {}
+
+    def own(words):
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > KNOWN_WORDS:
+            known.clear()
+            new = words
+        known.update(zip(new, split(new), strict=True))
+        return [known[w] for w in words]
+
+    return own
+
+
 class _Vocabulary:
     """A splitter of words; ``of_bytes`` tells which ids stand for bytes that make no character."""
 
@@ -59,24 +85,29 @@ class _Vocabulary:
             pieces = sentencepiece.SentencePieceProcessor(model_file=path)
             self.split = lambda words: pieces.encode(words, num_threads=1)
             self.of_bytes = np.array([pieces.is_byte(i) for i in range(pieces.vocab_size())])
+        elif path.endswith(".tiktoken"):
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, f)}
+            ordinary = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.split = lambda words: [ordinary(" " + w) for w in words]
+            self.of_bytes = np.zeros(max(ranks.values()) + 1, dtype=bool)
+            for token, i in ranks.items():
+                self.of_bytes[i] = _broken(token)
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             t, letters = Tokenizer.from_file(path), _byte_letters()
             t.encode_special_tokens = True
-            self.split = lambda words: [x.ids for x in t.encode_batch([" " + w for w in words], add_special_tokens=False)]
-
-            def broken(token: str) -> bool:
-                try:
-                    bytes(letters.get(c, 32) for c in token).decode()
-                except UnicodeDecodeError:
-                    return True
-                return False
-
+            self.split = _remembered(lambda words: [x.ids for x in t.encode_batch([" " + w for w in words], add_special_tokens=False)])
             self.of_bytes = np.zeros(t.get_vocab_size(), dtype=bool)
             for token, i in t.get_vocab().items():
-                self.of_bytes[i] = broken(token)
+                self.of_bytes[i] = _broken(bytes(letters.get(c, 32) for c in token))
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all ``words`` one after the other, and where those of each begin and how many they are."""

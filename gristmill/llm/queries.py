@@ -71,9 +71,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fertility_vocabularies() -> tuple[str, ...]:
+    """All public vocabularies; ``byte_bpe_50k.json`` is the same as the ``.tiktoken`` of that name, and splits slower."""
     import public_tokenizers
 
-    return (public_tokenizers.path("piece_bpe_32k.model"),)
+    return tuple(map(public_tokenizers.path, ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json")))
 
 
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

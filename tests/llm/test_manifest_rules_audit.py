@@ -266,3 +266,21 @@ def test_queries_match_their_sql(spark):
         df, want = Q.QUERIES[name](spark, SF), con.sql(Q.ORACLE_SQL[name])
         assert sorted(df.columns) == sorted(want.columns)
         assert Counter(map(tuple, df.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
+def test_every_public_vocabulary_measures(spark, monkeypatch):
+    import os
+
+    held = Q.fertility_vocabularies()
+    folder = os.path.dirname(held[0])
+    there = {f for f in os.listdir(folder) if f.endswith((".json", ".model", ".tiktoken"))}
+    assert {os.path.basename(p) for p in held} == there - {"byte_bpe_50k.json"}  # the .tiktoken of that name again
+    words = ["plain", "words", "naïve", "\U0001f9ff一龘", "don't", "a1!", "<|endoftext|>"]
+    ranks, merges = (fertility._Vocabulary(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("tiktoken", "json"))
+    assert ranks.split(words) == merges.split(words)
+    monkeypatch.setattr(fertility, "KNOWN_WORDS", 4)
+    assert [merges.split(words[i : i + 3]) for i in (0, 2, 4, 0)] == [ranks.split(words[i : i + 3]) for i in (0, 2, 4, 0)]
+    assert (ranks.of_bytes == merges.of_bytes[: len(ranks.of_bytes)]).all()
+    got = Q.op12_quality_rules(spark, SF)
+    assert {f"{k}_{v}" for k in fertility.KINDS for v in range(len(held))} <= set(got.columns)
+    assert got.filter("n_words > 0 and least(chars_per_token_0, chars_per_token_1, chars_per_token_2, chars_per_token_3) <= 0").count() == 0
