@@ -122,3 +122,10 @@ def test_thousands_of_phrases_in_one_pass(spark):
     for i, t in enumerate(rows):
         held = [p for p in phrases if f" {p} " in f" {t or ''} "]
         assert (got[i] or []) == sorted(held, key=lambda p: (-len(p), p))
+
+def test_names_without_a_semicolon_are_read(spark):
+    import html
+
+    texts = ["a &amp&amp;</h1>b", "the&amp;&amp</p>", "x &lt y &copy z", "&ampx &notit;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.unescape(F.col("t")).alias("u")).collect()
+    assert [r["u"] for r in got] == [html.unescape(t) for t in texts]
