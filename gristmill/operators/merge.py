@@ -205,7 +205,7 @@ def apply_batch(jobs: DataFrame, quarantine: DataFrame, tombstones: DataFrame, b
     merged, linked = merged.select(*jobs.columns), 0
     if batch.resolve and counts["added"] + counts["updated"]:
         near = dedup.pool(new, merged)
-        links = cut(dedup.resolve(near.withColumnRenamed("board_key", "board"), dedup.candidate_pairs(near.withColumnRenamed("board_key", "board")), new))
+        links = cut(dedup.clusters(near.withColumnRenamed("board_key", "board"), new))
         linked = links.count()
         merged = dedup.write_links(merged, new, links)
     n_bad = bad.count()
