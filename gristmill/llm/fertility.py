@@ -12,6 +12,7 @@ counted beside them.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -36,7 +37,9 @@ LEAST_WIDTH = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.1}
 LEAST_DOCUMENTS = 50
 #: Distinct words of a batch that a vocabulary splits in one call.
 SPLIT_AT_ONCE = 10_000
-#: Words that a slow vocabulary keeps from batch to batch, some 200 bytes each.
+#: Words of a batch whose tokens are measured at once, those of a whole text at least.
+MEASURED_AT_ONCE = 100_000
+#: Words that are kept with their tokens from batch to batch, some 300 bytes each.
 KNOWN_WORDS = 400_000
 
 _SYMBOLS = "[#*$%&|<>]"
@@ -60,19 +63,45 @@ def _broken(token: bytes) -> bool:
     return False
 
 
-def _remembered(split):
-    """``split`` with the words of earlier batches kept, up to ``KNOWN_WORDS`` of them; then it begins anew."""
-    known: dict[str, list[int]] = {}
+#: Words that ``_ending_words`` splits: visible characters below U+0250, which are lower-cased alike everywhere.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "</w>"
 
-    def own(words):
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = words
-        known.update(zip(new, split(new), strict=True))
-        return [known[w] for w in words]
 
-    return own
+def _ending_words(path: str, slow, letters: dict[str, int]):
+    """A splitter for a lower-casing vocabulary whose words end in ``</w>``, as ``tiktoken`` splits; None for others.
+
+    The end is written as ``A``, which no lower-cased text holds. Each byte with an end comes before all merges, so
+    it is joined first; other words than plain ones go to ``slow``.
+    """
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    model, pre = said["model"], said.get("pre_tokenizer") or {}
+    steps, split = (said.get("normalizer") or {}).get("normalizers", []), pre.get("pretokenizers", [{}])[0]
+    ids = [model["vocab"][a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model.get("merges", []))]
+    ends = [model["vocab"].get(c + _END, -1) for c in letters]
+    known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _PIECES} and split.get("invert") and split.get("behavior") == "Removed"
+    ordered = ids and all(x < y for x, y in zip(ids, ids[1:], strict=False)) and min(ends) > 255 and max(ends) < ids[0] and all(model["vocab"].get(c, 256) < 256 for c in letters)
+    if not (known and ordered and model.get("end_of_word_suffix") == _END and not model.get("unk_token")):
+        return None
+    import regex
+    import tiktoken
+
+    special = {x["id"] for x in said.get("added_tokens") or []}
+    bare = lambda token: bytes(letters[c] for c in token)
+    ranks = {bare(t.removesuffix(_END)) + b"A" * t.endswith(_END): i for t, i in model["vocab"].items() if i not in special}
+    ordinary = tiktoken.Encoding("own", pat_str="[^A]+A", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ended, plain = regex.compile(_PIECES).sub, _PLAIN.fullmatch
+
+    def split_all(words):
+        out = [ordinary(w.lower() + "A" if w.isalpha() else ended(r"\g<0>A", w.lower())) if plain(w) else None for w in words]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, slow([words[i] for i in rest]) if rest else (), strict=True):
+            out[i] = x
+        return out
+
+    return split_all
 
 
 class _Vocabulary:
@@ -104,32 +133,76 @@ class _Vocabulary:
 
             t, letters = Tokenizer.from_file(path), _byte_letters()
             t.encode_special_tokens = True
-            self.split = _remembered(lambda words: [x.ids for x in t.encode_batch([" " + w for w in words], add_special_tokens=False)])
+            slow = lambda words: [x.ids for x in t.encode_batch([" " + w for w in words], add_special_tokens=False)]
+            self.split = _ending_words(path, slow, letters) or slow
             self.of_bytes = np.zeros(t.get_vocab_size(), dtype=bool)
             for token, i in t.get_vocab().items():
                 self.of_bytes[i] = _broken(bytes(letters.get(c, 32) for c in token))
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all ``words`` one after the other, and where those of each begin and how many they are."""
-        ids, sizes = [np.empty(0, "int64")], [np.empty(0, "int64")]
+        ids, sizes = [np.empty(0, "int32")], [np.empty(0, "int64")]
         for at in range(0, len(words), SPLIT_AT_ONCE):
             some = self.split(words[at : at + SPLIT_AT_ONCE])
-            ids.append(np.fromiter(chain.from_iterable(some), "int64"))
+            ids.append(np.fromiter(chain.from_iterable(some), "int32"))
             sizes.append(np.fromiter(map(len, some), "int64", len(some)))
         size = np.concatenate(sizes)
         return np.concatenate(ids), np.cumsum(size) - size, size
 
-    def measure(self, tokens, codes: np.ndarray, chars: int) -> tuple[int, float, float, float]:
-        """Tokens, characters a token, share of byte tokens and entropy in bits of the words ``codes``."""
+    def measure(self, tokens, words: np.ndarray, owner: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each text its tokens, characters a token, share of byte tokens and entropy in bits; ``words`` are the
+        numbers of all texts' words, ``owner`` the texts that have them, ``chars`` the texts' characters."""
         ids, begin, size = tokens
-        sizes = size[codes]
-        n = int(sizes.sum())
-        if not n:
-            return 0, 0.0, 0.0, 0.0
-        own = np.sort(ids[np.arange(n) + np.repeat(begin[codes] - np.cumsum(sizes) + sizes, sizes)])
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        counts = np.diff(first, append=n)
-        return n, chars / n, float(counts[self.of_bytes[own[first]]].sum() / n), float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
+        sizes, texts = size[words], len(chars)
+        n = np.bincount(owner, sizes, texts).astype("int64")
+        total = int(sizes.sum())
+        own = ids[np.arange(total) + np.repeat(begin[words] - np.cumsum(sizes) + sizes, sizes)]
+        own = np.sort(np.repeat(owner, sizes) << 32 | own)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        counts, text, token = np.diff(first, append=total), own[first] >> 32, own[first] & 0xFFFFFFFF
+        of_bytes, spread = (np.bincount(text, x, texts) for x in (counts * self.of_bytes[token], counts * np.log2(counts)))
+        some, none = np.maximum(n, 1), n == 0
+        return n, *(np.where(none, 0.0, x) for x in (chars / some, of_bytes / some, np.log2(some) - spread / some))
+
+
+class _Words:
+    """Words with their lengths and their tokens by each vocabulary, kept from batch to batch: up to ``KNOWN_WORDS`` of
+    them, then it begins anew with the words at hand."""
+
+    def __init__(self, vocabularies: list[_Vocabulary]):
+        self.vocabularies = vocabularies
+        self._begin_anew()
+
+    def _begin_anew(self) -> None:
+        self.known: dict[str, int] = {}
+        self.lengths = np.empty(0, "int64")
+        self.tokens = [(np.empty(0, "int32"), np.empty(0, "int64"), np.empty(0, "int64")) for _ in self.vocabularies]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each of the distinct ``words``, by which ``lengths`` and ``tokens`` have it."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self._begin_anew()
+            new = words
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), "int64", len(new))])
+        for k, v in enumerate(self.vocabularies):
+            (ids, begin, size), (more, at, sizes) = self.tokens[k], v.tokens(new)
+            self.tokens[k] = np.concatenate([ids, more]), np.concatenate([begin, at + len(ids)]), np.concatenate([size, sizes])
+        return np.fromiter(map(self.known.__getitem__, words), "int64", len(words))
+
+    def measure(self, words: list[str], codes: list[np.ndarray]):
+        """For each text its characters in words, and by vocabulary its numbers of tokens and its measures in turn;
+        ``codes`` are the places of its words in ``words``."""
+        numbers, sizes = self.numbers(words), np.fromiter(map(len, codes), "int64", len(codes))
+        ends, i = np.cumsum(sizes), 0
+        while i < len(codes):
+            k = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + MEASURED_AT_ONCE, "right")))
+            at, owner = numbers[np.concatenate(codes[i:k])], np.repeat(np.arange(k - i), sizes[i:k])
+            chars = np.bincount(owner, self.lengths[at], k - i).astype("int64")
+            got = [v.measure(t, at, owner, chars) for v, t in zip(self.vocabularies, self.tokens, strict=True)]
+            yield from zip(chars.tolist(), np.stack([x[0] for x in got], 1).tolist(), np.stack([y for x in got for y in x[1:]], 1).tolist(), strict=True)
+            i = k
 
 
 def split_words(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
@@ -208,16 +281,14 @@ def measure(docs: DataFrame, vocabularies: tuple[str, ...], *, id_col: str = "do
     """One row for each document: its counts, and KINDS for each vocabulary in turn as ``measures``."""
 
     def counted(batches):
-        known = held(("fertility", vocabularies), lambda: [_Vocabulary(p) for p in vocabularies])
+        known = held(("fertility", vocabularies), lambda: _Words([_Vocabulary(p) for p in vocabularies]))
         for b in batches:
             filled = pc.fill_null(b["text"], "")
             words, codes = split_words(filled)
-            tokens, lengths = [v.tokens(words) for v in known], pc.utf8_length(pa.array(words, pa.string())).to_numpy()
-            out = []
-            for text, own in zip(filled.to_pylist(), codes, strict=True):
-                chars = int(lengths[own].sum())
-                got = [v.measure(t, own, chars) for v, t in zip(known, tokens, strict=True)]
-                out.append((script(text), len(own), chars, duplicate_lines(text), repeated_words(own), [x[0] for x in got], [y for x in got for y in x[1:]]))
+            out = [
+                (script(text), len(own), chars, duplicate_lines(text), repeated_words(own), n, measures)
+                for text, own, (chars, n, measures) in zip(filled.to_pylist(), codes, known.measure(words, codes), strict=True)
+            ]
             rest = dict(zip(("script", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_tokens", "measures"), zip(*out, strict=True), strict=True)) if out else {}
             rest["n_symbols"] = pc.count_substring_regex(filled, _SYMBOLS)
             yield pa.RecordBatch.from_arrays([b["id"], b["lang"]] + [pa.array(rest.get(f.name, []), f.type) for f in made[2:]], schema=pa.schema(made))

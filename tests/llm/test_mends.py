@@ -106,3 +106,50 @@ def test_gated_candidates_count_as_tests(spark):
     alone, among = (secret_scan.cutoffs(frame(t))[0] for t in (secrets, secrets + plain))
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
     assert alone < among and tail(among) <= secret_scan.RATE * len(secrets) / (len(secrets) + len(plain)) < tail(alone)
+
+
+def test_ending_vocabulary_splits_as_its_tokenizer():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gristmill.llm import fertility
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(7)
+    plain.encode_special_tokens = True
+    some = lambda lo, hi: chr(rng.randrange(lo, hi))
+    words = ["Don't", "A", "a1!", "<|endoftext|>", "naïve", "ΑΣ", "İx", "é", "</w>", "\x00A", "\U0001f9ff一龘"]
+    words += ["".join(rng.choice([some(33, 127), some(0xA1, 0x250), "'S", "the", "ing", some(1, 0xD7FF)]) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    words = [w for w in words if w.strip()]
+    split = fertility._Vocabulary(path).split
+    assert split.__name__ == "split_all"  # not the slow way
+    assert split(words) == [x.ids for x in plain.encode_batch([" " + w for w in words], add_special_tokens=False)]
+
+
+def test_words_are_split_once_over_batches(monkeypatch):
+    import numpy as np
+
+    from gristmill.llm import fertility
+
+    class Letters:
+        of_bytes, asked, tokens, measure = np.zeros(0x3000, dtype=bool), [], fertility._Vocabulary.tokens, fertility._Vocabulary.measure
+
+        def split(self, words):
+            self.asked += words
+            return [list(map(ord, w)) for w in words]
+
+    store = fertility._Words([Letters()])
+    for at_once in (1, 100_000):
+        monkeypatch.setattr(fertility, "MEASURED_AT_ONCE", at_once)
+        for words, codes in ((["ab", "b"], [[0, 1, 1], [], [1]]), (["b", "cc"], [[1, 0]])):
+            got = list(store.measure(words, [np.array(c, dtype="int32") for c in codes]))
+            assert [(chars, n) for chars, n, _ in got] == [(sum(len(words[i]) for i in c), [sum(len(words[i]) for i in c)]) for c in codes]
+            for (_, _, (per, _, entropy)), c in zip(got, codes, strict=True):
+                letters = "".join(words[i] for i in c)
+                shares = [letters.count(x) / len(letters) for x in set(letters)]
+                assert per == (1.0 if letters else 0.0) and abs(entropy + sum(p * np.log2(p) for p in shares)) < 1e-12
+    assert Letters.asked == ["ab", "b", "cc"]
+    monkeypatch.setattr(fertility, "KNOWN_WORDS", 3)
+    assert store.numbers(["b", "d"]).tolist() == [0, 1] and Letters.asked == ["ab", "b", "cc", "b", "d"]  # begun anew
