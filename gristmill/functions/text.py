@@ -73,17 +73,23 @@ def unaccent(s: Column) -> Column:
 
 
 def collapse_inclusive(s: Column) -> Column:
-    """``ingenieur·e``, ``etudiant(e)`` and ``etudiant.e`` without their suffix."""
+    """``ingenieur·e``, ``etudiant(e)`` and ``etudiant.e`` without their suffix. Of texts without such a sign only the
+    sign is looked for; in others a word is tried once, from its start or where the last suffix ended."""
     short = "|".join(sorted((x for x in INCLUSIVE_SUFFIXES if len(x) < 6), key=len, reverse=True))
     long_ = "|".join(x for x in INCLUSIVE_SUFFIXES if len(x) == 6)
-    tail = rf"(?:(?:{short})(?![a-z])|(?:{long_}))"
-    dotted = F.regexp_replace(s, rf"([a-z]{{3,30}})\s*·\s*{tail}", "$1")
-    return F.regexp_replace(dotted, rf"([a-z]{{3,30}})[.(]{tail}\)?", "$1")
+    tail, word = rf"(?:(?:{short})(?![a-z])|(?:{long_}))", r"((?:\G|(?<![a-z]))[a-z]{3,}+)"
+    dotted = let(s, lambda t: F.when(F.contains(t, F.lit("·")), F.regexp_replace(t, rf"{word}\s*·\s*{tail}", "$1")).otherwise(t))
+    return let(dotted, lambda t: F.when(t.rlike(rf"[.(](?<=[a-z]{{3}}[.(]){tail}"), F.regexp_replace(t, rf"{word}[.(]{tail}\)?", "$1")).otherwise(t))
+
+
+def spelled(s: Column) -> Column:
+    """The canonical form before its words are parted: what is not of 0-9a-z stands between words."""
+    return collapse_inclusive(unaccent(F.replace(s, F.lit("&"), F.lit(" and "))))
 
 
 def fold(s: Column) -> Column:
     """The canonical form: ``&`` as and, no accents, no case, no inclusive suffixes, words of 0-9a-z one space apart."""
-    return F.trim(F.regexp_replace(collapse_inclusive(unaccent(F.replace(s, F.lit("&"), F.lit(" and ")))), "[^0-9a-z]+", " "))
+    return F.trim(F.regexp_replace(spelled(s), "[^0-9a-z]+", " "))
 
 
 def bare(s: Column) -> Column:

@@ -3,6 +3,7 @@
 import html
 import html.entities
 import random
+import re
 import time
 import unicodedata
 
@@ -29,6 +30,17 @@ def test_fold_on_every_character(spark):
     assert [(r["s"], r["f"], words_of(r["s"])) for r in got if r["f"] != words_of(r["s"])] == []
 
 
+def test_inclusive_suffixes_equal_plain_patterns(spark):
+    rng = random.Random(8)
+    pieces = ["abc", "ab", "a", "e", "es", "rice", "trices", "iennes", ".", "(", ")", "·", " ", "-", "7", "é", "x" * 29]
+    said = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["abc.trices.e", "abc.tricesxyz.e", "abc.tricesxy.e", "x" * 31 + ".e", "x" * 70 + "·es"]
+    short = "|".join(sorted((x for x in text.INCLUSIVE_SUFFIXES if len(x) < 6), key=len, reverse=True))
+    tail = f"(?:(?:{short})(?![a-z])|(?:{'|'.join(x for x in text.INCLUSIVE_SUFFIXES if len(x) == 6)}))"
+    plain = lambda s: re.sub(rf"([a-z]{{3,30}})[.(]{tail}\)?", r"\1", re.sub(rf"([a-z]{{3,30}})\s*·\s*{tail}", r"\1", s))
+    got = spark.createDataFrame([(s,) for s in said], "s string").select("s", text.collapse_inclusive(F.col("s")).alias("c")).collect()
+    assert [(r["s"], r["c"], plain(r["s"])) for r in got if r["c"] != plain(r["s"])] == [] and sum(r["s"] != r["c"] for r in got) > 200
+
+
 def test_fold_of_phrases(spark):
     want = {
         "Étudiant·e": "etudiant", "Ingénieur(e) & Développeur.euse": "ingenieur and developpeur", "Engineer(s)": "engineer s", "ﬁn ½ Œuvre ß": "fin 1 2 uvre ss", "étudiant(trices)": "etudiant",

@@ -1,12 +1,16 @@
 """The stored index against a rebuild and against search over the texts; the engine's search on it."""
 
 import random
+import re
+from collections import defaultdict
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.engine import Answers, Engine
+from gristmill.operators import index as stored
 from gristmill.operators import search
 from gristmill.operators.filters import JobFilters
 from gristmill.operators.index import Index
@@ -63,6 +67,46 @@ def test_unchanged_texts_add_no_postings_and_ranges_prune(spark, tmp_path):
     assert index.scores([]).count() == 0 and Index(Store(spark, str(tmp_path / "none"))).scores(["a"]).count() == 0
 
 
+def test_words_are_counted_before_they_are_dealt_out(spark, tmp_path):
+    index = Index(Store(spark, str(tmp_path / "db")))
+    plan = index.delta(frame(spark, rows_of(random.Random(2), ["a", "b"]))).append["postings"][0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning" in plan and "HashAggregate" not in plan
+
+
+def test_blocks_count_every_word_of_every_row(monkeypatch):
+    rng, factors = random.Random(6), [2.0, 1.0]
+    pieces = ["ab", "a", "é", " ", "  ", "-", "B", "9", "漢字", "zz9"]
+    texts = [["".join(rng.choice(pieces) for _ in range(rng.choice((0, 0, 1, 5, 40)))) for _ in range(60)] for _ in factors]
+    ids, marks = [f"d{i}" for i in range(60)], list(range(60))
+    every = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks, pa.int64()), *map(pa.array, texts)], ["id", "mark", "t0", "t1"])
+    wanted, words = defaultdict(float), {}
+    for i, *row in zip(ids, *texts, strict=True):
+        said = [(t, w) for text, w in zip(row, factors, strict=True) for t in re.findall("[0-9a-z]+", text)]
+        words[i] = len(said)
+        for t, w in said:
+            wanted[t, i] += w
+    for most, cuts in ((1, [0, 60]), (200, [0, 7, 31, 60]), (1 << 20, [0, 60]), (1 << 20, [0, 1, 1, 60])):
+        monkeypatch.setattr(stored, "BLOCK_BYTES", most)
+        rows = [r for b in stored._blocks(factors)(every.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False)) for r in b.to_pylist()]
+        docs = [d for r in rows if r["token"] is None for d in zip(r["ids"], r["words"], r["marks"], strict=True)]
+        assert docs == [(i, words[i], m) for i, m in zip(ids, marks, strict=True)]
+        held = [(r["token"], i, w, n) for r in rows if r["token"] is not None for i, w, n in zip(r["ids"], r["weights"], r["words"], strict=True)]
+        assert sorted(held) == sorted((t, i, w, words[i]) for (t, i), w in wanted.items())
+
+
+def test_large_batches_of_small_blocks_equal_search_over_texts(spark, tmp_path):
+    docs = rows_of(random.Random(9), [f"j{i}" for i in range(40)]) | {"none": (None,) * 6, "empty": ("",) * 6}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        index = Index(Store(spark, str(tmp_path / "db")))
+        index.update(frame(spark, docs))
+        terms = search.query_terms(spark, "dev the")
+        assert plain(index.scores(terms)) == plain(search.bm25(frame(spark, docs), terms))
+        assert index._facts(index.store.versions())["documents"] == 42
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def at(day):
     return datetime(2024, 6, day)
 
