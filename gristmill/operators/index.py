@@ -35,7 +35,9 @@ POSTINGS, REPLACED, LENGTHS = "postings", "replaced", "lengths"
 _AFTER = "{"
 #: Bytes of the texts of a block of documents, at most (one document may be larger).
 BLOCK_BYTES = 8 << 20
-#: A token of a block with the documents that have it, or no token: all documents of the block and their marks.
+#: Documents of a row of a frequent token, at most: ranges hold even numbers of rows, so rows must not differ much.
+RUN = 16
+#: A token of a block with documents that have it, or no token: all documents of the block and their marks.
 _BLOCK = "token string, ids array<string>, weights array<double>, words array<int>, marks array<bigint>"
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
@@ -85,12 +87,15 @@ def _block(part: pa.RecordBatch, factors: np.ndarray):
     weights = np.add.reduceat(factors[column], first) if first.size else np.empty(0)
     token, doc = np.divmod(posting[first], n)
     every, ends = np.array([0, n]), np.searchsorted(token, np.arange(len(tokens.dictionary) + 1))
+    runs = -(-np.diff(ends) // RUN)
+    of = np.repeat(np.arange(len(runs)), runs)
+    ends = np.append(ends[of] + RUN * (np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)), first.size)
     listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
     none = lambda m, kind: pa.nulls(m, pa.list_(kind))
     names = ["token", "ids", "weights", "words", "marks"]
     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), listed(every, ids), none(1, pa.float64()), listed(every, pa.array(words)), listed(every, part.column("mark"))], names)
     if first.size:
-        yield pa.RecordBatch.from_arrays([tokens.dictionary, listed(ends, ids.take(pa.array(doc))), listed(ends, pa.array(weights)), listed(ends, pa.array(words[doc])), none(len(ends) - 1, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([tokens.dictionary.take(pa.array(of)), listed(ends, ids.take(pa.array(doc))), listed(ends, pa.array(weights)), listed(ends, pa.array(words[doc])), none(len(ends) - 1, pa.int64())], names)
 
 
 def _blocks(weights: list[float]):

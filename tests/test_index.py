@@ -92,6 +92,7 @@ def test_blocks_count_every_word_of_every_row(monkeypatch):
         assert docs == [(i, words[i], m) for i, m in zip(ids, marks, strict=True)]
         held = [(r["token"], i, w, n) for r in rows if r["token"] is not None for i, w, n in zip(r["ids"], r["weights"], r["words"], strict=True)]
         assert sorted(held) == sorted((t, i, w, words[i]) for (t, i), w in wanted.items())
+        assert max(len(r["ids"]) for r in rows if r["token"] is not None) <= stored.RUN
 
 
 def test_large_batches_of_small_blocks_equal_search_over_texts(spark, tmp_path):
