@@ -1,6 +1,8 @@
 """Plans that must not gather most of a table under one key, nor send pairs through a shuffle."""
 
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -66,3 +68,36 @@ def test_screens_fold_and_search_a_text_once(spark):
         assert df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("[^0-9a-z]+") <= most
     plan = registry.QUERIES["scr_screen"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_pairs_of_one_key_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 16, raising=False)
+    rng = random.Random(8)
+    cols = "id string, source string, board string, rank int, url string, company_fold string, location string, title_key string, term string, language string, title_canonical string"
+    row = lambda i, s, hot: (
+        f"s{s}:{i}", f"s{s}", f"s{s}:b{rng.randrange(3)}", s, rng.choice(("", "u1", f"v{i}", f"w{i % 150}")), "acme" if hot else rng.choice(("acme", "bolt", None)), "canada" if hot else rng.choice(("canada", "unknown", None)),
+        "dev" if hot else rng.choice(("dev", "qa", "")), rng.choice(("fall-2025", "unknown")), rng.choice(("EN", "FR", "unknown")), rng.choice(("swe", "")),
+    )
+    rows = [row(i, rng.randrange(4), i < 250) for i in range(330)]
+    found = dedup.candidate_pairs(spark.createDataFrame(rows, cols)).select("*", F.spark_partition_id().alias("task")).collect()
+
+    listed = Counter((r[1], r[4]) for r in rows)
+    wrong = {url for (_, url), n in listed.items() if url and n > 1}
+    known = lambda r: r[6] is not None and r[6] not in ("unknown", "international")
+    spoken = lambda r: known(r) and r[8] != "unknown" and r[10] != "" and r[9] in ("EN", "FR")
+
+    def rule(a, b):
+        if a[2] == b[2] or (a[3], a[0]) >= (b[3], b[0]):
+            return None
+        if a[4] and a[4] == b[4]:
+            return None if a[4] in wrong else "url"
+        if a[5] is None or a[5] != b[5] or a[6] != b[6] or not known(a):
+            return None
+        if a[7] and a[7] == b[7]:
+            return "same-language"
+        return "cross-language" if spoken(a) and spoken(b) and a[8] == b[8] and a[10] == b[10] and a[9] != b[9] else None
+
+    want = {(a[0], b[0], r) for a in rows for b in rows if (r := rule(a, b))}
+    assert len(found) == len(want) and {(r["a"], r["b"], r["rule"]) for r in found} == want and {r for _, _, r in want} == set(dedup.RULES)
+    # Most pairs are of one key; blocks of its rows are joined apart from each other.
+    assert len({r["task"] for r in found if r["rule"] == "same-language"}) > 4
